@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from wardline.functions.scalars import circular_hours, haversine_km, kolmogorov_sf
 from wardline.operators.ordered import running_totals, unpivot
@@ -36,7 +36,7 @@ def split_windows(log: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_ks_pvalue(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """P(D ≥ d) by counting lattice paths that stay inside the band.
 
@@ -117,16 +117,10 @@ def ks_by_feature(long: DataFrame, group: str = "name", value: str = "value") ->
     recent = (F.col("side") == "recent").cast("long")
     totals = running_totals(long.filter(F.col(value).isNotNull()), group, value,
                             {"r": recent, "b": F.lit(1) - recent})
-    sizes = W.partitionBy(group)
-    per_feature = totals.groupBy(group).agg(F.sum("r").alias("n_recent"), F.sum("b").alias("n_baseline"))
-    # One row per feature.
-    return (
-        totals.join(F.broadcast(per_feature), group)
-        .withColumn("gap", F.abs(F.try_divide("cum_r", "n_recent") - F.try_divide("cum_b", "n_baseline")))
-        .groupBy(group)
-        .agg(F.first("n_recent").alias("n_recent"), F.first("n_baseline").alias("n_baseline"),
-             F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks_stat"))
-    )
+    gap = F.abs(F.try_divide("cum_r", "all_r") - F.try_divide("cum_b", "all_b"))
+    return totals.withColumn("gap", gap).groupBy(group).agg(
+        F.max("all_r").alias("n_recent"), F.max("all_b").alias("n_baseline"),
+        F.coalesce(F.max("gap"), F.lit(0.0)).alias("ks_stat"))
 
 
 def user_drift(log: DataFrame, days: int = WINDOW_DAYS, method: str = "auto") -> DataFrame:
@@ -184,7 +178,8 @@ def daily_measures(log: DataFrame, stats: DataFrame, days: int = WINDOW_DAYS) ->
         F.when(F.col("_n") > 0, -F.ln(F.col("_n") / F.col("_all"))).alias("_rarity"))
     # A user's home is the mean position of the home city in the normal rows.
     homes = (log.filter("label = 'normal'").groupBy("user_id", "geo_city")
-             .agg(F.avg("geo_lat").alias("_hlat"), F.avg("geo_lon").alias("_hlon")))
+             .agg(F.round(F.avg("geo_lat"), 6).alias("_hlat"),
+                  F.round(F.avg("geo_lon"), 6).alias("_hlon")))
     own = stats.select("user_id", "mean_hour", F.col("home_city").alias("geo_city")).join(
         homes, ["user_id", "geo_city"]).drop("geo_city")
     login = F.col("action") == "login"
@@ -209,7 +204,9 @@ def daily_measures(log: DataFrame, stats: DataFrame, days: int = WINDOW_DAYS) ->
 def feature_report(log: DataFrame, stats: DataFrame, days: int = WINDOW_DAYS,
                    method: str = "asymptotic") -> DataFrame:
     """KS, p-value, means and status of each measure."""
-    long = unpivot(daily_measures(log, stats, days), REPORT_FEATURES, keep=["side"], name="feature")
+    # Rounding merges values that differ only by summation order; +0.0 drops -0.0.
+    long = unpivot(daily_measures(log, stats, days), REPORT_FEATURES, keep=["side"], name="feature"
+                   ).withColumn("value", F.round("value", 6) + 0.0)
     tested = with_pvalue(ks_by_feature(long, "feature"), method)
     recent = F.col("side") == "recent"
     means = long.groupBy("feature").agg(

@@ -24,7 +24,7 @@ def curves(df: DataFrame, group: str, score: str, positive: str) -> DataFrame:
     steps = running_totals(df, group, score, {"p": pos, "n": F.lit(1) - pos}, descending=True)
     p, n, cum_p, cum_n = (F.col(c).cast("double") for c in ("p", "n", "cum_p", "cum_n"))
     return steps.groupBy(group).agg(
-        F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
+        F.max("all_p").alias("positives"), F.max("all_n").alias("negatives"),
         # A positive beats every negative below it and half of those level with it.
         F.sum(n * (cum_p - p / 2.0)).alias("_wins"),
         F.sum(p * cum_p / (cum_p + cum_n)).alias("_ap"),

@@ -12,6 +12,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wardline.session import checkpoint
+
 RANGES = 64
 
 
@@ -28,11 +30,13 @@ def running_totals(df: DataFrame, group: str, value: str, weights: dict[str, Col
     """One row per (group, distinct value) with cumulative ``weights``.
 
     ``group`` must have few distinct values (feature or class names).  For each
-    weight ``w`` the result has ``w`` (total at the value) and ``cum_w``
-    (total up to and including it in the chosen order).
+    weight ``w`` the result has ``w`` (total at the value), ``cum_w`` (total up
+    to and including it in the chosen order) and ``all_w`` (total of the group).
     """
     names = list(weights)
-    totals = df.groupBy(group, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+    # The only pass over the input; everything after reads the merged values.
+    totals = checkpoint(
+        df.groupBy(group, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()]))
     # A constant map of group name to cut points, so every branch of the plan
     # assigns the same range to a value.
     cuts = F.from_json(F.lit(_splitters(totals, group, value, ranges)), "map<string,array<double>>")
@@ -41,16 +45,19 @@ def running_totals(df: DataFrame, group: str, value: str, weights: dict[str, Col
     bucketed = totals.withColumn("_b", -bucket if descending else bucket)
     order = F.desc(value) if descending else F.asc(value)
     inside = W.partitionBy(group, "_b").orderBy(order)
-    across = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(group)
+    across = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = bucketed.groupBy(group, "_b").agg(*[F.sum(n).alias(n) for n in names]).select(
-        group, "_b", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_off_{n}") for n in names])
+        group, "_b", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"_off_{n}") for n in names],
+        *[F.sum(n).over(whole).alias(f"all_{n}") for n in names])
     # One offset row per range: at most ranges x groups rows.
     return (
         bucketed.withColumns({
             f"cum_{n}": F.sum(n).over(inside.rowsBetween(W.unboundedPreceding, 0)) for n in names})
         .join(F.broadcast(offsets), [group, "_b"])
         .select(group, value, *names,
-                *[(F.col(f"cum_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in names])
+                *[(F.col(f"cum_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in names],
+                *[f"all_{n}" for n in names])
     )
 
 
@@ -65,14 +72,11 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None,
 def exact_percentiles(long: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
     """Exact percentiles with linear interpolation: (group, prob, percentile)."""
     ranked = running_totals(long.filter(F.col(value).isNotNull()), group, value, {"n": F.lit(1)})
-    sizes = long.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
-    at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    targets = sizes.select(group, "_rows", at).withColumn("_h", F.col("prob") * (F.col("_rows") - 1))
-    # One row per group and probability.
+    targets = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "_h", F.col("prob") * (F.col("all_n") - 1))
     return (
-        ranked.join(F.broadcast(targets), group)
-        .groupBy(group, "prob")
-        .agg(F.first("_h").alias("_h"),
+        targets.groupBy(group, "prob")
+        .agg(F.max("_h").alias("_h"),
              F.min(F.when(F.col("cum_n") > F.floor("_h"), F.col(value))).alias("_lo"),
              F.min(F.when(F.col("cum_n") > F.ceil("_h"), F.col(value))).alias("_hi"))
         .select(group, "prob", (

@@ -181,15 +181,15 @@ WHERE risk_score >= 40 OR attack_type <> 'normal'""")
 
 _block("feedback", ["alerts"], """
 SELECT 2 * n AS id, id AS alert_id, CASE WHEN n % 2 = 0 THEN 'confirm' ELSE 'dismiss' END AS action,
-  CASE WHEN n % 5 = 0 THEN 'reviewed ' || event_id END AS note, us + 3600000000 AS at FROM alerts WHERE n % 3 = 0
+  CASE WHEN n % 5 = 0 THEN 'reviewed ' || event_id END AS note, us + 3600000000 AS made_us FROM alerts WHERE n % 3 = 0
 UNION ALL SELECT 2 * n + 1, id, 'note', CASE WHEN n % 8 = 0 THEN '' ELSE 'note ' || user_id END, us + 7200000000
 FROM alerts WHERE n % 4 = 0""")
 
 _block("status", ["alerts", "feedback"], """
 SELECT a.*, CASE f.v WHEN 'confirm' THEN 'confirmed' WHEN 'dismiss' THEN 'dismissed' ELSE 'open' END AS status,
   f.latest_note, coalesce(f.n_feedback, 0) AS n_feedback
-FROM alerts a LEFT JOIN (SELECT alert_id, arg_max(action, (at, id)) FILTER (WHERE action IN ('confirm','dismiss')) AS v,
-    arg_max(note, (at, id)) FILTER (WHERE note <> '') AS latest_note, count(*) AS n_feedback
+FROM alerts a LEFT JOIN (SELECT alert_id, arg_max(action, {'u': made_us, 'i': id}) FILTER (WHERE action IN ('confirm','dismiss')) AS v,
+    arg_max(note, {'u': made_us, 'i': id}) FILTER (WHERE note <> '') AS latest_note, count(*) AS n_feedback
   FROM feedback GROUP BY alert_id) f ON f.alert_id = a.id""")
 
 

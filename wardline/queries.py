@@ -11,6 +11,7 @@ from wardline.functions import scalars as S
 from wardline.operators import alerts as A
 from wardline.operators import baselines as B
 from wardline.operators import context as C
+from wardline.operators import drift as D
 from wardline.operators import evaluate as E
 from wardline.operators import features as FT
 from wardline.operators import rules as R
@@ -157,7 +158,7 @@ _MEDIANS = ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS {c}"
 
 @query(sql(f"SELECT {_MEDIANS} FROM stats", "stats"))
 def population_baseline(spark, sf_dir):
-    return B.population_baseline(B.user_baselines(load_log(spark, sf_dir))).select(
+    return B.fit_baselines(load_log(spark, sf_dir)).population.select(
         *[num(c) for c in BASELINE_NUMBERS])
 
 
@@ -268,3 +269,317 @@ def top_deviations(spark, sf_dir):
     return rows.select("event_id", F.posexplode(SC.top_deviations(3)).alias("pos", "d")).select(
         "event_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("d.feature").alias("feature"),
         F.round("d.value", 6).alias("value"))
+
+
+# --- alert queue and feedback -------------------------------------------------------
+
+def status_rows(log: DataFrame) -> DataFrame:
+    alerts = standin_alerts(log)
+    return A.with_status(alerts, standin_feedback(alerts))
+
+
+@query(sql(f"SELECT id, {ts_text('timestamp')}, user_id, geo_city, resource_accessed, action, risk_score, attack_type, "
+           f"{r6('confidence')}, reason, baseline_type, status FROM status WHERE status = 'open' AND risk_score >= 60 "
+           "ORDER BY risk_score DESC, us DESC, id LIMIT 15 OFFSET 15", "status"))
+def alert_queue_page(spark, sf_dir):
+    page = A.queue(status_rows(load_log(spark, sf_dir)), page=2, limit=15, status="open", min_risk=60)
+    return page.withColumns({"timestamp": S.iso_text("timestamp"), "confidence": F.round("confidence", 6)})
+
+
+@query(sql("SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 15.0)) AS BIGINT) AS pages "
+           "FROM alerts WHERE attack_type = 'brute_force'", "alerts"))
+def alert_queue_size(spark, sf_dir):
+    return A.queue_size(standin_alerts(load_log(spark, sf_dir)), 15, attack_type="brute_force")
+
+
+@query(sql("SELECT id, user_id, geo_city, resource_accessed, reason FROM alerts WHERE contains(lower(user_id), 'oslo') "
+           "OR contains(lower(resource_accessed), 'oslo') OR contains(lower(geo_city), 'oslo') OR contains(lower(reason), 'oslo')",
+           "alerts"))
+def alert_search(spark, sf_dir):
+    return A.search(standin_alerts(load_log(spark, sf_dir)), "Oslo").select(
+        "id", "user_id", "geo_city", "resource_accessed", "reason")
+
+
+@query(sql("SELECT a.id AS alert_id, a.attack_type, a.risk_score, f.id AS feedback_id, f.action, f.note, f.made_us AS created_us "
+           "FROM alerts a JOIN feedback f ON f.alert_id = a.id", "alerts", "feedback"))
+def alert_notes(spark, sf_dir):
+    alerts = standin_alerts(load_log(spark, sf_dir))
+    return A.notes(alerts, standin_feedback(alerts)).withColumn(
+        "created_us", F.unix_micros("created_at")).drop("created_at")
+
+
+@query(sql("SELECT id, status, latest_note, n_feedback FROM status", "status"))
+def alert_status(spark, sf_dir):
+    return status_rows(load_log(spark, sf_dir)).select("id", "status", "latest_note", "n_feedback")
+
+
+@query(sql("SELECT id, user_id, risk_score, created_us FROM alerts ORDER BY created_us DESC, id LIMIT 5", "alerts"))
+def recent_alerts(spark, sf_dir):
+    return A.newest(standin_alerts(load_log(spark, sf_dir))).select(
+        "id", "user_id", "risk_score", F.unix_micros("created_at").alias("created_us"))
+
+
+@query(sql("SELECT id, event_id FROM alerts WHERE NOT (n % 3 = 0)", "alerts"))
+def alert_upsert(spark, sf_dir):
+    """A batch with copies against a store that already holds a third of it."""
+    alerts = standin_alerts(load_log(spark, sf_dir))
+    stored = alerts.filter("n % 3 = 0")
+    copies = alerts.withColumns({"id": F.concat("id", F.lit("_again")), "created_at": shifted("created_at", 9)})
+    return A.unseen(alerts.unionByName(copies), stored).select("id", "event_id")
+
+
+@query(sql("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, "
+           "count(*) FILTER (WHERE status = 'confirmed') AS confirmed, "
+           "count(*) FILTER (WHERE status = 'dismissed') AS dismissed FROM status", "status"))
+def alert_kpis(spark, sf_dir):
+    return A.kpis(status_rows(load_log(spark, sf_dir)))
+
+
+@query(sql("SELECT count(*) AS total_feedback_labels, count(*) FILTER (WHERE action = 'confirm') AS confirmed_threats, "
+           "count(*) FILTER (WHERE action = 'dismiss') AS dismissed_fps, count(*) FILTER (WHERE action = 'note') AS analyst_notes_logged, "
+           "count(*) % 50 AS pending_retrain_batch, 50 AS retrain_trigger_threshold FROM feedback", "feedback"))
+def feedback_kpis(spark, sf_dir):
+    return A.feedback_kpis(standin_feedback(standin_alerts(load_log(spark, sf_dir))))
+
+
+@query(sql("SELECT f.id, f.alert_id, f.action FROM feedback f JOIN alerts a ON a.id = f.alert_id "
+           "WHERE a.risk_score >= 60 AND f.action IN ('confirm', 'dismiss', 'note')", "feedback", "alerts"))
+def feedback_accepted(spark, sf_dir):
+    """Feedback is only taken for alerts that exist; here those of risk 60 and up."""
+    alerts = standin_alerts(load_log(spark, sf_dir))
+    return A.valid_feedback(standin_feedback(alerts), alerts.filter("risk_score >= 60")).select(
+        "id", "alert_id", "action")
+
+
+@query(sql("SELECT count(*) FILTER (WHERE event_count < 60) AS cold_start_users FROM stats", "stats"))
+def cold_start_users(spark, sf_dir):
+    # Every user of the tables has 40 rows or more, hence the higher limit.
+    return B.cold_start_users(B.user_baselines(load_log(spark, sf_dir)), min_events=60)
+
+
+@query(sql("SELECT user_id, CASE WHEN event_count >= 60 THEN 'personal' ELSE 'population' END AS baseline_type FROM stats", "stats"))
+def baseline_types(spark, sf_dir):
+    return B.user_baselines(load_log(spark, sf_dir)).select(
+        "user_id", B.baseline_type(F.col("event_count"), 60).alias("baseline_type"))
+
+
+@query(sql("SELECT id, risk_score, attack_type FROM status WHERE risk_score >= 80 AND status = 'open'", "status"))
+def critical_open(spark, sf_dir):
+    return A.critical(status_rows(load_log(spark, sf_dir))).select("id", "risk_score", "attack_type")
+
+
+@query(sql("SELECT CASE WHEN risk_score >= 90 THEN 'CRITICAL' WHEN risk_score >= 70 THEN 'HIGH' WHEN risk_score >= 40 "
+           "THEN 'ELEVATED' ELSE 'MINIMAL' END AS band, upper(replace(attack_type, '_', ' ')) AS title, count(*) AS n, "
+           "round(avg(round(bytes_transferred / 1024.0, 1)), 3) AS mean_kb FROM risked GROUP BY ALL", "risked"))
+def risk_bands(spark, sf_dir):
+    return standin_risk(load_log(spark, sf_dir)).groupBy(
+        S.risk_band("risk_score").alias("band"), S.class_title("attack_type").alias("title")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(S.kilobytes("bytes_transferred")), 3).alias("mean_kb"))
+
+
+_TOKENS = "|".join(S.TOKEN_PATTERNS.values()).replace("'", "''")
+
+
+@query(sql(f"""SELECT kind, count(*) AS n, count(DISTINCT token) AS n_distinct FROM (SELECT token,
+  CASE WHEN starts_with(token, '''') THEN 'quoted' WHEN regexp_matches(token, '^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN 'ip' ELSE 'quantity' END AS kind
+  FROM (SELECT unnest(regexp_extract_all(reason, '{_TOKENS}')) AS token FROM alerts)) GROUP BY kind""", "alerts"))
+def reason_tokens(spark, sf_dir):
+    tokens = standin_alerts(load_log(spark, sf_dir)).select(F.explode(S.reason_tokens("reason")).alias("token"))
+    return tokens.groupBy(S.token_kind("token").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("n_distinct"))
+
+
+@query(sql("SELECT id, trim(split_part(reason, '.', 1)) AS headline FROM alerts", "alerts"))
+def first_sentences(spark, sf_dir):
+    return standin_alerts(load_log(spark, sf_dir)).select("id", S.first_sentence("reason").alias("headline"))
+
+
+@query(sql(f"""SELECT a.id AS alert_id, l.event_id, l.action, l.resource_accessed, l.success,
+  {r6('(a.us - l.us) / 1000000.0', 'seconds_before')} FROM alerts a JOIN access_log l ON l.user_id = a.user_id
+  AND l.us < a.us AND l.us >= a.us - 3600000000""", "alerts", "access_log"))
+def alert_timeline(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    return SC.timeline(standin_alerts(log), log).withColumn("seconds_before", F.round("seconds_before", 6))
+
+
+@query(sql("""SELECT label, event_id FROM (SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY
+  CASE label WHEN 'brute_force' THEN CAST(rapid_failure_count AS DOUBLE) WHEN 'impossible_travel' THEN travel_speed_kmh ELSE 0 END DESC,
+  user_id, timestamp, event_id) AS r FROM context WHERE label <> 'normal') WHERE r = 1""", "context"))
+def richest_examples(spark, sf_dir):
+    return SC.richest_examples(C.context_features(load_log(spark, sf_dir))).select("label", "event_id")
+
+
+# --- drift --------------------------------------------------------------------------
+
+# The tables span 30 days, so each window is 15 days long.
+DAYS = 15
+_SPLIT = f"""(SELECT *, CASE WHEN us >= e - {DAYS}*86400000000 THEN 1 ELSE 0 END AS r FROM access_log
+  CROSS JOIN (SELECT max(us) AS e FROM access_log) WHERE us >= e - {2 * DAYS}*86400000000)"""
+
+
+def _ks_sql(source: str, key: str, value: str) -> str:
+    return f"""SELECT {key}, n_recent, n_baseline, ks_stat, CASE WHEN least(n_recent, n_baseline) < 10 THEN 1.0
+    WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+      lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))))) END AS p_value
+  FROM (SELECT *, x + 1 / (6 * s) + (x - 1) / (4 * s * s) AS lam FROM (
+    SELECT *, sqrt(en) AS s, sqrt(en) * ks_stat AS x FROM (
+    SELECT {key}, max(nr) AS n_recent, max(nb) AS n_baseline, round(CAST(max(nr) AS DOUBLE) * max(nb) / (max(nr) + max(nb))) AS en,
+      max(abs(cr / CAST(nr AS DOUBLE) - cb / CAST(nb AS DOUBLE))) AS ks_stat
+    FROM (SELECT {key}, sum(wr) OVER c AS cr, sum(wb) OVER c AS cb, sum(wr) OVER g AS nr, sum(wb) OVER g AS nb
+      FROM (SELECT {key}, {value}, sum(r) AS wr, sum(1 - r) AS wb FROM {source} WHERE {value} IS NOT NULL GROUP BY {key}, {value})
+      WINDOW c AS (PARTITION BY {key} ORDER BY {value}), g AS (PARTITION BY {key})) GROUP BY {key})))"""
+
+
+_USER_KS = _ks_sql(f"(SELECT user_id, hour(timestamp) AS h, r FROM {_SPLIT})", "user_id", "h")
+_POP_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, r FROM {_SPLIT}" for c in ("session_duration_s", "bytes_transferred"))
+_POP_KS = _ks_sql(f"({_POP_LONG})", "feature", "v")
+_KS_OUT = f"{i64('n_recent')}, {i64('n_baseline')}, {r6('ks_stat')}, {r6('p_value')}, p_value < 0.01 AS drifted"
+
+
+def _ks_out(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, whole("n_recent"), whole("n_baseline"), num("ks_stat"), num("p_value"), "drifted")
+
+
+@query(sql(f"SELECT user_id, {_KS_OUT} FROM ({_USER_KS})", "access_log"))
+def drift_users(spark, sf_dir):
+    return _ks_out(D.user_drift(load_log(spark, sf_dir), DAYS, "asymptotic"), "user_id")
+
+
+@query()
+def drift_users_exact(spark, sf_dir):
+    return _ks_out(D.user_drift(load_log(spark, sf_dir), DAYS, "auto"), "user_id")
+
+
+@query(sql(f"SELECT feature, {_KS_OUT} FROM ({_POP_KS})", "access_log"))
+def drift_population(spark, sf_dir):
+    return _ks_out(D.population_drift(load_log(spark, sf_dir), days=DAYS, method="asymptotic"), "feature")
+
+
+@query(sql(f"""SELECT {DAYS} AS window_days, count(*) AS users_checked, count(*) FILTER (WHERE p_value < 0.01) AS users_drifted,
+  bool_or(p_value < 0.01) OR (SELECT bool_or(p_value < 0.01) FROM ({_POP_KS})) AS global_drift_detected FROM ({_USER_KS})""",
+           "access_log"))
+def drift_summary(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    return D.drift_summary(D.user_drift(log, DAYS, "asymptotic"),
+                           D.population_drift(log, days=DAYS, method="asymptotic"), DAYS)
+
+
+@query(sql(f"SELECT user_id, {r6('p_value')} FROM ({_USER_KS}) WHERE p_value < 0.01 ORDER BY p_value, user_id LIMIT 10",
+           "access_log"))
+def drift_worst_users(spark, sf_dir):
+    users = D.user_drift(load_log(spark, sf_dir), DAYS, "asymptotic")
+    return D.first_drifted(users).select("user_id", num("p_value"))
+
+
+_DAILY = f"""(SELECT d.user_id, d.day, d.r, off_hours_login, session_duration_s, bytes_transferred, geo_distance_from_home,
+  failed_login_rate, resource_rarity_score, distinct_hosts_count, auth_method_entropy FROM (
+  SELECT l.user_id, CAST(l.timestamp AS DATE) AS day, l.r,
+    avg(least(abs(hour(l.timestamp) - s.mean_hour), 24 - abs(hour(l.timestamp) - s.mean_hour))) AS off_hours_login,
+    avg(l.session_duration_s) AS session_duration_s, avg(l.bytes_transferred) AS bytes_transferred,
+    avg(12742.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(h.lat) - radians(l.geo_lat)) / 2), 2)
+      + cos(radians(l.geo_lat)) * cos(radians(h.lat)) * pow(sin((radians(h.lon) - radians(l.geo_lon)) / 2), 2)))))) AS geo_distance_from_home,
+    CASE WHEN count(*) FILTER (WHERE l.action = 'login') > 0 THEN count(*) FILTER (WHERE l.action = 'login' AND NOT l.success)
+      / CAST(count(*) FILTER (WHERE l.action = 'login') AS DOUBLE) END AS failed_login_rate,
+    avg(q.rarity) AS resource_rarity_score, count(DISTINCT l.resource_accessed) AS distinct_hosts_count
+  FROM {_SPLIT} l JOIN stats s ON s.user_id = l.user_id
+  JOIN (SELECT user_id, geo_city, round(avg(geo_lat), 6) AS lat, round(avg(geo_lon), 6) AS lon FROM normal_log GROUP BY user_id, geo_city) h
+    ON h.user_id = s.user_id AND h.geo_city = s.home_city
+  JOIN (SELECT resource_accessed, CASE WHEN c > 0 THEN -ln(c / CAST(sum(c) OVER () AS DOUBLE)) END AS rarity FROM (
+    SELECT resource_accessed, count(*) FILTER (WHERE r = 0) AS c FROM {_SPLIT} GROUP BY resource_accessed)) q
+    ON q.resource_accessed = l.resource_accessed
+  GROUP BY l.user_id, CAST(l.timestamp AS DATE), l.r) d
+  JOIN (SELECT user_id, day, r, sum(-p * ln(p)) AS auth_method_entropy FROM (
+    SELECT user_id, CAST(timestamp AS DATE) AS day, r, auth_method,
+      count(*) / CAST(sum(count(*)) OVER (PARTITION BY user_id, CAST(timestamp AS DATE), r) AS DOUBLE) AS p
+    FROM {_SPLIT} GROUP BY user_id, CAST(timestamp AS DATE), r, auth_method) GROUP BY user_id, day, r) e
+  ON e.user_id = d.user_id AND e.day = d.day AND e.r = d.r)"""
+# Rounded on both sides, so that equal values of two engines stay one value.
+_DAILY_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(CAST({c} AS DOUBLE), 6) + 0.0 AS v, r FROM daily" for c in D.REPORT_FEATURES)
+_REPORT_KS = _ks_sql("long", "feature", "v")
+
+
+@query(sql("SELECT * FROM (WITH daily AS (SELECT * FROM " + _DAILY + "), long AS (" + _DAILY_LONG + f""")
+SELECT k.feature, {r6('ks_stat')}, {r6('p_value')}, {r6('baseline_mean')}, {r6('recent_mean')},
+  CASE WHEN p_value < 0.05 THEN 'DRIFTING' WHEN p_value < 0.15 THEN 'MONITOR' ELSE 'STABLE' END AS status
+FROM ({_REPORT_KS}) k JOIN (SELECT feature, avg(v) FILTER (WHERE r = 0) AS baseline_mean,
+  avg(v) FILTER (WHERE r = 1) AS recent_mean FROM long GROUP BY feature) m ON m.feature = k.feature)""",
+           "access_log", "normal_log", "stats"))
+def drift_feature_report(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    return D.feature_report(log, B.user_baselines(log), DAYS).select(
+        "feature", num("ks_stat"), num("p_value"), num("baseline_mean"), num("recent_mean"), "status")
+
+
+# --- evaluation ---------------------------------------------------------------------
+
+def judged(log: DataFrame) -> DataFrame:
+    """Stand-in score against the true label."""
+    return standin_scores(log).withColumn("attack", (F.col("label") != "normal").cast("int"))
+
+
+_AUC = """SELECT (sum(rk) FILTER (WHERE y = 1) - CAST(max(p) AS DOUBLE) * (max(p) + 1) / 2) / (CAST(max(p) AS DOUBLE) * max(n)) AS roc_auc
+FROM (SELECT y, sum(y) OVER () AS p, sum(1 - y) OVER () AS n,
+  rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM judged)"""
+_AP = """SELECT sum(dp * cp / CAST(cn AS DOUBLE)) / sum(dp) AS pr_auc FROM (
+SELECT dp, sum(dp) OVER w AS cp, sum(c) OVER w AS cn FROM (SELECT s, sum(y) AS dp, count(*) AS c FROM judged GROUP BY s)
+WINDOW w AS (ORDER BY s DESC))"""
+
+
+@query(sql(f"""SELECT {r6('roc_auc')}, {r6('pr_auc')}, {r6('threshold')}, tp, fp, fn, tn,
+  {r6('tp / CAST(greatest(tp + fp, 1) AS DOUBLE)', 'precision')}, {r6('tp / CAST(greatest(tp + fn, 1) AS DOUBLE)', 'recall')},
+  {r6('fp / CAST(greatest(fp + tn, 1) AS DOUBLE)', 'fpr')}
+FROM (WITH judged AS (SELECT anomaly_score AS s, CASE WHEN label <> 'normal' THEN 1 ELSE 0 END AS y FROM standin),
+  cut AS (SELECT quantile_cont(s, 0.98) AS threshold FROM judged)
+SELECT (SELECT roc_auc FROM ({_AUC})) AS roc_auc, (SELECT pr_auc FROM ({_AP})) AS pr_auc, max(threshold) AS threshold,
+  count(*) FILTER (WHERE s >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE s >= threshold AND y = 0) AS fp,
+  count(*) FILTER (WHERE s < threshold AND y = 1) AS fn, count(*) FILTER (WHERE s < threshold AND y = 0) AS tn
+FROM judged CROSS JOIN cut)""", "standin"))
+def eval_binary(spark, sf_dir):
+    rep = E.binary_report(judged(load_log(spark, sf_dir)), "anomaly_score", "attack")
+    return rep.select(*[num(c) for c in ("roc_auc", "pr_auc", "threshold", "precision", "recall", "fpr")],
+                      "tp", "fp", "fn", "tn")
+
+
+def guessed(log: DataFrame) -> DataFrame:
+    """Stand-in class guess: every seventh event moves to the next class of the list."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    at = F.array_position(names, F.col("label")).cast("int") - 1
+    rows = standin_scores(log)
+    return rows.withColumn("guess", F.get(names, F.when(
+        F.col("n") % 7 == 0, (at + 1) % len(CLASSES)).otherwise(at)))
+
+
+_CLASS_LIST = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
+_GUESSED = f"""(SELECT *, {_CLASS_LIST}[1 + CAST((list_position({_CLASS_LIST}, label) - 1 + CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END) % 6 AS INT)] AS guess
+  FROM standin)"""
+
+
+@query(sql(f"""SELECT class, {r6('precision')}, {r6('recall')}, {r6('CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END', 'f1')},
+  support, CASE WHEN precision >= 0.9 THEN 'Excellent' WHEN precision >= 0.8 THEN 'Good' WHEN precision >= 0.7 THEN 'Fair' ELSE 'Poor' END AS rating
+FROM (SELECT class, coalesce(tp / CAST(nullif(pp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(support, 0) AS DOUBLE), 0) AS recall, support
+  FROM (SELECT class, count(*) FILTER (WHERE label = class AND guess = class) AS tp, count(*) FILTER (WHERE guess = class) AS pp,
+    count(*) FILTER (WHERE label = class) AS support FROM {_GUESSED} CROSS JOIN (SELECT unnest({_CLASS_LIST}) AS class) GROUP BY class))
+WHERE class <> 'normal'""", "standin"))
+def eval_multiclass(spark, sf_dir):
+    rep = E.class_report(guessed(load_log(spark, sf_dir)), "label", "guess").filter("class <> 'normal'")
+    return rep.select("class", num("precision"), num("recall"), num("f1"), "support",
+                      S.quality_rating("precision").alias("rating"))
+
+
+@query(sql("SELECT label, " + ", ".join(f"count(*) FILTER (WHERE guess = '{c}') AS {c}" for c in CLASSES)
+           + f" FROM {_GUESSED} GROUP BY label", "standin"))
+def confusion(spark, sf_dir):
+    return E.confusion_matrix(guessed(load_log(spark, sf_dir)), "label", "guess")
+
+
+@query(sql("SELECT class, " + r6("pr_auc") + ", " + r6("roc_auc") + " FROM (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS class, (WITH judged AS (SELECT CASE WHEN n % 3 = 0 THEN confidence ELSE 1 - confidence END AS s, CASE WHEN label = '{c}' THEN 1 ELSE 0 END AS y FROM standin) {_AP}) AS pr_auc,
+    (WITH judged AS (SELECT CASE WHEN n % 3 = 0 THEN confidence ELSE 1 - confidence END AS s, CASE WHEN label = '{c}' THEN 1 ELSE 0 END AS y FROM standin) {_AUC}) AS roc_auc"""
+    for c in CLASSES[:3]) + ")", "standin"))
+def eval_one_vs_rest(spark, sf_dir):
+    rows = standin_scores(load_log(spark, sf_dir)).withColumn(
+        "p", F.when(F.col("n") % 3 == 0, F.col("confidence")).otherwise(1 - F.col("confidence")))
+    return E.one_vs_rest_curves(rows, "label", {c: "p" for c in CLASSES[:3]}).select(
+        "class", num("pr_auc"), num("roc_auc"))
