@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.functions import scalars as S
-from wardline.operators.baselines import (MAX_SET, MIN_PERSONAL_EVENTS, Baselines, baseline_type)
+from wardline.operators.baselines import MIN_PERSONAL_EVENTS, Baselines, baseline_type
 from wardline.operators.context import add_context, no_context
-from wardline.operators.hotkeys import DEFAULT, Part, SkewPolicy, bounded_hint, split_timelines
+from wardline.operators.hotkeys import DEFAULT, SkewPolicy, bounded_hint, split_timelines
 from wardline.sources.schema import ACTION_CODES, AUTH_CODES, BASELINE_NUMBERS, FEATURES
 
 
@@ -32,6 +32,10 @@ def _with_baseline(rows: DataFrame, base: Baselines, wide_users: bool, hot: bool
     return joined.withColumn("_known", F.coalesce(known, F.lit(False))).drop("_pair")
 
 
+def _has_wide_users(base: Baselines) -> bool:
+    return not base.stats.filter(F.col("known_devices").isNull()).isEmpty()
+
+
 def deviations(rows: DataFrame, base: Baselines, min_events: int = MIN_PERSONAL_EVENTS) -> DataFrame:
     """Features relative to the joined baseline; needs ``_own`` and ``_known``."""
     population = base.population.select(F.struct(*BASELINE_NUMBERS)).scalar()
@@ -66,20 +70,22 @@ def build_features(log: DataFrame, base: Baselines, stateful: bool = True,
     treats every device as unseen, as a baseline saved without its sets would.
     """
     # Baselines are clustered by user like the windows, so rows are shuffled once.
-    wide = not base.stats.filter(F.col("known_devices").isNull()).isEmpty()
-    parts = (split_timelines(log, policy) if stateful
-             else [Part(log.withColumn("_halo", F.lit(False)), [])])
-    out = None
-    for part in parts:
-        if stateful:
-            rows = add_context(Part(part.rows, part.keys))
-        else:
-            rows = no_context(part.rows).drop("_halo")
-        rows = deviations(_with_baseline(rows, base, wide, part.hot, policy), base, min_events)
-        out = rows if out is None else out.unionByName(rows)
-    if legacy_novel_device:
-        out = out.withColumn("is_novel_device", F.lit(1))
-    return out
+    wide = _has_wide_users(base)
+    if not stateful:
+        rows = deviations(_with_baseline(no_context(log), base, wide, False, policy), base, min_events)
+    else:
+        rows = None
+        for part in split_timelines(log, policy):
+            own = deviations(
+                _with_baseline(add_context(part), base, wide, part.hot, policy), base, min_events)
+            rows = own if rows is None else rows.unionByName(own)
+    return rows.withColumn("is_novel_device", F.lit(1)) if legacy_novel_device else rows
+
+
+def features_from_context(rows: DataFrame, base: Baselines,
+                          min_events: int = MIN_PERSONAL_EVENTS) -> DataFrame:
+    """Features of rows whose look-back columns come from elsewhere (stream state)."""
+    return deviations(_with_baseline(rows, base, _has_wide_users(base), False, DEFAULT), base, min_events)
 
 
 def feature_columns(df: DataFrame, wanted: list[str] = FEATURES) -> list[str]:
@@ -112,6 +118,3 @@ def shared_devices(log: DataFrame) -> DataFrame:
     return log.join(owners, "device_id", "left").withColumn(
         "shared_device", F.coalesce(other, F.lit(False)).cast("int")).drop("_lo", "_hi")
 
-
-__all__ = ["MAX_SET", "attach_features", "build_features", "deviations", "feature_columns",
-           "feature_matrix", "shared_devices"]

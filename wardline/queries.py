@@ -9,17 +9,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.functions import scalars as S
 from wardline.operators import alerts as A
+from wardline.operators import adwin as AD
+from wardline.operators import attribution as AT
 from wardline.operators import baselines as B
+from wardline.operators import classify as CL
 from wardline.operators import context as C
 from wardline.operators import drift as D
 from wardline.operators import evaluate as E
 from wardline.operators import features as FT
+from wardline.operators import iforest as IF
 from wardline.operators import rules as R
+from wardline.operators import sampling as SA
 from wardline.operators import scoring as SC
+from wardline.operators import smote as SM
 from wardline.oracles import i64, r6, sql, ts_text
-from wardline.session import use_utc
+from wardline.plans import dashboard as DB
+from wardline.plans import models as PM
+from wardline.plans import retrain as RT
+from wardline.session import checkpoint, shared_dir, use_utc
+from wardline.sources import stores as ST
 from wardline.sources.access_log import load_log
-from wardline.sources.schema import BASELINE_NUMBERS, CLASSES, FEATURES
+from wardline.sources.schema import ACCESS_LOG, BASELINE_NUMBERS, CLASSES, FEATURES
+from wardline.streaming import hot_path as HP
+from wardline.streaming import state as LS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -583,3 +595,191 @@ def eval_one_vs_rest(spark, sf_dir):
         "p", F.when(F.col("n") % 3 == 0, F.col("confidence")).otherwise(1 - F.col("confidence")))
     return E.one_vs_rest_curves(rows, "label", {c: "p" for c in CLASSES[:3]}).select(
         "class", num("pr_auc"), num("roc_auc"))
+
+
+@query(sql(f"""SELECT * FROM ({_ks_sql('''(SELECT 'l_extendedprice' AS feature, CAST(l_extendedprice AS DOUBLE) AS v,
+  CASE WHEN l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 365 DAY THEN 1 ELSE 0 END AS r FROM lineitem
+  WHERE l_shipdate >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 730 DAY)''', 'feature', 'v')
+  .replace('ks_stat, CASE', 'round(ks_stat, 6) AS ks_stat, round(CASE', 1).replace('END AS p_value', 'END, 6) AS p_value')})"""))
+def drift_lineitem_price(spark, sf_dir):
+    """The same test on another table: item prices of the last year and the one before."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_extendedprice").cast("double").alias("value"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"))
+    rows = D.split_windows(items, 365).select(F.lit("l_extendedprice").alias("feature"), "value", "side")
+    return D.with_pvalue(D.ks_by_feature(rows, "feature"), "asymptotic").select(
+        "feature", whole("n_recent"), whole("n_baseline"), num("ks_stat"), num("p_value"))
+
+
+@query()
+def adwin_users(spark, sf_dir):
+    """Change of mean session length per user, over hourly means."""
+    series = AD.slot_means(load_log(spark, sf_dir), "user_id", "session_duration_s")
+    return AD.detect(series, "user_id", ["slot"], "value")
+
+
+# --- models -------------------------------------------------------------------------
+
+def split_table(log: DataFrame) -> DataFrame:
+    return PM.training_table(log, train_baselines(log))
+
+
+_TEST_N = "CAST(round(count(*) * 0.2) AS BIGINT)"
+
+
+@query(sql(f"SELECT label, count(*) - {_TEST_N} AS n_train, {_TEST_N} AS n_test FROM access_log GROUP BY label", "access_log"))
+def split_counts(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    return SA.stratified_split(log.select("event_id", "label")).groupBy("label").agg(
+        F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
+
+
+@query(sql(f"""SELECT label, n_train AS real_rows, max(n_train) OVER () - n_train AS synthetic_rows FROM (
+  SELECT label, count(*) - {_TEST_N} AS n_train FROM access_log GROUP BY label)""", "access_log"))
+def smote_balanced(spark, sf_dir):
+    table = split_table(load_log(spark, sf_dir))
+    return SM.oversample(table.filter(~F.col("is_test")), FEATURES).groupBy("label").agg(
+        F.count_if(~F.col("synthetic")).alias("real_rows"), F.count_if("synthetic").alias("synthetic_rows"))
+
+
+@query()
+def iforest_scores(spark, sf_dir):
+    table = split_table(load_log(spark, sf_dir))
+    forest, _ = PM.train_anomaly(table)
+    return IF.with_isolation_score(table, forest).select(
+        "event_id", "label", num("isolation_score"), num("decision"))
+
+
+@query()
+def iforest_report(spark, sf_dir):
+    _, report = PM.train_anomaly(split_table(load_log(spark, sf_dir)))
+    return report
+
+
+@query()
+def classify_events(spark, sf_dir):
+    table = split_table(load_log(spark, sf_dir))
+    model, _ = PM.train_classes(table, trees=40, depth=8)
+    return CL.classify(table, model, SC.MIN_CONFIDENCE).select(
+        "event_id", "label", "attack_type", num("confidence"))
+
+
+@query()
+def classifier_report(spark, sf_dir):
+    _, report = PM.train_classes(split_table(load_log(spark, sf_dir)), trees=40, depth=8)
+    return report
+
+
+@query()
+def attribution_top4(spark, sf_dir):
+    table = split_table(load_log(spark, sf_dir))
+    model, _ = PM.train_classes(table, trees=40, depth=8)
+    flagged = CL.classify(table, model).filter("attack_type <> 'normal'")
+    return AT.with_attributions(flagged, model).select(
+        "event_id", "attack_type", F.posexplode("top_features").alias("pos", "t")).select(
+        "event_id", "attack_type", (F.col("pos") + 1).alias("rank"), "t.feature", F.round("t.credit", 6).alias("credit"))
+
+
+@query()
+def score_all(spark, sf_dir):
+    """The whole offline job: train, score every event, explain the alerts."""
+    log = load_log(spark, sf_dir)
+    models, _, _ = PM.train(log, forest_trees=100, class_trees=20, depth=8)
+    return SC.alert_rows(PM.score(log, models), shifted("timestamp", 60)).withColumn(
+        "timestamp", S.iso_text("timestamp")).drop("created_at")
+
+
+@query(sql("""SELECT CASE f.v WHEN 'confirm' THEN f.attack_type WHEN 'dismiss' THEN 'normal' ELSE l.label END AS label, count(*) AS n
+FROM access_log l LEFT JOIN (SELECT a.event_id, a.attack_type, arg_max(b.action, {'u': b.made_us, 'i': b.id}) AS v FROM alerts a
+  JOIN feedback b ON b.alert_id = a.id WHERE b.action IN ('confirm', 'dismiss') GROUP BY a.event_id, a.attack_type) f ON f.event_id = l.event_id
+GROUP BY 1""", "access_log", "alerts", "feedback"))
+def retrain_labels(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    alerts = standin_alerts(log)
+    return RT.relabelled(log, alerts, standin_feedback(alerts)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT count(*) AS total_feedback_labels, count(*) % 50 AS pending_retrain_batch, count(*) % 50 = 0 AS due FROM feedback",
+           "feedback"))
+def retrain_due(spark, sf_dir):
+    return RT.due(standin_feedback(standin_alerts(load_log(spark, sf_dir)))).select(
+        "total_feedback_labels", "pending_retrain_batch", "due")
+
+
+@query(sql(f"""SELECT {r6('m.roc_auc', 'anomaly_roc_auc')}, s.*, u.drift_users_affected, c.cold_start_users FROM (
+  WITH judged AS (SELECT anomaly_score AS s, CASE WHEN label <> 'normal' THEN 1 ELSE 0 END AS y FROM standin) {_AUC}) m
+CROSS JOIN (SELECT count(*) AS total_alerts, count(*) FILTER (WHERE status = 'open') AS open_alerts,
+  count(*) FILTER (WHERE status = 'confirmed') AS confirmed_alerts, count(*) FILTER (WHERE status = 'dismissed') AS dismissed_alerts FROM status) s
+CROSS JOIN (SELECT count(*) FILTER (WHERE p_value < 0.01) AS drift_users_affected FROM ({_USER_KS})) u
+CROSS JOIN (SELECT count(*) FILTER (WHERE event_count < 20) AS cold_start_users FROM stats) c""",
+           "standin", "status", "stats", "access_log"))
+def metrics_dashboard(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    drift = D.drift_summary(D.user_drift(log, DAYS, "asymptotic"),
+                            D.population_drift(log, days=DAYS, method="asymptotic"), DAYS)
+    row = DB.metrics_row(E.binary_report(judged(log), "anomaly_score", "attack"), status_rows(log), drift,
+                         B.user_baselines(log))
+    return row.select(num("anomaly_roc_auc"), "total_alerts", "open_alerts", "confirmed_alerts",
+                      "dismissed_alerts", "drift_users_affected", "cold_start_users")
+
+
+# --- streaming ------------------------------------------------------------------------
+
+def replay(spark: SparkSession, sf_dir: str, slices: int = 2) -> tuple[DataFrame, str]:
+    """The log as files in time order, read as a stream, and a work folder."""
+    root = ST.fresh_dir(shared_dir(spark), "replay")
+    log = checkpoint(load_log(spark, sf_dir))
+    first, last = log.agg(F.min("timestamp"), F.max("timestamp")).first()
+    step = (last - first) / slices
+    for i in range(slices):
+        part = log.filter(F.col("timestamp") >= F.lit(first + step * i))
+        if i + 1 < slices:
+            part = part.filter(F.col("timestamp") < F.lit(first + step * (i + 1)))
+        part.coalesce(8).write.mode("append").parquet(f"{root}/events")
+    return HP.read_events(spark, f"{root}/events", 8, ACCESS_LOG), root
+
+
+@query(sql(f"SELECT id, event_id, risk_score, attack_type, reason FROM alerts", "alerts"))
+def stream_alerts_replay(spark, sf_dir):
+    """Live path over the replayed log, with the stand-in score; equals the batch alerts."""
+    events, root = replay(spark, sf_dir)
+    base = train_baselines(load_log(spark, sf_dir))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        scored = standin_risk(FT.features_from_context(batch, base))
+        ST.append_alerts(SC.alert_rows(scored, shifted("timestamp", 60)).withColumn(
+            "id", F.concat(F.lit("al_"), "event_id")), f"{root}/alerts", f"live-{batch_id:012d}", same_days=True)
+
+    rows = LS.with_live_context(HP.prepared(events, "40 days"), expire=False)
+    (rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return ST.read_alerts(spark, f"{root}/alerts").select("id", "event_id", "risk_score", "attack_type", "reason")
+
+
+def _finished(stream: DataFrame, root: str, mode: str) -> DataFrame:
+    """Run a streaming aggregate to its end; the last state of each batch is kept."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{batch_id:06d}")
+
+    done = (stream.writeStream.outputMode(mode).foreachBatch(each)
+            .option("checkpointLocation", f"{root}/agg").trigger(availableNow=True).start())
+    done.awaitTermination()
+    last = max(p["batchId"] for p in done.recentProgress)
+    return stream.sparkSession.read.parquet(f"{root}/out/{last:06d}")
+
+
+@query(sql("SELECT label AS attack_type, 'open' AS status, count(*) AS n FROM access_log WHERE label <> 'normal' GROUP BY label", "access_log"))
+def stream_kpis(spark, sf_dir):
+    events, root = replay(spark, sf_dir)
+    alerts = events.filter("label <> 'normal'").select(
+        F.col("label").alias("attack_type"), F.lit("open").alias("status"))
+    return _finished(HP.live_kpis(alerts), root, "complete")
+
+
+@query(sql("""SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H') AS hour, count(*) AS events,
+  count(*) FILTER (WHERE NOT success) AS failures, round(count(*) FILTER (WHERE NOT success) / CAST(count(*) AS DOUBLE), 6) AS failure_rate
+FROM access_log GROUP BY 1""", "access_log"))
+def stream_failure_rates(spark, sf_dir):
+    events, root = replay(spark, sf_dir)
+    return _finished(HP.failure_rates(events), root, "complete").select(
+        F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "events", "failures", num("failure_rate"))
