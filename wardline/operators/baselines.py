@@ -68,7 +68,7 @@ def user_baselines(log: DataFrame, max_set: int = MAX_SET) -> DataFrame:
         spread("bytes_transferred").alias("std_bytes"),
         F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("failure_rate"),
         F.count(F.lit(1)).alias("event_count"),
-        F.max_by("role", "timestamp").alias("role"),
+        F.max_by("role", F.struct("timestamp", "event_id")).alias("role"),
     )
     kinds = F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))

@@ -71,6 +71,35 @@ def add_context(part: Part, depth: int = LOOKBACK_ROWS,
     )
 
 
+def timelines(log: DataFrame, alerts: DataFrame, minutes: int = 60, depth: int = LOOKBACK_ROWS,
+              policy: SkewPolicy = DEFAULT) -> DataFrame:
+    """The session context of each alert: the events before it, one row each.
+
+    The look-back is the one of the features, ``depth`` events strictly before
+    the alert, cut to the last ``minutes``.
+    """
+    marks = alerts.select("event_id", F.col("id").alias("alert_id"))
+    entry = F.struct("event_id", "action", "resource_accessed", "success",
+                     F.unix_micros("timestamp").alias("us"))
+    out = None
+    for part in split_timelines(log, policy, depth):
+        by_time = W.partitionBy(*part.keys).orderBy("timestamp", "event_id")
+        rows = part.rows.withColumns({
+            "_prior": F.collect_list(entry).over(by_time.rowsBetween(-depth, -1)),
+            "_first": F.row_number().over(by_time)
+            == F.rank().over(W.partitionBy(*part.keys).orderBy("timestamp")),
+        }).withColumn("_prior", F.first(F.when(F.col("_first"), F.col("_prior")), ignorenulls=True).over(
+            W.partitionBy(*part.keys, "timestamp"))).filter(~F.col("_halo"))
+        at = F.unix_micros("timestamp")
+        found = rows.join(marks, "event_id").select(
+            "alert_id", at.alias("_at"), F.explode("_prior").alias("e")
+        ).filter(F.col("e.us") >= F.col("_at") - F.lit(minutes * 60_000_000)).select(
+            "alert_id", "e.event_id", "e.action", "e.resource_accessed", "e.success",
+            ((F.col("_at") - F.col("e.us")) / F.lit(1e6)).alias("seconds_before"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def no_context(log: DataFrame) -> DataFrame:
     """Stateless scoring: one event on its own."""
     return log.withColumns({

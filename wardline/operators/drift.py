@@ -36,43 +36,44 @@ def split_windows(log: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_ks_pvalue(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """P(D ≥ d) by counting lattice paths that stay inside the band.
+def path_pvalue(n: int, m: int, stat: float) -> float:
+    """P(D ≥ stat) by following lattice paths that stay inside the band.
 
-    Counts are kept as probabilities: cell (i, j) holds the chance that a random
-    interleaving passes through it without having touched the band's edge.
+    A random interleaving of the samples is a path; ``inside`` holds, per count
+    of first-sample draws, the chance of being there without having left the
+    band.  One step advances all positions of a diagonal together.
     """
-    def one(n: int, m: int, d: float) -> float:
-        if n == 0 or m == 0:
-            return 1.0
-        edge = round(d * n * m)
-        if edge == 0:
-            return 1.0
-        j = np.arange(m + 1)
-        row = np.zeros(m + 1)
-        for i in range(n + 1):
-            inside = np.abs(i * m - j * n) < edge
-            left = n - i
-            # Chance that the next draw is from the first / second sample.
-            down = row * (left + 1) / (left + 1 + m - j) if i else row
-            across = (m - j) / np.maximum(left + m - j, 1)
-            new = np.zeros(m + 1)
-            carry = 0.0
-            for k in range(m + 1):
-                if inside[k]:
-                    here = down[k] + carry
-                    if i == 0 and k == 0:
-                        here = 1.0
-                    new[k] = here
-                    carry = here * across[k]
-                else:
-                    carry = 0.0
-            row = new
-        return float(min(1.0, max(0.0, 1.0 - row[m])))
+    edge = round(stat * n * m)
+    if edge <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for drawn in range(n + m):
+        left = n + m - drawn
+        j = drawn - i
+        moved = inside * np.clip(m - j, 0, None) / left
+        moved[1:] += inside[:-1] * (n - i[:-1]) / left
+        j = drawn + 1 - i
+        moved[(j < 0) | (j > m) | (np.abs(i * m - j * n) >= edge)] = 0.0
+        inside = moved
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
 
+
+@F.pandas_udf(T.DoubleType())
+def exact_ks_pvalue(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Exact p-value; null sizes give null.  Equal cases are computed once."""
+    known: dict[tuple, float] = {}
     for n, m, d in batches:
-        yield pd.Series([one(int(a), int(b), float(c)) for a, b, c in zip(n, m, d)], dtype="float64")
+        out = []
+        for case in zip(n, m, d):
+            if pd.isna(case[0]) or pd.isna(case[1]):
+                out.append(None)
+                continue
+            if case not in known:
+                known[case] = path_pvalue(int(case[0]), int(case[1]), float(case[2]))
+            out.append(known[case])
+        yield pd.Series(out, dtype="float64")
 
 
 def with_pvalue(ks: DataFrame, method: str = "auto", min_sample: int = MIN_SAMPLE,
@@ -83,18 +84,16 @@ def with_pvalue(ks: DataFrame, method: str = "auto", min_sample: int = MIN_SAMPL
     ``EXACT_LIMIT`` rows a side.  Short samples never count as drifted.
     """
     approx = kolmogorov_sf("ks_stat", "n_recent", "n_baseline")
-    if method == "auto":
-        # Paths depend on the triple alone, so each distinct one is counted once.
-        triple = ["n_recent", "n_baseline", "ks_stat"]
-        small = F.greatest("n_recent", "n_baseline") <= EXACT_LIMIT
-        exact = ks.filter(small & (F.least("n_recent", "n_baseline") >= min_sample)).select(
-            *triple).distinct().withColumn("_exact", exact_ks_pvalue(*triple))
-        ks = ks.join(exact, triple, "left")
-        p = F.coalesce("_exact", approx)
-    else:
-        p = approx
     enough = F.least("n_recent", "n_baseline") >= min_sample
-    return (ks.withColumn("p_value", F.when(enough, p).otherwise(1.0))
+    if method == "auto":
+        small = enough & (F.greatest("n_recent", "n_baseline") <= EXACT_LIMIT)
+        # Null sizes keep the function from working on rows it is not meant for.
+        exact = exact_ks_pvalue(F.when(small, F.col("n_recent")), F.when(small, F.col("n_baseline")), "ks_stat")
+        ks = ks.withColumn("_exact", exact)
+        approx = F.when(small, F.col("_exact")).otherwise(approx)
+    elif method != "asymptotic":
+        raise ValueError(f"unknown method {method!r}")
+    return (ks.withColumn("p_value", F.when(enough, approx).otherwise(1.0))
             .withColumn("drifted", enough & (F.col("p_value") < p_drift)).drop("_exact"))
 
 

@@ -27,7 +27,8 @@ def _with_baseline(rows: DataFrame, base: Baselines, wide_users: bool, hot: bool
         wide = base.stats.filter(F.col("known_devices").isNull()).select("user_id")
         pairs = base.devices.join(wide, "user_id", "left_semi").select(
             "user_id", F.col("value").alias("device_id"), F.lit(True).alias("_pair"))
-        joined = joined.join(pairs, ["user_id", "device_id"], "left")
+        n_pairs = pairs.limit(policy.max_broadcast_keys + 1).count()
+        joined = joined.join(bounded_hint(pairs, n_pairs, policy), ["user_id", "device_id"], "left")
         known = F.coalesce(known, F.col("_pair"))
     return joined.withColumn("_known", F.coalesce(known, F.lit(False))).drop("_pair")
 

@@ -151,25 +151,3 @@ def richest_examples(scored: DataFrame) -> DataFrame:
         F.desc("_signal"), "user_id", "timestamp", "event_id")
     return (scored.filter(F.col("label") != NORMAL).withColumn("_signal", signal)
             .withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "_signal"))
-
-
-def timeline(alerts: DataFrame, log: DataFrame, minutes: int = 60, bucket_s: int = 3600) -> DataFrame:
-    """The events of the same user in the time before each alert, one row each.
-
-    Events are matched on (user, time bucket): an alert looks at its own bucket
-    and the one before, so a very active user spreads over its buckets.
-    """
-    span = minutes * 60 * 1_000_000
-    width = max(bucket_s * 1_000_000, span)
-    us = F.unix_micros("timestamp")
-    a = alerts.select(F.col("id").alias("alert_id"), "user_id", us.alias("_at")).withColumn(
-        "_bucket", F.explode(F.array(F.floor(F.col("_at") / F.lit(width)),
-                                     F.floor(F.col("_at") / F.lit(width)) - 1)))
-    e = log.select("user_id", "event_id", "action", "resource_accessed", "success",
-                   us.alias("_us")).withColumn("_bucket", F.floor(F.col("_us") / F.lit(width)))
-    return (
-        a.join(e, ["user_id", "_bucket"])
-        .filter((F.col("_us") < F.col("_at")) & (F.col("_us") >= F.col("_at") - span))
-        .select("alert_id", "event_id", "action", "resource_accessed", "success",
-                ((F.col("_at") - F.col("_us")) / F.lit(1e6)).alias("seconds_before"))
-    )

@@ -20,7 +20,7 @@ from wardline.session import checkpoint
 
 K = 3
 BLOCK_ROWS = 1024
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 8192
 
 _NEAR = "array<struct<dist:double,id:string,x:array<double>>>"
 
@@ -122,8 +122,9 @@ def nearest_in_class(points: DataFrame, k: int = K, seed: int = SEED,
                 ids = np.array([c for c, _ in known])
                 reach = np.array([r for _, r in known])
                 d = _distances(_matrix(xs.iloc[at]), pivots[label][ids])
-                # Slack covers rounding of the two distances.
-                open_cells = d - reach - 1e-9 * (1.0 + d) < bounds.iloc[at].to_numpy()[:, None]
+                limit = bounds.iloc[at].to_numpy()[:, None]
+                # Slack covers rounding; nothing is closer than copies of the point.
+                open_cells = (d - reach - 1e-9 * (1.0 + d) < limit) & (limit > 0)
                 for i, row in zip(at, open_cells):
                     out[i] = ids[row].tolist()
             yield pd.Series(out)
@@ -173,7 +174,7 @@ def oversample(train: DataFrame, features: list[str], label: str = "label", row_
     small = {c: n for c, n in counts.items() if n < most}
     if not small:
         return _unpacked(real, features, label, row_id)
-    near = nearest_in_class(rows.filter(F.col("label").isin(*small)), k, seed, block_rows)
+    near = checkpoint(nearest_in_class(rows.filter(F.col("label").isin(*small)), k, seed, block_rows))
     # Every row bears the same number of new rows; hash order takes the rest.
     plan = train.sparkSession.createDataFrame(
         [(c, (most - n) // n, (most - n) % n) for c, n in small.items()],

@@ -205,6 +205,8 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
+    if not order:
+        return body
     return "WITH " + ",\n".join(f"{n} AS ({BLOCKS[n][1]})" for n in order) + "\n" + body
 
 

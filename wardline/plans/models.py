@@ -41,7 +41,7 @@ class Models:
 def training_table(log: DataFrame, base: Baselines, policy: SkewPolicy = DEFAULT) -> DataFrame:
     """Features and labels with the split mark, computed once for both layers."""
     matrix = feature_matrix(build_features(log, base, policy=policy), keep=("event_id", "label"))
-    return checkpoint(stratified_split(matrix))
+    return stratified_split(checkpoint(matrix))
 
 
 def train_anomaly(table: DataFrame, trees: int = TREES, sample: int = SAMPLE,

@@ -407,11 +407,12 @@ def first_sentences(spark, sf_dir):
 
 
 @query(sql(f"""SELECT a.id AS alert_id, l.event_id, l.action, l.resource_accessed, l.success,
-  {r6('(a.us - l.us) / 1000000.0', 'seconds_before')} FROM alerts a JOIN access_log l ON l.user_id = a.user_id
-  AND l.us < a.us AND l.us >= a.us - 3600000000""", "alerts", "access_log"))
+  {r6('(a.us - l.us) / 1000000.0', 'seconds_before')} FROM alerts a JOIN ordered_log o ON o.event_id = a.event_id
+  JOIN ordered_log l ON l.user_id = a.user_id AND l.rn < o.rk AND l.rn >= o.rk - 30 AND l.us >= a.us - 3600000000""",
+           "alerts", "ordered_log"))
 def alert_timeline(spark, sf_dir):
     log = load_log(spark, sf_dir)
-    return SC.timeline(standin_alerts(log), log).withColumn("seconds_before", F.round("seconds_before", 6))
+    return C.timelines(log, standin_alerts(log)).withColumn("seconds_before", F.round("seconds_before", 6))
 
 
 @query(sql("""SELECT label, event_id FROM (SELECT label, event_id, row_number() OVER (PARTITION BY label ORDER BY
