@@ -84,7 +84,7 @@ def tree_samples(df: DataFrame, features: list[str], row_id: str, n_rows: int,
 def _grower(sample: int, seed: int):
     limit = math.ceil(math.log2(max(sample, 2)))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rng = np.random.default_rng([seed, tree])
         x = np.array(pdf.sort_values("row_id")["x"].tolist(), dtype=float)
