@@ -80,7 +80,7 @@ def with_attributions(scored: DataFrame, model: PipelineModel, n_top: int = 4) -
     ranked = F.array_sort(F.transform("_credits", lambda v, i: F.struct(
         (-F.abs(v)).alias("rank"), i.alias("pos"), F.get(names, i).alias("feature"), v.alias("credit"))))
     return (
-        scored.withColumn("_credits", credits(vector, class_index("attack_type")))
+        scored.withColumn("_credits", credits.asNondeterministic()(vector, class_index("attack_type")))
         .withColumn("top_features", F.transform(F.slice(ranked, 1, n_top), lambda e: F.struct(
             e["feature"].alias("feature"), e["credit"].alias("credit"))))
         .drop("_credits")

@@ -88,7 +88,7 @@ def with_pvalue(ks: DataFrame, method: str = "auto", min_sample: int = MIN_SAMPL
     if method == "auto":
         small = enough & (F.greatest("n_recent", "n_baseline") <= EXACT_LIMIT)
         # Null sizes keep the function from working on rows it is not meant for.
-        exact = exact_ks_pvalue(F.when(small, F.col("n_recent")), F.when(small, F.col("n_baseline")), "ks_stat")
+        exact = exact_ks_pvalue.asNondeterministic()(F.when(small, F.col("n_recent")), F.when(small, F.col("n_baseline")), "ks_stat")
         ks = ks.withColumn("_exact", exact)
         approx = F.when(small, F.col("_exact")).otherwise(approx)
     elif method != "asymptotic":

@@ -138,29 +138,34 @@ def with_isolation_score(df: DataFrame, forest: IsolationForest) -> DataFrame:
     leaf = feature < 0
     here = np.arange(len(table))
     # A leaf points to itself, so every row can take the same number of steps.
-    packed = (
-        starts, np.where(leaf, 0, feature), table["threshold"].to_numpy(),
+    children = np.stack([
         np.where(leaf, here, table["left"].to_numpy() + base),
-        np.where(leaf, here, table["right"].to_numpy() + base),
-        table["path"].to_numpy())
+        np.where(leaf, here, table["right"].to_numpy() + base)], axis=1).astype(np.int32).ravel()
+    packed = (starts.astype(np.int32), np.where(leaf, 0, feature).astype(np.int32),
+              table["threshold"].to_numpy(), children, table["path"].to_numpy())
     shared = df.sparkSession.sparkContext.broadcast(packed)
     steps = math.ceil(math.log2(max(forest.sample, 2)))
     scale = path_constant_value(forest.sample) or 1.0
 
     @F.pandas_udf(T.DoubleType())
-    def isolation(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        starts, feature, threshold, left, right, path = shared.value
-        for xs in batches:
-            if len(xs) == 0:
-                yield pd.Series([], dtype="float64")
-                continue
-            x = np.stack(xs.to_numpy())
-            rows = np.arange(len(x))[:, None]
-            at = np.broadcast_to(starts, (len(x), len(starts)))
-            for _ in range(steps):
-                at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
-            yield pd.Series(np.exp2(-path[at].mean(axis=1) / scale))
-
-    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.features])
-    return df.withColumn("isolation_score", isolation(vector)).withColumn(
+    def isolation(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        starts, feature, threshold, children, path = shared.value
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            out = np.empty(len(x))
+            # Row chunks keep the position matrix in cache.
+            for lo in range(0, len(x), 512):
+                part = np.ascontiguousarray(x[lo:lo + 512])
+                flat = part.ravel()
+                first = (np.arange(len(part), dtype=np.int32) * part.shape[1])[:, None]
+                at = np.broadcast_to(starts, (len(part), len(starts)))
+                for _ in range(steps):
+                    at = children[2 * at + (flat[first + feature[at]] > threshold[at])]
+                out[lo:lo + 512] = np.exp2(-path[at].mean(axis=1) / scale)
+            yield pd.Series(out)
+
+    # Marked non-deterministic so that a filter on the score does not run it twice.
+    isolation = isolation.asNondeterministic()
+    vector = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.features]
+    return df.withColumn("isolation_score", isolation(*vector)).withColumn(
         "decision", F.col("isolation_score") - F.lit(forest.offset))

@@ -83,7 +83,7 @@ def nearest_in_class(points: DataFrame, k: int = K, seed: int = SEED,
                 cell[at], reach[at] = d.argmin(axis=1), d.min(axis=1)
             yield pd.DataFrame({"cell": cell, "reach": reach})
 
-    placed = points.withColumn("_p", nearest_pivot("label", "x")).select(
+    placed = points.withColumn("_p", nearest_pivot.asNondeterministic()("label", "x")).select(
         "label", "id", "x", "_p.cell", "_p.reach")
     placed = checkpoint(placed)
     # One row per pivot.
@@ -131,7 +131,7 @@ def nearest_in_class(points: DataFrame, k: int = K, seed: int = SEED,
 
     own = (F.col("cell") == F.col("to_cell")) & (F.col("sub") == F.col("to_sub"))
     visits = (
-        local.withColumn("to_cell", F.explode(reachable("label", "x", "bound")))
+        local.withColumn("to_cell", F.explode(reachable.asNondeterministic()("label", "x", "bound")))
         .join(F.broadcast(cells.select("label", F.col("cell").alias("to_cell"), "subs")), ["label", "to_cell"])
         .withColumn("to_sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         .filter(~own)
