@@ -37,7 +37,8 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     rows = train.withColumn("_y", class_index(label))
     if algorithm == "forest":
         learner = RandomForestClassifier(
-            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
+            featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
+            maxMemoryInMB=1024)
         if weight_col:
             learner = learner.setWeightCol(weight_col)
     elif algorithm == "boosted":

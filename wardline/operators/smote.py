@@ -21,6 +21,8 @@ from wardline.session import checkpoint
 K = 3
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 8192
+CHUNK = 1000
+ROWS_PER_TASK = 1_000_000
 
 _NEAR = "array<struct<dist:double,id:string,x:array<double>>>"
 
@@ -182,9 +184,16 @@ def oversample(train: DataFrame, features: list[str], label: str = "label", row_
     marked = pick_exact(near, "label", "id", plan.select("label", "take"), seed).join(
         F.broadcast(plan.drop("take")), "label")
     copies = F.col("each") + F.col("picked").cast("int")
+    # A few rows grow into many: spread them, in runs of CHUNK copies, before that.
+    spark = train.sparkSession
+    total = sum(most - n for n in small.values())
+    parts = max(2 * spark.sparkContext.defaultParallelism, total // ROWS_PER_TASK)
+    last = F.least(copies, (F.col("run") + 1) * CHUNK)
     drawn = (
         marked.filter(copies > 0)
-        .withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / F.lit(CHUNK)))))
+        .repartition(parts, "id", "run")
+        .withColumn("j", F.explode(F.sequence(F.col("run") * CHUNK + 1, last)))
         .withColumn("_o", F.when(F.size("near") > 0, F.get(
             "near", F.pmod(F.xxhash64("id", "j", F.lit(seed)), F.size("near")).cast("int"))["x"]))
         .withColumn("_o", F.coalesce("_o", "x"))
