@@ -111,7 +111,10 @@ def notes(alerts: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def detail(alerts: DataFrame, feedback: DataFrame, alert_id: str) -> DataFrame:
-    """One alert with its notes (newest first) and latest note."""
+    """One alert with its notes (newest first) and latest note.
+
+    Nests the notes of this one alert; ``notes`` gives those of all as rows.
+    """
     mine = feedback.filter(F.col("alert_id") == alert_id)
     entry = F.struct("created_at", "id", "action", "note")
     nested = mine.groupBy(F.col("alert_id").alias("id")).agg(

@@ -120,14 +120,17 @@ def context_features(log: DataFrame, policy: SkewPolicy = DEFAULT) -> DataFrame:
 def uncapped_failures(log: DataFrame, failure_window_s: int = FAILURE_WINDOW_S) -> DataFrame:
     """Failures of the same user and address in the window, without a row cap.
 
-    Counted on per-instant totals, so copies of one instant are merged before
-    the shuffle; the running frame is over totals, not rows.
+    Rows of one instant are merged before the shuffle.  Time is cut into buckets
+    as long as the window and each total is copied to the next bucket, so a
+    frame needs one bucket only, however long or busy a user's history is.
     """
     us = F.unix_micros("timestamp")
+    span = failure_window_s * 1_000_000
     totals = log.groupBy("user_id", "source_ip", us.alias("_us")).agg(
         F.count_if(~F.col("success")).alias("_f"))
-    frame = (W.partitionBy("user_id", "source_ip").orderBy("_us")
-             .rangeBetween(-failure_window_s * 1_000_000, -1))
-    counts = totals.select("user_id", "source_ip", "_us", F.coalesce(
-        F.sum("_f").over(frame), F.lit(0)).alias("failures_in_window"))
+    own = F.floor(F.col("_us") / F.lit(span))
+    placed = totals.withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    frame = W.partitionBy("user_id", "source_ip", "_bucket").orderBy("_us").rangeBetween(-span, -1)
+    counts = placed.withColumn("failures_in_window", F.coalesce(F.sum("_f").over(frame), F.lit(0))).filter(
+        F.col("_bucket") == own).select("user_id", "source_ip", "_us", "failures_in_window")
     return log.withColumn("_us", us).join(counts, ["user_id", "source_ip", "_us"]).drop("_us")

@@ -70,13 +70,9 @@ JOIN (SELECT user_id, geo_city AS home_city FROM (
     SELECT user_id, geo_city, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, geo_city) AS r
     FROM normal_log GROUP BY user_id, geo_city) WHERE r=1) c USING (user_id)""")
 
-# Baselines that leave out a tenth of the users, so that cold start occurs.
-_block("train_stats", ["stats"],
-       "SELECT * FROM stats WHERE CAST(substr(user_id, 6) AS BIGINT) % 10 <> 9")
-
 _NUM = BASELINE_NUMBERS
-_block("train_pop", ["train_stats"],
-       "SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in _NUM) + " FROM train_stats")
+_block("medians", ["stats"],
+       "SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in _NUM) + " FROM stats")
 
 _block("ordered_log", ["access_log"], """
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS rn,
@@ -103,7 +99,7 @@ SELECT l.*, k.session_resource_count, k.rapid_failure_count, least(t.speed, 2000
 FROM access_log l JOIN lookback k USING (event_id) JOIN travel t USING (event_id)""")
 
 _OWN = ", ".join(f"CASE WHEN s.user_id IS NULL THEN p.{c} ELSE CAST(s.{c} AS DOUBLE) END AS b_{c}" for c in _NUM)
-_block("features", ["context", "train_stats", "train_pop"], f"""
+_block("features", ["context", "stats", "medians"], f"""
 SELECT *, least(abs(hour_of_day - b_mean_hour), 24 - abs(hour_of_day - b_mean_hour)) / greatest(b_std_hour, 0.5) AS hour_deviation,
   least(greatest((session_duration_s - b_mean_session_s) / greatest(b_std_session_s, 1.0), -5.0), 5.0) AS session_z,
   least(greatest((bytes_transferred - b_mean_bytes) / greatest(b_std_bytes, 1.0), -5.0), 5.0) AS bytes_z,
@@ -112,11 +108,11 @@ SELECT *, least(abs(hour_of_day - b_mean_hour), 24 - abs(hour_of_day - b_mean_ho
 FROM (SELECT c.*, hour(c.timestamp) AS hour_of_day, {_OWN},
     CASE WHEN s.user_id IS NOT NULL AND list_contains(s.known_devices, c.device_id) THEN 0 ELSE 1 END AS is_novel_device,
     CASE WHEN starts_with(c.source_ip, '10.') OR starts_with(c.source_ip, '192.168.') OR starts_with(c.source_ip, '172.') THEN 0 ELSE 1 END AS is_public_ip,
-    CASE WHEN s.user_id IS NOT NULL AND s.event_count >= 20 THEN 0 ELSE 1 END AS cold_start,
-    CASE WHEN s.user_id IS NOT NULL AND s.event_count >= 20 THEN 'personal' ELSE 'population' END AS baseline_type,
+    CASE WHEN s.user_id IS NOT NULL AND s.event_count >= 60 THEN 0 ELSE 1 END AS cold_start,
+    CASE WHEN s.user_id IS NOT NULL AND s.event_count >= 60 THEN 'personal' ELSE 'population' END AS baseline_type,
     CASE c.action WHEN 'read' THEN 1 WHEN 'write' THEN 2 WHEN 'escalate' THEN 3 ELSE 0 END AS action_enc,
     CASE c.auth_method WHEN 'mfa' THEN 1 WHEN 'sso' THEN 2 WHEN 'certificate' THEN 3 WHEN 'api-key' THEN 4 ELSE 0 END AS auth_enc
-  FROM context c LEFT JOIN train_stats s ON s.user_id = c.user_id CROSS JOIN train_pop p) x""")
+  FROM context c LEFT JOIN stats s ON s.user_id = c.user_id CROSS JOIN medians p) x""")
 
 _block("violations", ["features"], """
 SELECT event_id, user_id, timestamp, 'impossible_travel' AS rule, 'high' AS severity,

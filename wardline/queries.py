@@ -65,17 +65,17 @@ def when_text(col, name=None):
 
 # --- inputs shared by the queries -------------------------------------------------
 
-def training_rows(log: DataFrame) -> DataFrame:
-    """Leaves a tenth of the users without baselines, so cold start occurs."""
-    return log.filter(F.substr("user_id", F.lit(6)).cast("long") % 10 != 9)
+# Every user of the tables has 40 rows or more; a limit of 60 normal rows makes
+# both personal and population baselines occur.
+COLD_BELOW = 60
 
 
 def train_baselines(log: DataFrame) -> B.Baselines:
-    return B.fit_baselines(training_rows(log))
+    return B.fit_baselines(log)
 
 
 def feature_rows(log: DataFrame) -> DataFrame:
-    return FT.build_features(log, train_baselines(log))
+    return FT.build_features(log, train_baselines(log), min_events=COLD_BELOW)
 
 
 def standin_scores(rows: DataFrame) -> DataFrame:
@@ -365,14 +365,13 @@ def feedback_accepted(spark, sf_dir):
 
 @query(sql("SELECT count(*) FILTER (WHERE event_count < 60) AS cold_start_users FROM stats", "stats"))
 def cold_start_users(spark, sf_dir):
-    # Every user of the tables has 40 rows or more, hence the higher limit.
-    return B.cold_start_users(B.user_baselines(load_log(spark, sf_dir)), min_events=60)
+    return B.cold_start_users(B.user_baselines(load_log(spark, sf_dir)), min_events=COLD_BELOW)
 
 
 @query(sql("SELECT user_id, CASE WHEN event_count >= 60 THEN 'personal' ELSE 'population' END AS baseline_type FROM stats", "stats"))
 def baseline_types(spark, sf_dir):
     return B.user_baselines(load_log(spark, sf_dir)).select(
-        "user_id", B.baseline_type(F.col("event_count"), 60).alias("baseline_type"))
+        "user_id", B.baseline_type(F.col("event_count"), COLD_BELOW).alias("baseline_type"))
 
 
 @query(sql("SELECT id, risk_score, attack_type FROM status WHERE risk_score >= 80 AND status = 'open'", "status"))
@@ -747,7 +746,7 @@ def stream_alerts_replay(spark, sf_dir):
     base = train_baselines(load_log(spark, sf_dir))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        scored = standin_risk(FT.features_from_context(batch, base))
+        scored = standin_risk(FT.features_from_context(batch, base, COLD_BELOW))
         ST.append_alerts(SC.alert_rows(scored, shifted("timestamp", 60)).withColumn(
             "id", F.concat(F.lit("al_"), "event_id")), f"{root}/alerts", f"live-{batch_id:012d}", same_days=True)
 
