@@ -7,8 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm import ppm as PPM
 from wardline.llm import topk as TK
-from wardline.llm.common import table
+from wardline.llm.common import fold, table
 from wardline.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,11 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def op4_threshold_topk(spark, sf_dir):
     return TK.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op10_ppm_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = PPM.train(PPM.context_counts(docs.filter(~held)))
+    return PPM.predict(docs, model, F.col("doc_id"), held.alias("held_out"))
