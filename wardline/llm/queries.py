@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardline.llm import packing as PK
 from wardline.llm import ppm as PPM
 from wardline.llm import topk as TK
+from wardline.llm import winnow as WN
 from wardline.llm.common import fold, table
 from wardline.session import use_utc
 
@@ -58,3 +59,21 @@ def op10_ppm_language(spark, sf_dir):
     held = fold(F.col("doc_id"), 3) == 1
     model = PPM.train(PPM.context_counts(docs.filter(~held)))
     return PPM.predict(docs, model, F.col("doc_id"), held.alias("held_out"))
+
+
+@query(r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(generate_series(1, len(w) - least(len(w), 10) + 1), lambda p: array_to_string(w[p:p + least(len(w), 10) - 1], ' '))) AS g
+  FROM b WHERE len(w) > 0),
+g AS (SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS p, w FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n),
+h AS (SELECT r, p, g.n, i.item_id FROM g JOIN i ON g.n = i.n AND i.g = array_to_string(w[p:p + g.n - 1], ' ')),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""")
+def op9_winnowing(spark, sf_dir):
+    found = WN.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
