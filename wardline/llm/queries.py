@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm import lattice_lm as LM
 from wardline.llm import packing as PK
 from wardline.llm import ppm as PPM
 from wardline.llm import topk as TK
@@ -37,6 +38,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_lattice_likelihood(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 7) == 2
+    model = LM.train(docs.filter(~held), LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    return LM.score(docs, model, F.col("doc_id"), held.alias("held_out"))
+
+
 @query()
 def op3_configuration_packing(spark, sf_dir):
     return PK.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
