@@ -2,11 +2,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from wardline.llm import packing as PK
+from wardline.llm.common import chunks
 from wardline.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -22,23 +24,40 @@ def exact(text):
     return WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def ids_of(texts):
+    ids, counts = ENCODER.encode(pa.array(texts, pa.string()))
+    assert len(ids) == counts.sum()
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_ids_of_odd_texts():
-    encoder = PK.WordEncoder(PATH)
-    for text, got in zip(ODD, encoder.encode(ODD), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == exact(text), text
+    for text, got in zip(ODD, ids_of(ODD), strict=True):
+        assert got == exact(text), text
+    assert ids_of([""]) == [[]] and ids_of(["", ""]) == [[], []]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
-def test_ids_of_any_text(text):
-    assert np.frombuffer(next(ENCODER.encode([text])), "<u4").tolist() == exact(text)
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
+def test_ids_of_any_text(texts):
+    assert ids_of(texts) == [exact(t) for t in texts]
 
 
-def test_small_cache(monkeypatch):
-    monkeypatch.setattr(PK, "CACHE_WORDS", 2)
-    texts = ["one two three four", "two five", "three six one"] * 60
-    got = [np.frombuffer(x, "<u4").tolist() for x in PK.WordEncoder(PATH).encode(texts)]
-    assert got == [exact(t) for t in texts]
+@settings(max_examples=150, deadline=None)
+@given(st.text("aBzÀß' .,!<|>'s\t1é\u0301", max_size=40))
+def test_ids_of_close_cases(text):
+    assert ids_of([text]) == [exact(text)]
+
+
+@pytest.mark.parametrize("size", [1, 10, 1 << 20])
+def test_chunks(size):
+    texts = pa.array(["one two", None, "", "x" * 30, "y"] * 3)
+    parts = list(chunks(texts, size))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(15))
+    got = []
+    for p in parts:
+        ids, counts = ENCODER.encode(texts[p])
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [exact(t or "") for t in texts.to_pylist()]
 
 
 def held(bins, capacity):

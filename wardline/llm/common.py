@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,3 +28,19 @@ def numbered(df: DataFrame, *cols: Column) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def large(texts: pa.Array) -> pa.Array:
+    """A copy as large_string without nulls; text functions go wrong on some slices."""
+    return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+
+
+def chunks(texts: pa.Array, size: int) -> Iterator[slice]:
+    """Runs of texts of up to ``size`` bytes; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        low = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, low + size, "right")))
+        yield slice(first, last)
+        first = last

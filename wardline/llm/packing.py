@@ -15,7 +15,6 @@ then take the places planned for their length by their rank in it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,28 +22,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from wardline.llm.common import numbered
+from wardline.llm.common import chunks, large, numbered
 from wardline.session import checkpoint
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps at most, and their letters.
-CACHE_WORDS, CACHE_LETTERS = 300_000, 8_000_000
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Bytes of text that are encoded together; a longer text is alone.
+CHUNK = 16 << 20
+_PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins letters across white space.
 
-    A text is cut at spaces and line ends and every different word is encoded
-    once.  Words of plain letters, with at most one mark behind, skip the
+    Texts are cut at spaces and line ends and every different word of a chunk
+    is encoded once.  Of words of plain letters with ASCII marks behind,
+    letters and marks are units of their own, and the letters skip the
     tokenizer's normalizer, which would change nothing but their case.
     """
 
-    plain = re.compile(f"([{_LETTERS}]+)([.,]?)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -55,42 +53,46 @@ class WordEncoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.marks = {m: self.ids(m) for m in (".", ",")} | {"": b""}
-        self.known: dict[str, bytes] = {}
-        self.letters = 0
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of small letters, and how many each has."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 1000):
-            part = words[i:i + 1000]
-            ids = np.array(self.lean.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            data, last = ids.tobytes(), 0
-            for word, end in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
-                out[word] = data[last:end]
-                last = end
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS or self.letters > CACHE_LETTERS:
-            self.known, self.letters = {}, 0
-        split = {w: m for w in words - self.known.keys() if (m := self.plain.fullmatch(w))}
-        lower = {w: m[1].lower() for w, m in split.items()}
-        cores = self._plain(sorted(set(lower.values())))
-        for w in words - self.known.keys():
-            self.letters += len(w)
-            self.known[w] = cores[lower[w]] + self.marks[split[w][2]] if w in split else self.ids(w)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
-        for i in range(0, len(texts), 64):
-            words = [t.replace("\n", " ").split(" ") for t in texts[i:i + 64]]
-            self.learn(set().union(*words))
-            get = self.known.__getitem__
-            for w in words:
-                yield b"".join(map(get, w))
+            found = self.lean.encode_batch_fast([" ".join(words[i:i + 1000])], add_special_tokens=False)[0].ids
+            ids.append(np.array(found, np.uint32))
+            counts.append(np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        cut = pc.split_pattern(pc.replace_substring(large(texts), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        sizes = np.diff(cut.offsets.to_numpy())
+        parts = pc.extract_regex(words.dictionary, _PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        cores = pc.utf8_lower(pc.struct_field(parts, "core").filter(pa.array(plain))).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(pa.array(plain)).dictionary_encode()
+        odd = words.dictionary.filter(pa.array(~plain))
+        tables = [self._cores(cores.dictionary.to_pylist()), self._others(marks.dictionary.to_pylist()), self._others(odd.to_pylist())]
+        pool, lengths = (np.concatenate(x) for x in zip(*tables))
+        lengths = np.append(lengths, 0).astype(np.int32)  # the last unit is empty
+        begins = (np.cumsum(lengths) - lengths).astype(np.int32)
+
+        n_cores, n_marks = len(cores.dictionary), len(marks.dictionary)
+        units = np.full((len(plain), 2), len(lengths) - 1, np.int32)
+        units[plain, 0] = cores.indices.to_numpy()
+        units[plain, 1] = n_cores + marks.indices.to_numpy()
+        units[~plain, 0] = n_cores + n_marks + np.arange(len(odd))
+        used = units[words.indices.to_numpy()].ravel()
+        many = lengths[used]
+        ends = np.cumsum(many, dtype=np.int64)
+        ids = pool[np.repeat(begins[used] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.append(0, ends)[np.cumsum(sizes) * 2]
+        return ids, np.diff(last, prepend=0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -101,24 +103,27 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     """(row, doc_id, piece, start, length, ids_crc32) of every piece; null text counts as empty."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _encoders[tokenizer] = encoder
-        end = np.array([end_id], "<u4").tobytes()
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
         for batch in batches:
-            out: list[tuple] = []
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for row, name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode(texts)):
-                ids += end
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    part = ids[4 * start:4 * (start + capacity)]
-                    out.append((row, name, piece, start, len(part) // 4, zlib.crc32(part)))
-            if out:
+            for part in chunks(batch.column(2), CHUNK):
+                rows = batch.slice(part.start, part.stop - part.start)
+                ids, counts = _encoders[tokenizer].encode(rows.column(2))
+                ids = np.insert(ids.astype("<u4"), np.cumsum(counts), end_id)
+                counts = counts + 1
+                many = -(-counts // capacity)
+                doc = np.repeat(np.arange(len(counts)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(counts[doc] - start, capacity)
+                at = (np.cumsum(counts) - counts)[doc] + start
+                data = memoryview(ids.tobytes())
+                crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), kind, pa.int32(), *[pa.int64()] * 3))], names)
+                    [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(piece.astype(np.int32)),
+                     pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
 
     chosen = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = to_arrow_type(chosen.schema["doc_id"].dataType)
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
     return chosen.mapInArrow(cut, f"row long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}, piece int, "
                                   "start long, length long, ids_crc32 long")
