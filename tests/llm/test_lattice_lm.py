@@ -3,6 +3,7 @@ from collections import Counter
 from math import exp, log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ def test_vocabulary():
     assert len(v) > 20000
 
 
+def test_tokens():
+    texts = ["A ab\tABA é", None, "", " ", "\x0b a\x1cb  É\r\nz ", "a\x00b Ａ", "\u2003x"]
+    for low in range(len(texts) + 1):  # slices too
+        words, doc, ids = LM.tokens(pa.array(texts, pa.string())[low:])
+        got = [[words[int(i)].as_py() for i in ids[doc == d]] for d in range(len(texts) - low)]
+        assert got == [LM.words_of(t) for t in texts[low:]]
+
+
 def small_base(rows, train):
     c = Counter(w for _, t in train for w in (t or "").encode().lower().split())
     ends = len(train)
@@ -68,14 +77,14 @@ def small_base(rows, train):
                    sum(log10((c[w] + 1) / (n + v + 1)) for w in ws) + log10((ends + 1) / (n + v + 1))) for k, t in rows}
 
 
-@pytest.mark.parametrize("frequent", [1, 1 << 17])
-def test_scores(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, chunk", [(1, 10), (1, 1 << 20), (1 << 17, 1 << 20), (1 << 17, 10)])
+def test_scores(spark, monkeypatch, frequent, chunk):
     monkeypatch.setattr(LM, "FREQUENT", frequent)
+    monkeypatch.setattr(LM, "CHUNK", chunk)
     rows = [(1, "A ab\tABA é"), (2, "ab  ab\nab\x0bbaba É"), (3, None), (4, ""), (5, "zz   new"), (6, "ab " * 300),
             (7, "x" * 500 + " ab"), (8, "a\x00b \x1c c")]
     df = spark.createDataFrame([(*r, "w", 1) for r in [*rows, rows[1], (None, "ab new")]], SCHEMA)
-    train = df.filter("doc_id < 5")
-    model = LM.train(train, LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model")), passes=2)
+    model = LM.train(df, F.coalesce(F.col("doc_id") < 5, F.lit(False)), LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model")), passes=2)
     got = LM.score(df, model, F.col("doc_id"), F.col("word").alias("base")).collect()
     n, want = small_base([*rows, (None, "ab new")], [r for r in [*rows, rows[1]] if r[0] and r[0] < 5])
     assert len(got) == 10 and sum(r["doc_id"] == 2 for r in got) == 2
@@ -91,17 +100,17 @@ def test_scores(spark, monkeypatch, frequent):
 def test_passes_raise_the_likelihood(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     vocab = LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model"))
-    sums = [LM.score(docs, LM.train(docs, vocab, passes=p, smooth=1e-6), F.col("doc_id")).agg(F.sum("score")).first()[0] for p in (0, 1, 3)]
+    sums = [LM.score(docs, LM.train(docs, F.lit(True), vocab, passes=p, smooth=1e-6), F.col("doc_id")).agg(F.sum("score")).first()[0] for p in (0, 1, 3)]
     assert sums[0] < sums[1] < sums[2] < 0
 
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     vocab = dict(VOCAB)
-    model = LM.train(df, vocab)
+    model = LM.train(df, F.lit(True), vocab)
     assert LM.score(df, model, F.col("doc_id")).count() == 0
     some = spark.createDataFrame([(1, "ab a", "w", 1)], SCHEMA)
-    r = LM.score(some, model, F.col("doc_id")).first()
+    r = LM.score(some, model.knowing(some), F.col("doc_id")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] < 0
 
 

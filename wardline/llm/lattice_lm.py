@@ -14,25 +14,25 @@ Beside the model stands a plain word unigram with one added to each count.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import log, log1p, exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import numbered
+from wardline.llm.common import chunks, large, numbered
 from wardline.session import checkpoint
 
 BLANK = b" "
 #: Longest word, in bytes, that is handled together with others.
 LONG = 64
-#: Bytes of words in one lattice, and distinct words a task keeps before it passes them on.
-LATTICE_BYTES, HELD_WORDS = 1 << 20, 300_000
+#: Bytes of words in one lattice, and of texts that are split and counted together.
+LATTICE_BYTES, CHUNK = 1 << 20, 24 << 20
 #: A word with at least one part in so many of all tokens is frequent, so there are at most so many.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,6 +40,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same for many texts: the different words, and each token's text and word by number."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(large(texts)))
+    words = cut.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    ids = words.indices.to_numpy()
+    empty = pc.index(words.dictionary, "").as_py()
+    if empty >= 0:  # beside blanks at the ends
+        real = ids != empty
+        doc, ids = doc[real], ids[real]
+    return words.dictionary.cast(pa.large_binary()).cast(pa.binary()), doc, ids
+
+
 # --- the vocabulary ------------------------------------------------------------------
 
 def read_vocabulary(path: str) -> dict[bytes, float]:
@@ -217,22 +230,18 @@ def log_probabilities(trie: Trie, words: list[bytes], logp: np.ndarray) -> np.nd
 
 # --- training ------------------------------------------------------------------------
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts; tasks add up what they see before it is shuffled."""
+def word_counts(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+    """(word, n): every word of the texts, and how often the texts to learn from have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(words_of(value))
-                if len(seen) > HELD_WORDS:
-                    yield rows()
-                    seen.clear()
-        yield rows()
-    return (docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
+            for part in chunks(batch.column(0), CHUNK):
+                words, doc, ids = tokens(batch.column(0)[part])
+                counted = batch.column(1)[part].to_numpy(zero_copy_only=False).astype(bool)
+                n = np.bincount(ids[counted[doc]], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
+                seen = np.bincount(ids, minlength=len(words)) > 0 if len(words) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(seen)), pa.array(n[seen].astype(np.int64))], ["word", "n"])
+    return (docs.select(F.col(text).cast("string").alias("text"), learn.alias("learn")).mapInArrow(count, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -261,9 +270,24 @@ def expected_counts(words: DataFrame, shared, logp: np.ndarray) -> np.ndarray:
     return out
 
 
+def with_log_probability(words: DataFrame, trie: Trie, logp: np.ndarray) -> DataFrame:
+    """(word, n, p): the natural log of each word's probability."""
+    shared = words.sparkSession.sparkContext.broadcast((trie, logp))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = log_probabilities(shared.value[0], batch.column(0).to_pylist(), shared.value[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["word", "n", "p"])
+    return words.mapInArrow(add, "word binary, n long, p double")
+
+
 @dataclass
 class Model:
-    """Piece probabilities (natural log) and the end's, the training counts and their sums."""
+    """Piece probabilities (natural log) and the end's; the training counts and their sums.
+
+    ``words`` has the words of all texts to be scored, with count zero if they
+    were not learned.
+    """
 
     trie: Trie
     logp: np.ndarray
@@ -273,20 +297,28 @@ class Model:
     distinct: int
     ends: int
 
+    def knowing(self, docs: DataFrame, text: str = "text") -> "Model":
+        """The same model, able to score further texts."""
+        more = word_counts(docs, F.lit(False), text)
+        return replace(self, words=checkpoint(self.words.unionByName(more).groupBy("word").agg(F.sum("n").alias("n"))))
+
+
+def train(docs: DataFrame, learn: Column, vocabulary: dict[bytes, float], passes: int = 3, smooth: float = 0.1,
+          text: str = "text") -> Model:
+    """Learn from the texts marked by ``learn``; the model can score all of docs.
 
-def train(docs: DataFrame, vocabulary: dict[bytes, float], passes: int = 3, smooth: float = 0.1, text: str = "text") -> Model:
-    """Learn from all texts; a null text is empty and has an end only."""
-    spark = docs.sparkSession
-    words = checkpoint(word_counts(docs, text))
-    ends = docs.count()
-    facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    A null text is empty and has an end only.
+    """
+    words = checkpoint(word_counts(docs, learn, text))
+    ends = docs.filter(learn).count()
+    facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     weight = np.array(list(vocabulary.values()))
     trie = Trie.of(list(vocabulary))
-    shared = spark.sparkContext.broadcast(trie)
+    shared = docs.sparkSession.sparkContext.broadcast(trie)
     logp, log_end = np.log(0.99 * weight / weight.sum()), log(0.01)  # before anything is learned
     if facts["n"]:
         for _ in range(passes):
-            n = expected_counts(words, shared, logp) + smooth
+            n = expected_counts(words.filter("n > 0"), shared, logp) + smooth
             logp = np.log(n / (n.sum() + ends))
             log_end = log(ends / (n.sum() + ends))
     return Model(trie, logp, log_end, words, facts["n"] + ends, facts["v"] + (ends > 0), ends)
@@ -297,64 +329,57 @@ def train(docs: DataFrame, vocabulary: dict[bytes, float], passes: int = 3, smoo
 def score(docs: DataFrame, model: Model, *keep: Column, text: str = "text") -> DataFrame:
     """The kept columns and n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Counts of frequent words, of which there are at most FREQUENT, go to all
-    tasks; what a document has of other words is joined with the counts.  A
-    document's own row takes part in that join under a key no word has.
+    Frequent words, of which there are at most FREQUENT, go to all tasks with
+    their counts and probabilities; what a document has of other words is
+    joined with the table of words.  A document's own row takes part in that
+    join under a key no word has.  docs are texts the model was given.
     """
-    spark = docs.sparkSession
     floor = max(model.tokens, 1) / FREQUENT
     frequent = (F.col("n") >= floor) & (F.length("word") <= LONG)
-    counts = {bytes(r["word"]): r["n"] for r in model.words.filter(frequent).toLocalIterator()}
-    frozen = spark.sparkContext.broadcast((model.trie, model.logp, model.log_end, counts, model.ends))
+    common = with_log_probability(model.words.filter(frequent), model.trie, model.logp).toArrow()
+    frozen = docs.sparkSession.sparkContext.broadcast((common.column("word").combine_chunks(), common.column("n").to_numpy(), common.column("p").to_numpy()))
+    log_end, ends = model.log_end, model.ends
     chosen = numbered(docs, F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
     kept = chosen.schema["kept"].dataType.simpleString()
     schema = f"row long, word binary, times long, kept {kept}, n_tokens long, n_known long, base double, score double"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, logp, log_end, common, ends = frozen.value
-        index: dict[bytes, int] = {}
-        names: list[bytes] = []
-        lattice, base, known = (np.zeros(0) for _ in range(3))
+        names, counts, logs = frozen.value
+        base = np.append(np.log10(counts + 1.0), 0.0)  # the last stands for a rare word
+        logs, known = np.append(logs, 0.0), np.append(counts > 0, False)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for low in range(0, len(texts), 128):
-                if len(index) > HELD_WORDS:
-                    index, names = {}, []
-                    lattice, base, known = (np.zeros(0) for _ in range(3))
-                docs_words = [words_of(t) for t in texts[low:low + 128]]
-                sizes = np.array([len(w) for w in docs_words])
-                add = index.setdefault
-                ids = np.fromiter((add(w, len(index)) for ws in docs_words for w in ws), np.int64, int(sizes.sum()))
-                new = list(index)[len(names):]
-                names += new
-                if new:
-                    n = [common.get(w) for w in new]
-                    lattice = np.append(lattice, log_probabilities(trie, new, logp))
-                    base = np.append(base, np.log10([1.0 if x is None else x + 1.0 for x in n]))
-                    known = np.append(known, [x is not None for x in n])
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                totals = [np.bincount(doc, v[ids], len(sizes)) if len(ids) else np.zeros(len(sizes)) for v in (lattice, base, known)]
-                part = batch.slice(low, len(sizes))
-                nth = part.column(0).to_numpy()
+            for cut in chunks(batch.column(2), CHUNK // 2):
+                part = batch.slice(cut.start, cut.stop - cut.start)
+                words, doc, ids = tokens(part.column(2))
+                place = pc.fill_null(pc.index_in(words, names), len(names)).to_numpy(zero_copy_only=False)
+                at = place[ids] if len(ids) else ids
+
+                def total(values):
+                    return np.bincount(doc, values[at], part.num_rows) if len(ids) else np.zeros(part.num_rows)
+                row = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([BLANK + int(i).to_bytes(8, "big") for i in nth], pa.binary()),
-                    pa.array(np.zeros(len(nth), np.int64)), part.column(1), pa.array(sizes + 1),
-                    pa.array(totals[2].astype(np.int64) + (ends > 0)), pa.array(totals[1] + np.log10(ends + 1.0)),
-                    pa.array((totals[0] + log_end) / log(10))], heads)
-                rare = known[ids] == 0 if len(ids) else np.zeros(0, bool)
-                pair, times = np.unique(doc[rare] * len(index) + ids[rare], return_counts=True)
-                where, what = pair // max(1, len(index)), pair % max(1, len(index))
+                    part.column(0), pa.array([BLANK + int(i).to_bytes(8, "big") for i in row], pa.binary()),
+                    pa.array(np.zeros(len(row), np.int64)), part.column(1), pa.array(np.bincount(doc, minlength=len(row)) + 1),
+                    pa.array(total(known).astype(np.int64) + (ends > 0)), pa.array(total(base) + np.log10(ends + 1.0)),
+                    pa.array((total(logs) + log_end) / log(10))], heads)
+                rare = at == len(names)
+                pair, times = np.unique(doc[rare] * len(words) + ids[rare], return_counts=True)
+                where, what = pair // max(1, len(words)), pair % max(1, len(words))
                 nothing = [pa.nulls(len(pair), t) for t in (part.column(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(nth[where]), pa.array([names[i] for i in what.tolist()], pa.binary()), pa.array(times.astype(np.int64)), *nothing], heads)
+                yield pa.RecordBatch.from_arrays([pa.array(row[where]), words.take(pa.array(what)), pa.array(times.astype(np.int64)), *nothing], heads)
 
     heads = ["row", "word", "times", "kept", "n_tokens", "n_known", "base", "score"]
-    seen = chosen.mapInArrow(rows, schema).join(model.words.filter(~frequent), "word", "left")
+    rare = with_log_probability(model.words.filter(~frequent), model.trie, model.logp)
+    seen = chosen.mapInArrow(rows, schema).join(rare, "word", "left")
     hit = F.col("n").isNotNull()
+
+    def plus(own: str, value: Column, none) -> Column:
+        return (F.sum(own) + F.sum(F.when(hit, value).otherwise(none))).alias(own)
     all_of = seen.groupBy("row").agg(
-        F.first("kept", ignorenulls=True).alias("kept"), F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"),
-        (F.sum("n_known") + F.sum(F.when(hit, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.when(hit, F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(0.0))).alias("base"))
+        F.first("kept", ignorenulls=True).alias("kept"), F.sum("n_tokens").alias("n_tokens"),
+        plus("n_known", F.when(F.col("n") > 0, F.col("times")).otherwise(0), 0),
+        plus("base", F.col("times") * F.log10(F.col("n") + 1.0), 0.0),
+        plus("score", F.col("times") * F.col("p") / log(10), 0.0))
     under = float(np.log10(model.tokens + model.distinct + 1.0))
     return all_of.select("kept.*", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                          (F.col("base") - F.col("n_tokens") * F.lit(under)).alias("base_score"), "score")

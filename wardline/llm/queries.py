@@ -42,7 +42,7 @@ def tokenizer_path(name: str) -> str:
 def op1_lattice_likelihood(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 7) == 2
-    model = LM.train(docs.filter(~held), LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    model = LM.train(docs, ~held, LM.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
     return LM.score(docs, model, F.col("doc_id"), held.alias("held_out"))
 
 
