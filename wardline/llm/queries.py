@@ -7,8 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm import importance as IMP
 from wardline.llm import lattice_lm as LM
 from wardline.llm import packing as PK
+from wardline.llm import pii_boost as PII
 from wardline.llm import ppm as PPM
 from wardline.llm import topk as TK
 from wardline.llm import winnow as WN
@@ -46,6 +48,16 @@ def op1_lattice_likelihood(spark, sf_dir):
     return LM.score(docs, model, F.col("doc_id"), held.alias("held_out"))
 
 
+@query()
+def op2_boosted_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = PII.find(docs, PII.train(docs))
+    counts = [PII.count_of(F.col("base"), k).alias(f"n_{k}") for k in PII.KINDS]
+    return found.select("doc_id", *counts, F.sha2(PII.listed(F.col("base")), 256).alias("base_sha256"),
+                        PII.listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+                        F.size("added").cast("long").alias("n_added"))
+
+
 @query()
 def op3_configuration_packing(spark, sf_dir):
     return PK.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -86,3 +98,10 @@ def op9_winnowing(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op5_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = IMP.fit(docs, table(spark, sf_dir, "labels"))
+    return IMP.resample(docs, model, F.col("doc_id"))
