@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm import chosen_path as CP
 from wardline.llm import importance as IMP
 from wardline.llm import lattice_lm as LM
 from wardline.llm import packing as PK
@@ -105,3 +106,8 @@ def op5_importance_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = IMP.fit(docs, table(spark, sf_dir, "labels"))
     return IMP.resample(docs, model, F.col("doc_id"))
+
+
+@query()
+def op6_chosen_path(spark, sf_dir):
+    return CP.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
