@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardline.llm import chosen_path as CP
 from wardline.llm import importance as IMP
 from wardline.llm import lattice_lm as LM
+from wardline.llm import line_join as LJ
 from wardline.llm import packing as PK
 from wardline.llm import pii_boost as PII
 from wardline.llm import ppm as PPM
@@ -111,3 +112,8 @@ def op5_importance_resampling(spark, sf_dir):
 @query()
 def op6_chosen_path(spark, sf_dir):
     return CP.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query()
+def op8_line_similarity(spark, sf_dir):
+    return LJ.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "__lines.n_lines", "__lines.n_removed")
