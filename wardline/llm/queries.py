@@ -14,6 +14,7 @@ from wardline.llm import line_join as LJ
 from wardline.llm import packing as PK
 from wardline.llm import pii_boost as PII
 from wardline.llm import ppm as PPM
+from wardline.llm import revisits as RV
 from wardline.llm import topk as TK
 from wardline.llm import winnow as WN
 from wardline.llm.common import fold, table
@@ -117,3 +118,33 @@ def op6_chosen_path(spark, sf_dir):
 @query()
 def op8_line_similarity(spark, sf_dir):
     return LJ.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "__lines.n_lines", "__lines.n_removed")
+
+
+@query(r"""WITH p AS (SELECT page_id AS p, trim(url) AS u, md5(html) AS md, strlen(html) AS size FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^[^@]*@', ''), '^www\.', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS q FROM p),
+k AS (SELECT *, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE u END AS key,
+  '"' || md || '"' AS tag, 'day ' || CAST(p % 97 AS VARCHAR) AS day FROM c),
+r AS (SELECT key, p * 2 AS id, 1 AS f, p * 60 AS ts, md AS digest, CASE p % 7 WHEN 6 THEN NULL WHEN 5 THEN 'W/' || tag ELSE tag END AS etag,
+    CASE WHEN p % 5 = 4 THEN NULL ELSE day END AS lm, size, p FROM k
+  UNION ALL SELECT key, p * 2 + 1, 0, p * 60 + CASE p % 3 WHEN 0 THEN 30 WHEN 1 THEN -30 ELSE 100000 END, CASE WHEN p % 6 = 5 THEN md END,
+    CASE p % 6 WHEN 0 THEN tag WHEN 1 THEN 'W/' || tag WHEN 2 THEN '"other"' END, CASE p % 6 WHEN 3 THEN day WHEN 4 THEN 'never' END, size, p FROM k),
+w AS (SELECT *, last_value(CASE WHEN f = 1 THEN id END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, f, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ref FROM r),
+j AS (SELECT n.id, n.key, n.ts, o.id AS ref, o.digest AS old_digest, o.size, o.p, o.etag AS old_etag, o.lm AS old_lm, n.etag, n.lm,
+    CASE WHEN o.id IS NULL THEN 'no_earlier'
+      WHEN n.etag IS NOT NULL AND o.etag IS NOT NULL THEN CASE WHEN regexp_replace(n.etag, '^W/', '') = regexp_replace(o.etag, '^W/', '') THEN 'etag' ELSE 'mismatch' END
+      WHEN n.lm IS NOT NULL AND o.lm IS NOT NULL THEN CASE WHEN n.lm = o.lm THEN 'last_modified' ELSE 'mismatch' END
+      WHEN n.digest IS NOT NULL AND o.digest IS NOT NULL THEN CASE WHEN n.digest = o.digest THEN 'digest' ELSE 'mismatch' END
+      ELSE 'unchecked' END AS verdict
+  FROM w n LEFT JOIN r o ON n.ref = o.id AND o.f = 1 WHERE n.f = 0)
+SELECT id AS record_id, key AS url_key, verdict, CASE WHEN verdict IN ('etag', 'last_modified', 'digest') THEN CAST(ref AS VARCHAR) END AS response_id,
+  CASE WHEN verdict IN ('etag', 'last_modified', 'digest') THEN old_digest END AS payload_digest,
+  CASE WHEN verdict IN ('etag', 'last_modified', 'digest') THEN array_to_string(list_sort(list_filter([
+    'content-type: text/html', 'content-length: ' || CAST(size AS VARCHAR), 'server: s' || CAST(p % 3 AS VARCHAR), 'cache-control: max-age=9',
+    'date: ' || CAST(ts AS VARCHAR), 'etag: ' || coalesce(etag, old_etag), 'last-modified: ' || coalesce(lm, old_lm)], lambda x: x IS NOT NULL)), chr(10)) END AS headers
+FROM j""")
+def op7_revisit_resolution(spark, sf_dir):
+    found = RV.resolve(RV.archive_of(table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("record_id"), F.col("key").alias("url_key"), "verdict", F.col("response").cast("string").alias("response_id"),
+                        "payload_digest", RV.header_lines(F.col("headers")).alias("headers"))
