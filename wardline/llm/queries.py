@@ -148,3 +148,10 @@ def op7_revisit_resolution(spark, sf_dir):
     found = RV.resolve(RV.archive_of(table(spark, sf_dir, "pages")))
     return found.select(F.col("id").alias("record_id"), F.col("key").alias("url_key"), "verdict", F.col("response").cast("string").alias("response_id"),
                         "payload_digest", RV.header_lines(F.col("headers")).alias("headers"))
+
+
+@query()
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
