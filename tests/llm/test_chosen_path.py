@@ -122,6 +122,17 @@ def test_shared_counts():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(70) for j in range(70) if i != j)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_groups_of_a_stream(size):
+    rng = np.random.default_rng(size)
+    keys = np.sort(rng.integers(0, 25, 60))
+    table = pa.RecordBatch.from_arrays([pa.array(keys // 5), pa.array(keys % 5), pa.array(np.arange(60))], ["a", "b", "v"])
+    batches = [table.slice(i, size) for i in range(0, 60, size)] + [table.slice(60)]
+    got = [g.column(2).to_pylist() for g in CP.groups_of(iter(batches), 2)]
+    want = [np.flatnonzero(keys == k).tolist() for k in np.unique(keys) if (keys == k).sum() > 1]
+    assert got == want
+
+
 def test_loose_clusters():
     rng = np.random.default_rng(1)
     base = rng.integers(-2**63, 2**63 - 1, (5, 2))

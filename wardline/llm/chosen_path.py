@@ -123,35 +123,31 @@ def described(docs: DataFrame, similarity: float, depth: int, runs: int, k: int,
 # --- buckets -------------------------------------------------------------------------
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal first ``keys`` columns of a sorted stream; only one run is held over."""
+    """Runs of two rows or more with equal first ``keys`` columns of a sorted stream; only one run is held over."""
     held: list[pa.RecordBatch] = []
+
+    def closed():
+        if sum(h.num_rows for h in held) > 1:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        if held:
-            same = all(held[0].column(i)[0] == batch.column(i)[0] for i in range(keys))
-            if not same:
-                yield joined(held)
-                held = []
-        change = np.zeros(batch.num_rows - 1, bool)
+        if held and any(held[0].column(i)[0] != batch.column(i)[0] for i in range(keys)):
+            yield from closed()
+        change = np.zeros(n - 1, bool)
         for i in range(keys):
             v = batch.column(i).to_numpy(zero_copy_only=False)
             change |= v[1:] != v[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b == batch.num_rows:
-                held.append(batch.slice(a, b - a))
-            elif a == 0 and held:
-                yield joined([*held, batch.slice(a, b - a)])
-                held = []
-            else:
-                yield batch.slice(a, b - a)
-    if held:
-        yield joined(held)
-
-
-def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
+        if len(cuts) > 2:
+            held.append(batch.slice(0, cuts[1]))
+            yield from closed()
+            for j in np.flatnonzero(np.diff(cuts)[1:-1] > 1) + 1:
+                yield batch.slice(cuts[j], cuts[j + 1] - cuts[j])
+        held.append(batch.slice(cuts[-2]))
+    yield from closed()
 
 
 def root(parent: np.ndarray, i: int) -> int:
@@ -204,8 +200,6 @@ def candidate_links(sets: DataFrame, most: int) -> DataFrame:
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1):
-            if group.num_rows < 2:
-                continue
             bits = np.stack([group.column(2).to_numpy(), group.column(3).to_numpy()], axis=1)
             first = loose_clusters(np.ascontiguousarray(bits), most)
             who = group.column(1).to_numpy()
@@ -301,8 +295,6 @@ def checked(members: DataFrame, docs: DataFrame, text: str, similarity: float, k
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 3):
-            if group.num_rows < 2:
-                continue
             who, side, copies = (group.column(i).to_numpy() for i in (3, 4, 5))
             sets = [np.frombuffer(s, np.uint64) for s in group.column(6).to_pylist()]
             n, first = exact_links(sets, side, copies.astype(np.float64), similarity, group.column(1)[0] == group.column(2)[0])

@@ -20,8 +20,14 @@ def numbered(df: DataFrame, *cols: Column) -> DataFrame:
     """The chosen columns and ``row``, a number that tells repeated rows apart.
 
     It follows the place of a row in its scan, so it is the same whenever the
-    files are read again; other inputs should be checkpointed first.
+    files are read again; other inputs should be checkpointed first.  How files
+    are split depends on the cores there are, unless it is set: it is pinned
+    here, as executors may come and go between two readings.
     """
+    pin = "spark.sql.files.minPartitionNum"
+    spark = df.sparkSession
+    if spark.conf.get(pin, None) is None:
+        spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
     return df.select(F.monotonically_increasing_id().alias("row"), *cols)
 
 
