@@ -325,7 +325,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     every = checkpoint(described(docs, similarity, depth, runs, k, doc_id, text))
     worded = every.filter("words > 0")
     sets = checkpoint(worded.groupBy("f1", "f2").agg(
-        F.min("row").alias("set"), F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.first("words").alias("words"),
+        F.min("row").alias("set"), F.count("*").alias("copies"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("lead"), F.first("words").alias("words"),
         F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("buckets").alias("buckets")))
     # One bit differs with probability (1 - J) / 2; the slack on J is over three standard deviations.
     most = int(COORDINATES * (1 - similarity + slack) / 2)
@@ -337,18 +338,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     links = checkpoint(checked(members, docs, text, similarity, k))
     exact = components(links.filter("set <> first").select(F.greatest("set", "first").alias("a"), F.least("set", "first").alias("b")).distinct())
     numbers = links.groupBy("set").agg(F.sum("n").alias("n"))
-    known = (sets.select("f1", "f2", "set", "copies", "low").join(numbers, "set", "left")
-             .join(exact.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
-    least = known.groupBy("root").agg(F.min("low").alias("class_id"))
-    known = known.join(least, "root").select(
-        "f1", "f2", "root", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = every.select("row", "doc_id", "f1", "f2", "words").join(known, ["f1", "f2"], "left")
+    # Classes are worked out per set; documents only look up their own set.
+    rooted = sets.select("set", "lead").join(exact.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    leads = checkpoint(rooted.groupBy("root").agg(F.min("lead").alias("lead")))
+    known = (sets.select("f1", "f2", "set", "copies").join(rooted.select("set", "root"), "set").join(leads, "root").join(numbers, "set", "left")
+             .select("f1", "f2", "lead", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     lone = F.col("words") == 0
-    out = out.select("row", "doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                     F.when(lone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-                     F.when(lone, -1 - F.col("row")).otherwise(F.col("root")).alias("root"))
-    head = out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("row").alias("r")))["r"].alias("head"))
-    return out.join(head, "root").select("row", "doc_id", "class_id", "n_links", (F.col("row") == F.col("head")).alias("first"))
+    return every.select("row", "doc_id", "f1", "f2", "words").join(known, ["f1", "f2"], "left").select(
+        "row", "doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("lead.id")).alias("class_id"),
+        F.when(lone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), (lone | (F.col("lead.row") == F.col("row"))).alias("first"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

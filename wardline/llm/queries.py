@@ -110,12 +110,34 @@ def op5_importance_resampling(spark, sf_dir):
     return IMP.resample(docs, model, F.col("doc_id"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN often USING (g) JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+r(a, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+k AS (SELECT a, min(root) AS class_id FROM r GROUP BY a)
+SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = doc_id) AS n_links FROM d JOIN k ON k.a = doc_id""")
 def op6_chosen_path(spark, sf_dir):
     return CP.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, i, a[i] AS line, list_sort(list_distinct(regexp_extract_all(lower(a[i]), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
+  FROM (SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM d)),
+s AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first, row_number() OVER () AS s FROM l WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT s, n, unnest(w) AS t FROM s),
+f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS (SELECT s, n, t FROM (SELECT s, n, t, row_number() OVER (PARTITION BY s ORDER BY f, t) AS pos FROM t JOIN f USING (t))
+  WHERE pos <= n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1),
+c AS (SELECT DISTINCT x.s AS x, y.s AS y FROM p x JOIN p y ON x.t = y.t AND x.s <> y.s AND 5 * y.n >= 4 * x.n AND 5 * x.n >= 4 * y.n),
+m AS (SELECT DISTINCT x FROM c JOIN s a ON a.s = x JOIN s b ON b.s = y
+  WHERE b.first < a.first AND 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+g AS (SELECT doc_id, i, line, NOT (len(l.w) > 0 AND (s.first <> (doc_id, i) OR m.x IS NOT NULL)) AS keep
+  FROM l LEFT JOIN s ON l.w = s.w LEFT JOIN m ON m.x = s.s)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep), '') AS text, count(*) AS n_lines,
+  count(*) FILTER (WHERE NOT keep) AS n_removed FROM g GROUP BY doc_id""")
 def op8_line_similarity(spark, sf_dir):
     return LJ.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "__lines.n_lines", "__lines.n_removed")
 
