@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, row string, set int"
 
 
 def shingle_set(text, k=5):
-    w = WORD.findall((text or "").lower())
+    w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
@@ -115,6 +115,16 @@ def test_shingles_agree(texts):
         assert got == [len(shingle_set(t)) for t in raw[low:]]
 
 
+def test_hashes_differ():
+    words = [b"a" * n for n in range(1, 40)] + [b"a" * n + b"b" for n in range(40)] + [bytes([i]) for i in range(1, 97)] + [b"", b"\0", b"\0\0"]
+    words = sorted(set(words))
+    one = SH.hashed(pa.array(words, pa.binary()))
+    assert len(set(one.tolist())) == len(words)
+    for low in (1, 7):
+        assert (SH.hashed(pa.array(words, pa.binary())[low:]) == one[low:]).all()
+    assert SH.hashed(pa.array([], pa.binary())).tolist() == []
+
+
 def test_shared_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 900, rng.integers(0, 400)).astype(np.uint64)) for _ in range(70)]

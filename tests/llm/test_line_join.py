@@ -11,6 +11,7 @@ from wardline.llm import line_join as LJ
 from wardline.session import checkpoint
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+small = lambda text: re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 SCHEMA = "doc_id long, text string, row string, line int"
 
 
@@ -24,7 +25,7 @@ def naive(docs, t=0.8):
             continue
         keep = []
         for line in docs[i][1].split("\n"):
-            w = frozenset(WORD.findall(line.lower()))
+            w = frozenset(WORD.findall(small(line)))
             if not w or not any(len(w & s) >= t * len(w | s) - 1e-9 for s in seen):
                 keep.append(line)
             if w:
@@ -66,6 +67,7 @@ def test_against_brute_force(spark, monkeypatch, seed, parts, chunk, most):
     monkeypatch.setattr(LJ, "LEAST_PARTS", parts)
     monkeypatch.setattr(LJ, "MOST_PARTS", max(parts, 2))
     monkeypatch.setattr(LJ, "CHUNK", chunk)
+    monkeypatch.setattr(LJ, "BUCKET_ROWS", chunk)
     docs = corpus(seed)
     assert ours(spark, docs, most=most) == naive(docs)
 
@@ -90,36 +92,121 @@ def test_many_lines_of_one_key(spark, monkeypatch):
     assert ours(spark, docs) == naive(docs)
 
 
-def test_second_round(spark, monkeypatch):
-    """Lines whose nearest candidates fail are checked against all."""
-    real, calls = LJ.checked, []
+def test_later_rounds(spark, monkeypatch):
+    """Lines whose nearest candidates fail are checked against others, and then against all."""
+    real, real_met, calls = LJ.checked, LJ.met, []
 
     def failing(*args):
-        out = real(*args)
         calls.append(1)
-        return out.withColumn("similar", F.col("similar") & ~F.col("more")) if len(calls) == 1 else out
+        out = real(*args)
+        return out.filter(F.lit(False))
     monkeypatch.setattr(LJ, "checked", failing)
     docs = corpus(9)
-    assert ours(spark, docs, most=1) == naive(docs) and len(calls) == 2
+    real_last = LJ.compared_with_all
+    monkeypatch.setattr(LJ, "compared_with_all", lambda still, *rest: calls.append(still.count()) or real_last(still, *rest))
+    ours(spark, docs, first=1, most=1)
+    assert len(calls) == 3 and calls[2] > 0
+    # With all lines in the last round, it finds by itself all there is to find.
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(LJ, "compared_with_all", lambda *a, limit=limit: real_last(*a, broadcast_words=limit))
+        monkeypatch.setattr(LJ, "checked", lambda *a: real(*a).filter(F.lit(False)))
+        monkeypatch.setattr(LJ, "met", lambda *a: real_met(*a).withColumn("more", F.lit(True)))
+        assert ours(spark, docs) == naive(docs)
+    monkeypatch.setattr(LJ, "checked", real)
+    monkeypatch.setattr(LJ, "met", real_met)
+    monkeypatch.setattr(LJ, "compared_with_all", real_last)
+    for first, most in ((1, 1), (1, 2), (3, 3)):
+        assert ours(spark, docs, first=first, most=most) == naive(docs)
+
+
+def test_shuffled_list(spark):
+    docs = corpus(6)
+    assert ours(spark, docs, broadcast_lines=-1) == naive(docs)
+
+
+def test_long_lines(spark):
+    """All sizes of bit maps, with neighbours in the next size."""
+    rng = random.Random(12)
+    docs = []
+    for n in (30, 60, 64, 65, 70, 120, 128, 130, 250, 256, 260, 300, 700, 2000):
+        base = [f"k{n}x{j}" for j in range(n)]
+        for change in (0.0, 0.05, 0.09, 0.1, 0.12, 0.15, 0.2, 0.4):
+            copy = [w if rng.random() > change else f"z{rng.random()}" for w in base]
+            docs.append((len(docs), " ".join(copy[:rng.randint(int(0.9 * n), n)]), "x", 1))
+    rng.shuffle(docs)
+    assert ours(spark, docs) == naive(docs)
 
 
-@pytest.mark.parametrize("block", [1, 7, 1024])
-def test_large_groups_alike(monkeypatch, block):
-    monkeypatch.setattr(LJ, "BLOCK", block)
-    rng = np.random.default_rng(block)
-    k = 120
-    n, pos = rng.integers(2, 9, k), rng.integers(0, 2, k)
+def test_bit_maps():
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(2**62, n, replace=False).astype(np.uint64) for n in (1, 5, 64, 65, 128, 129, 256, 257, 900)]
+    word = np.concatenate(sets)
+    n = np.array([len(s) for s in sets])
+    maps = LJ.bit_maps(word, np.cumsum(n) - n, n)
+    for i, s in enumerate(sets):
+        w = int(LJ.map_words(n[i:i + 1])[0])
+        assert not maps[i, w:].any() and np.bitwise_count(maps[i]).sum() % 2 == n[i] % 2
+        alone = LJ.bit_maps(s, np.array([0]), n[i:i + 1])
+        assert (alone == maps[i]).all()
+        while w > 1:  # folding gives the map that fewer bits would have
+            w //= 2
+            h = LJ.mixed(s + np.uint64(7))
+            want = [int(np.bitwise_xor.reduce(np.where((h >> np.uint64(6)) % np.uint64(w) == k, np.uint64(1) << (h & np.uint64(63)), np.uint64(0)))) for k in range(w)]
+            assert LJ.folded(maps[i:i + 1], w)[0].tolist() == want
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_near_pairs_against_all_pairs(monkeypatch, held):
+    monkeypatch.setattr(LJ, "HELD_PAIRS", held)
+    rng = np.random.default_rng(held)
+    k = 150
+    group, n = np.sort(rng.integers(0, 3, k)), rng.integers(2, 9, k)
+    order = np.lexsort((n, group))
+    n, pos = n[order], rng.integers(0, 2, k)
     bits, rank = rng.integers(0, 16, k).astype(np.uint64), rng.permutation(k)
+    maps = np.zeros((k, 8), np.uint64)
+    maps[:, 0] = bits
     for most in (1, 3, 1 << 40):
-        x, y, u = LJ.small_pairs(np.zeros(k), n, pos, bits, rank, 0.8)
-        want = {tuple(map(int, r)) for r in zip(*LJ.nearest(x, y, u, rank, most))}
-        assert {tuple(map(int, r)) for r in zip(*LJ.large_group(n, pos, bits, rank, 0.8, most))} == want and want
+        want = {}
+        for x in range(k):
+            fits = []
+            for y in range(k):
+                need = -(-4 * int(n[x] + n[y]) // 9)
+                u = int(bits[x] ^ bits[y]).bit_count()
+                if group[x] == group[y] and rank[y] < rank[x] and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]) \
+                        and u <= n[x] + n[y] - 2 * need and (n[x] != n[y] or 2 * n[x] - 2 * need >= 2) and min(n[x] - pos[x], n[y] - pos[y]) >= need:
+                    fits.append((u, rank[y], y, int(n[x] + n[y] - 2 * need)))
+            limit = min(1, most) if fits and 2 * min(fits)[0] <= min(fits)[3] else most
+            for u, _, y, _ in sorted(fits)[:limit]:
+                want[x, int(y)] = (u, len(fits) > limit)
+        # Searches in large groups may end early, but not where all that is found is kept.
+        large = LJ.near_pairs(group, n, pos, maps, rank, 0.8, 1 << 40, most, large=5)
+        assert {int(x) for x in large[0]} == {x for x, _ in want}
+        if most > 3:
+            assert {(int(x), int(y)) for x, y in zip(*large[:2])} >= set(want)
+        early = LJ.near_pairs(group, n, pos, maps, rank, 0.8, 1, most, large=5)
+        assert {int(x) for x in early[0]} == {x for x, _ in want}
+        got = LJ.near_pairs(group, n, pos, maps, rank, 0.8, 1, most)
+        assert {(int(x), int(y)): (int(u), bool(m)) for x, y, u, _, m in zip(*got)} == want and want
 
 
 def test_empty_table(spark):
     assert ours(spark, []) == Counter() and ours(spark, [(1, None, "x", 1)]) == Counter({(1, None): 1})
 
 
+def test_packs():
+    rng = np.random.default_rng(0)
+    k, m = 500, 60
+    sizes = rng.choice([1, 64, 65, 200, 300, 70000], m)
+    maps = np.where(np.arange(8) < LJ.map_words(sizes)[:, None], rng.integers(0, 2**63, (m, 8)).astype(np.uint64), np.uint64(0))
+    of = rng.integers(0, m, k)
+    columns = [rng.integers(0, 2**32, k), rng.integers(0, 2**32, k), sizes[of], np.where(rng.random(k) < 0.1, LJ.LAST, rng.integers(-5, 9, k)),
+               rng.integers(0, 2**40, k), rng.integers(0, 300, k), rng.integers(-2, 3, k)]
+    bucket = rng.integers(0, 7, k)
+    got = [(b, *map(int, r[:-1]), tuple(r[-1].tolist())) for b, cols in LJ.unpacked(LJ.packs(bucket, columns, maps, of)) for r in zip(*cols)]
+    assert Counter(got) == Counter((int(b), *map(int, r), tuple(maps[o].tolist())) for b, o, *r in zip(bucket, of, *columns))
+
+
 def test_prefix_and_overlap():
     n = np.arange(1, 200)
     p = LJ.prefix_sizes(n, 0.8)
@@ -134,7 +221,7 @@ def test_line_words_of_slices():
     texts = pa.array(["A b\n\nc É", None, "", "x-y\nx"])
     for low in range(5):
         text, number, codes, line, ids = LJ.line_words(texts[low:])
-        want = [(i, j, w) for i, t in enumerate(texts[low:].to_pylist()) for j, x in enumerate((t or "").split("\n")) for w in WORD.findall(x.lower())]
+        want = [(i, j, w) for i, t in enumerate(texts[low:].to_pylist()) for j, x in enumerate((t or "").split("\n")) for w in WORD.findall(small(x))]
         assert [(int(text[a]), int(number[a])) for a in line] == [w[:2] for w in want]
         assert len(set(codes[ids].tolist())) == len({w[2] for w in want})
 
@@ -153,7 +240,7 @@ def fast(docs):
     for name, text in docs:
         keep = []
         for line in text.split("\n"):
-            w = frozenset(WORD.findall(line.lower()))
+            w = frozenset(WORD.findall(small(line)))
             common = Counter(j for x in w for j in where.get(x, ()))
             if not any(5 * n >= 4 * (len(w) + len(sets[j]) - n) for j, n in common.items()):
                 keep.append(line)

@@ -17,48 +17,38 @@ first; lines whose nearest fail while others remain are checked against all.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from wardline.llm.chosen_path import groups_of
 from wardline.llm.common import chunks, large, numbered
-from wardline.llm.shingles import _REST, mixed
+from wardline.llm.shingles import line_words, mixed
 from wardline.session import checkpoint
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Rows that meet in one bucket, about; buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 1 << 16
 #: Frequent words have one part in so many of all words: as many parts as words / SHARE, within bounds.
-SHARE, LEAST_PARTS, MOST_PARTS = 8192, 1024, 1 << 17
-#: Candidates of a line that are checked first, and rows compared at once.
-NEAREST, BLOCK = 3, 1024
+SHARE, LEAST_PARTS, MOST_PARTS = 512, 1024, 1 << 17
+#: Candidates of a line that are kept if the nearest is very near, and if it isn't; pairs held before only those are kept.
+FIRST, NEAREST, HELD_PAIRS = 2, 1024, 1 << 19
+#: Rows of a group from which a row's search ends when its nearest are very near, and candidates kept there.
+LARGE, NEAREST_LARGE = 1024, 64
+#: Words up to which the lines of the last round are broadcast; beyond, lines come to them by a shuffle.
+BROADCAST_WORDS = 2_000_000
+#: Sizes up to which a line's bit map has 64, 128 and 256 bits; longer lines have 512.
+MAP_SIZES = np.array([64, 128, 256])
+#: Removed lines up to which their list is broadcast; a longer one is joined by a shuffle.
+BROADCAST_LINES = 2_000_000
 #: Bits of the filter that tells which lines the check needs.
 FILTER_BITS = 1 << 24
 LAST = 2**63 - 1
 
 
-def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and number of each line, the codes of the different words, and each word's line and code number."""
-    lines = pc.split_pattern(large(texts), "\n")
-    sizes = np.diff(lines.offsets.to_numpy())
-    text = np.repeat(np.arange(len(texts)), sizes)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines.flatten()), _REST, " "))
-    words = cut.flatten().dictionary_encode()
-    names = words.dictionary.cast(pa.large_binary()).to_pylist()
-    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    ids, line = words.indices.to_numpy(), np.repeat(np.arange(len(text)), np.diff(cut.offsets.to_numpy()))
-    empty = pc.index(words.dictionary, "").as_py()
-    if empty >= 0:
-        real = ids != empty
-        ids, line = ids[real], line[real]
-    return text, number, codes, line, ids
-
-
-def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
-    """Codes of frequent words, rarest first; at most MOST_PARTS.
+def frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Codes of frequent words, rarest first, at most MOST_PARTS; and the number of all words.
 
     A chunk passes on the words that could be frequent, so a word's count may
     lack what chunks have too little of it to tell.  Any order is exact.
@@ -77,7 +67,7 @@ def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
     total = counts.agg(F.sum("all")).first()[0] or 0
     parts = min(MOST_PARTS, max(LEAST_PARTS, total // SHARE))
     rows = counts.filter((F.col("n") > 0) & (F.col("n") * parts >= total)).orderBy("n", "word").select("word").toArrow()
-    return rows.column("word").to_numpy().view(np.uint64)
+    return rows.column("word").to_numpy().view(np.uint64), int(total)
 
 
 class Order:
@@ -118,12 +108,107 @@ def overlap_needed(total: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
 
 
-COLUMNS = ["key", "f", "bits", "n", "doc_id", "row", "line", "pos"]
-TYPES = "key long, f int, bits long, n int, doc_id long, row long, line int, pos int"
+def map_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words in the bit map of a set of n."""
+    return 1 << np.searchsorted(MAP_SIZES, n)
+
+
+def bit_maps(word: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Eight words per set: its bit map, whose bits are the parity of how many words have them, then zeros.
+
+    A map folds into one of half the size by exclusive or of its halves.
+    """
+    h = mixed(word + np.uint64(7))
+    wide = np.repeat(map_words(n), n).astype(np.uint64)
+    place = (h >> np.uint64(6)) % wide
+    bit = np.uint64(1) << (h & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(place == np.uint64(w), bit, np.uint64(0)), start) for w in range(8)], axis=1)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """The maps' first ``words`` words after folding the rest onto them."""
+    out = maps[:, :words].copy()
+    for low in range(words, maps.shape[1], words):
+        out ^= maps[:, low:low + words]
+    return out
+
+
+COLUMNS = ["key", "f", "n", "doc_id", "row", "line", "pos"]
+KINDS = [np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64, np.int64]
+
+
+def narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Least value and the differences to it, in as few bytes each as will do."""
+    low = int(values.min())
+    size = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if int(values.max()) - low <= np.iinfo(t).max)
+    return low, (values.view(np.uint64) - np.uint64(low & (2**64 - 1))).astype(size).tobytes()
+
+
+def packs(bucket: np.ndarray, columns: list[np.ndarray], maps: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket, with each column's values as bytes: first those of fixed width, then least values and differences.
+
+    The bit maps are rows ``of`` of maps; only the words that a set of its size has are kept.
+    """
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+    columns = [np.ascontiguousarray(c[order].astype(t)) for c, t in zip(columns, KINDS)]
+    fixed, rest = columns[:2], columns[2:]
+    of = of[order]
+    words = map_words(rest[0])
+    pool = maps[of][np.arange(8) < words[:, None]]
+    last = np.append(0, np.cumsum(words))
+    small = [[narrow(c[a:b]) for c in rest] for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[cuts[:-1]].astype(np.int32)),
+        *[pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in fixed],
+        pa.array([pool[last[a]:last[b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        pa.array([[low for low, _ in r] for r in small], pa.list_(pa.int64())),
+        *[pa.array([r[i][1] for r in small], pa.binary()) for i in range(len(rest))]],
+        ["bucket", *COLUMNS[:2], "maps", "least", *COLUMNS[2:]])
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Bucket and columns of each row that ``packs`` made."""
+    parts = [c.to_pylist() for c in batch.columns]
+    for i, bucket in enumerate(parts[0]):
+        n = len(parts[1][i]) // 4
+        wide = []
+        for low, data in zip(parts[4][i], (p[i] for p in parts[5:])):
+            size = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]
+            wide.append((np.frombuffer(data, size).astype(np.uint64) + np.uint64(low & (2**64 - 1))).view(np.int64))
+        words = map_words(wide[0])
+        maps = np.zeros((n, 8), np.uint64)
+        maps[np.arange(8) < words[:, None]] = np.frombuffer(parts[3][i], np.uint64)
+        yield bucket, [*(np.frombuffer(p[i], t) for p, t in zip(parts[1:3], KINDS)), *wide, maps]
+
+
+PACKED = "bucket int, key binary, f binary, maps binary, least array<long>, n binary, doc_id binary, row binary, line binary, pos binary"
+
+
+def prefix_keys(word, frequent, start, n, use, similarity):
+    """Set, key and place of the rare words, and of the pairs of frequent words, by which the sets in ``use`` meet others."""
+    keep = prefix_sizes(n, similarity)
+    of = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(word)) - start[of]
+    use = use[of] & (n[of] > 1)
+    single = np.flatnonzero(use & (pos < keep[of]) & ~frequent)
+    at, keys, places = [of[single]], [word[single]], [pos[single]]
+    # Frequent words come last, so two of them stand side by side or further apart at the end of the prefix.
+    both = np.flatnonzero(use & (pos <= keep[of]) & frequent)
+    gap = 1
+    while len(both):
+        both = both[both + gap < len(word)]
+        other = both + gap
+        fits = (of[other] == of[both]) & (pos[other] <= keep[of[both]])
+        both, other = both[fits], other[fits]
+        at.append(of[both]), keys.append(mixed(word[both]) + word[other]), places.append(np.zeros(len(both), np.int64))
+        gap += 1
+    return np.concatenate(at), np.concatenate(keys), np.concatenate(places)
 
 
-def meetings(docs: DataFrame, order, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """Where lines meet: rows of one key, for equal lines (pos -1) and for similar ones.
+def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """Where lines meet: rows of one key, for equal lines (pos -1) and for similar ones, packed by buckets of keys.
 
     Of equal lines in a chunk only the first meets others; the rest are
     marked for removal (pos -2) at once.
@@ -140,8 +225,9 @@ def meetings(docs: DataFrame, order, similarity: float, doc_id: str, text: str)
                 start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 n = np.diff(np.append(start, len(line)))
                 which = line[start]
-                f = (mixed(np.add.reduceat(mixed(word), start)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(word + np.uint64(7)) & np.uint64(63)), start).view(np.int64)
+                f = (mixed(np.add.reduceat(mixed(word), start)) >> np.uint64(32)).astype(np.uint32)
+                maps = bit_maps(word, start, n)
+                bits = folded(maps, 1)[:, 0]
                 doc = pc.fill_null(some.column(1), LAST).to_numpy()[text_of[which]]
                 row, nth = some.column(0).to_numpy()[text_of[which]], number[which]
                 sort = np.lexsort((nth, row, doc, n, bits, f))
@@ -149,251 +235,439 @@ def meetings(docs: DataFrame, order, similarity: float, doc_id: str, text: str)
                 first = np.ones(len(n), bool)
                 first[sort[again]] = False
 
-                def rows(at, key, pos):
-                    return pa.RecordBatch.from_arrays([
-                        pa.array(key.astype(np.int64)), pa.array(f[at]), pa.array(bits[at]), pa.array(n[at].astype(np.int32)), pa.array(doc[at]),
-                        pa.array(row[at]), pa.array(nth[at].astype(np.int32)), pa.array(pos.astype(np.int32))], COLUMNS)
                 gone, here = np.flatnonzero(~first), np.flatnonzero(first)
-                yield rows(gone, row[gone], np.full(len(gone), -2))
-                short = lambda x: (mixed(x) >> np.uint64(24)).view(np.int64)
-                yield rows(here, short(f[here].view(np.uint32).astype(np.uint64) + bits[here].view(np.uint64)), np.full(len(here), -1))
-
-                keep = prefix_sizes(n, similarity)
-                of = np.repeat(np.arange(len(n)), n)
-                pos = np.arange(len(line)) - start[of]
-                use = first[of] & (n[of] > 1)
-                single = np.flatnonzero(use & (pos < keep[of]) & ~frequent)
-                yield rows(of[single], short(word[single]), pos[single])
-                # Frequent words come last, so two of them stand side by side or further apart at the end of the prefix.
-                both = np.flatnonzero(use & (pos <= keep[of]) & frequent)
-                gap = 1
-                while len(both):
-                    both = both[both + gap < len(line)]
-                    other = both + gap
-                    fits = (of[other] == of[both]) & (pos[other] <= keep[of[both]])
-                    both, other = both[fits], other[fits]
-                    yield rows(of[both], short(mixed(word[both]) + word[other]), np.zeros(len(both)))
-                    gap += 1
+                at, keys, places = [gone, here], [row[gone].view(np.uint64), f[here] + bits[here]], [np.full(len(gone), -2), np.full(len(here), -1)]
+                of, key, place = prefix_keys(word, frequent, start, n, first, similarity)
+                at.append(of), keys.append(key), places.append(place)
+                at, key = np.concatenate(at), mixed(np.concatenate(keys))
+                yield packs((key >> np.uint64(32)) % np.uint64(buckets), [
+                    key & np.uint64(0xFFFFFFFF), f[at], n[at], doc[at], row[at], nth[at], np.concatenate(places)], maps, at)
 
     chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(meet, TYPES)
+    return chosen.mapInArrow(meet, PACKED)
 
 
 # --- where lines meet ----------------------------------------------------------------
 
-def fitting(n, m, p, q, bits, others, similarity):
-    """Whether sets of sizes n and m that share the words at p and q can be similar, and their unequal bits."""
-    need = overlap_needed(n + m, similarity)
-    unequal = np.bitwise_count(bits ^ others).astype(np.int64)
-    good = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (1 + np.minimum(n - p, m - q) - 1 >= need)
-    return good & (unequal <= n + m - 2 * need), unequal
+def nearest(later, earlier, unequal, room, more, rank, first, most):
+    """The nearest earlier rows of each later row, and whether it had others.
 
-
-def small_pairs(group, n, pos, bits, rank, similarity):
-    """(later, earlier, unequal bits) in many groups at once, row by row at growing distance."""
-    out = []
-    at, gap = np.arange(len(group)), 1
+    ``first`` of them if the nearest has at most half the unequal bits that
+    there is ``room`` for, else ``most``.
+    """
+    order = np.lexsort((rank[earlier], unequal, later))
+    later, earlier, unequal, room, more = later[order], earlier[order], unequal[order], room[order], more[order]
+    if not len(later):
+        return later, earlier, unequal, room, more
+    start = np.flatnonzero(np.append(True, later[1:] != later[:-1]))
+    size = np.diff(np.append(start, len(later)))
+    limit = np.where(2 * unequal[start] <= room[start], min(first, most), most)
+    more = np.repeat(np.logical_or.reduceat(more, start) | (size > limit), size)
+    keep = np.arange(len(later)) - np.repeat(start, size) < np.repeat(limit, size)
+    return later[keep], earlier[keep], unequal[keep], room[keep], more[keep]
+
+
+class Sets:
+    """Sizes, places of the key, bit maps and order of the rows that meet."""
+
+    def __init__(self, n, pos, maps, rank, similarity):
+        self.n, self.pos, self.maps, self.rank = n, pos, maps, rank
+        self.need = overlap_needed(np.arange(2 * int(n.max(initial=0)) + 2), similarity)
+        self.widest = np.floor(n / similarity + 1e-9).astype(np.int64)
+        self.words, self.bits = map_words(n), folded(maps, 1)[:, 0]
+        self.half = {w: folded(maps, w) for w in (2, 4) if (self.words > w).any()}
+
+    def unequal(self, a, b):
+        """Unequal bits of the smaller set's map and the larger one's, folded onto it."""
+        out = np.zeros(len(a), np.int64)
+        fewer = np.minimum(self.words[a], self.words[b])
+        for w in (2, 4, 8):
+            some = np.flatnonzero(fewer == w)
+            if len(some):
+                full = self.half.get(w, self.maps[:, :w])
+                out[some] = np.bitwise_count(full[a[some]] ^ full[b[some]]).sum(1, dtype=np.int64)
+        return out
+
+    def near(self, a, b):
+        """(later, earlier, unequal bits, room for them) of the pairs (a, b) that can be similar."""
+        n, pos = self.n, self.pos
+        total = n[a] + n[b]
+        need = self.need[total]
+        unequal = np.bitwise_count(self.bits[a] ^ self.bits[b]).astype(np.int64)
+        # Different sets of one size differ in two words at least.
+        good = (unequal <= total - 2 * need) & ((n[a] != n[b]) | (total - 2 * need >= 2))
+        a, b, unequal, need = a[good], b[good], unequal[good], need[good]
+        good = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
+        a, b, unequal, need = a[good], b[good], unequal[good], need[good]
+        wide = np.flatnonzero(np.minimum(self.words[a], self.words[b]) > 1)
+        if len(wide):
+            unequal[wide] = self.unequal(a[wide], b[wide])
+            good = unequal <= n[a] + n[b] - 2 * need
+            a, b, unequal, need = a[good], b[good], unequal[good], need[good]
+        swap = self.rank[a] < self.rank[b]
+        return np.where(swap, b, a), np.where(swap, a, b), unequal, n[a] + n[b] - 2 * need
+
+
+class Kept:
+    """Pairs found so far, of which only the nearest are held."""
+
+    def __init__(self, rank, first, most):
+        self.limits = rank, first, most
+        self.found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)]
+        self.held = 0
+
+    def add(self, later, earlier, unequal, room):
+        self.found.append((later, earlier, unequal, room, np.zeros(len(later), bool)))
+        self.held += len(later)
+        if self.held > HELD_PAIRS:
+            self.found = [self.all()]
+            self.held = len(self.found[0][0]) // 2
+
+    def all(self):
+        return nearest(*(np.concatenate(x) for x in zip(*self.found)), *self.limits)
+
+
+def small_groups(at, group, sets: Sets, kept: Kept) -> None:
+    """Rows sorted by group and size: each is compared with the next, the second next and so on, as long as sizes allow."""
+    gap = 1
     while len(at):
         at = at[at + gap < len(group)]
-        at = at[group[at] == group[at + gap]]
         to = at + gap
-        good, unequal = fitting(n[at], n[to], pos[at], pos[to], bits[at], bits[to], similarity)
-        a, b, u = at[good], to[good], unequal[good]
-        swap = rank[a] < rank[b]
-        out.append((np.where(swap, b, a), np.where(swap, a, b), u))
+        at = at[(group[at] == group[np.minimum(to, len(group) - 1)]) & (sets.n[to] <= sets.widest[at])]
+        kept.add(*sets.near(at, at + gap))
         gap += 1
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def nearest(later, earlier, unequal, rank, most):
-    """The ``most`` nearest of each later row, and whether it had more."""
-    order = np.lexsort((rank[earlier], unequal, later))
-    later, earlier = later[order], earlier[order]
-    start = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(later)))
-    nth = np.arange(len(later)) - np.repeat(start, size)
-    more = np.repeat(size > most, size)
-    keep = nth < most
-    return later[keep], earlier[keep], more[keep]
-
-
-def large_group(n, pos, bits, rank, similarity, most):
-    """The same for one group of any size, a block of rows at a time."""
-    by_size = np.argsort(n, kind="stable")
-    sizes = n[by_size]
-    out = []
-    for low in range(0, len(n), BLOCK):
-        x = by_size[low:low + BLOCK]
-        a = np.searchsorted(sizes, similarity * n[x[0]] - 1e-9, "left")
-        b = np.searchsorted(sizes, n[x[-1]] / similarity + 1e-9, "right")
-        found = []
-        for c in range(a, b, 8 * BLOCK):
-            y = by_size[c:min(b, c + 8 * BLOCK)]
-            good, unequal = fitting(n[x][:, None], n[y][None], pos[x][:, None], pos[y][None], bits[x][:, None], bits[y][None], similarity)
-            good &= rank[y][None] < rank[x][:, None]
-            i, j = np.nonzero(good)
-            found.append((x[i], y[j], unequal[i, j]))
-        out.append(nearest(*(np.concatenate(z) for z in zip(*found)), rank, most))
-    return [np.concatenate(z) for z in zip(*out)]
+def large_group(rows, sets: Sets, kept: Kept, first: int) -> np.ndarray:
+    """Each row of a group is compared with earlier ones, the last first, until ``first`` are very near; returns rows that stopped so."""
+    rows = rows[np.argsort(sets.rank[rows])]
+    sure = np.zeros(len(sets.n), np.int64)
+
+    def compare(a, b):
+        fits = (sets.n[a] <= sets.widest[b]) & (sets.n[b] <= sets.widest[a])
+        found = sets.near(a[fits], b[fits])
+        kept.add(*found)
+        np.add.at(sure, found[0][2 * found[2] <= found[3]], 1)
+    at, gap = np.arange(len(rows)), 1
+    while len(at) > 64:
+        at = at[at >= gap]
+        compare(rows[at], rows[at - gap])
+        at = at[sure[rows[at]] < first]
+        gap += 1
+    for i in at.tolist():
+        others = rows[:max(0, i - gap + 1)]
+        compare(np.full(len(others), rows[i]), others)
+    return rows[sure[rows] >= first]
 
 
-def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(row, line, to_row, to_line, more): lines to remove (to_row null) and lines with a nearby earlier one."""
-    names = ["row", "line", "to_row", "to_line", "more"]
+def near_pairs(group, n, pos, maps, rank, similarity, first, most, large=LARGE):
+    """(later, earlier, unequal bits, room for them, more) of the pairs in each group that can be similar.
+
+    Rows are sorted by group and size.
+    """
+    sets, kept, many = Sets(n, pos, maps, rank, similarity), Kept(rank, first, most), Kept(rank, first, min(most, NEAREST_LARGE))
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(group)))
+    small_groups(np.flatnonzero(np.repeat(size <= large, size)), group, sets, kept)
+    stopped = [large_group(np.arange(s, s + k), sets, many, first) for s, k in zip(start[size > large].tolist(), size[size > large].tolist())]
+    later, earlier, unequal, room, more = (np.concatenate(x) for x in zip(kept.all(), many.all()))
+    return later, earlier, unequal, room, more | np.isin(later, np.concatenate([*stopped, np.zeros(0, np.int64)]))
+
+
+def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int) -> DataFrame:
+    """(row, line, to_row, to_line, unequal, more): lines to remove (to_row null) and lines with a nearby earlier one."""
+    names = ["row", "line", "to_row", "to_line", "unequal", "more"]
+
+    def batch_of(row, line, to_row, to_line, unequal, more):
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(line.astype(np.int32)), pa.array(to_row), pa.array(to_line, pa.int32()),
+                                           pa.array(unequal.astype(np.int32)), pa.array(more)], names)
 
     def removals(row, line):
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(line), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()),
-                                           pa.array(np.zeros(len(row), bool))], names)
-
-    def detect(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, f, bits, n, doc, row, line, pos = (c.to_numpy() for c in table.columns)
-        gone = pos == -2
-        yield removals(row[gone], line[gone])
-        # Sorted by key, set and place: of equal sets in a group the first comes first.
-        kind = np.where(pos == -1, 1, 0)
-        same = np.append(False, (key[1:] == key[:-1]) & (f[1:] == f[:-1]) & (bits[1:] == bits[:-1]) & (n[1:] == n[:-1]) & (kind[1:] == kind[:-1]))
-        late = same & (pos == -1)
+        return batch_of(row, line, pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), np.zeros(len(row)), np.zeros(len(row), bool))
+
+    def detect(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, f, n, doc, row, line, pos, maps = columns
+        bits = folded(maps, 1)[:, 0]
+        yield removals(row[pos == -2], line[pos == -2])
+        at = np.flatnonzero(pos != -2)
+        order = np.lexsort((line[at], row[at], doc[at]))
+        at = at[order]  # earlier lines first, which stable sorting keeps
+        same_set = mixed(bits[at] + mixed((f[at].astype(np.uint64) << np.uint64(32)) + n[at].astype(np.uint64)))
+        group = (key[at].astype(np.uint64) << np.uint64(1)) | (pos[at] == -1)
+        order = np.argsort((group << np.uint64(31)) | (same_set >> np.uint64(33)), kind="stable")
+        at, group, same_set = at[order], group[order], same_set[order]
+        again = np.append(False, (group[1:] == group[:-1]) & (same_set[1:] == same_set[:-1])) if len(at) else np.zeros(0, bool)
+        late = at[again & (pos[at] == -1)]
         yield removals(row[late], line[late])
-        at = np.flatnonzero(~same & (pos >= 0))
+        near = ~again & (pos[at] >= 0)
+        at, group = at[near], group[near]
+        # Rows that are alone under their key meet none.
+        if len(at):
+            alone = np.append(True, group[1:] != group[:-1]) & np.append(group[1:] != group[:-1], True)
+            at, group = at[~alone], group[~alone]
         if not len(at):
             return
-        key, bits, n, doc, row, line, pos = (v[at] for v in (key, bits.view(np.uint64), n.astype(np.int64), doc, row, line, pos.astype(np.int64)))
+        order = np.lexsort((n[at], group))
+        at, group = at[order], group[order]
         rank = np.empty(len(at), np.int64)
-        rank[np.lexsort((f[at], line, row, doc))] = np.arange(len(at))
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        few = np.flatnonzero(np.repeat((size > 1) & (size <= 64), size))
-        x, y, u = small_pairs(key[few], n[few], pos[few], bits[few], rank[few], similarity)
-        parts = [nearest(few[x], few[y], u, rank, most)]
-        for s, k in zip(start[size > 64].tolist(), size[size > 64].tolist()):
-            g = slice(s, s + k)
-            x, y, more = large_group(n[g], pos[g], bits[g], rank[g], similarity, most)
-            parts.append((x + s, y + s, more))
-        x, y, more = (np.concatenate(p) for p in zip(*parts))
-        yield pa.RecordBatch.from_arrays([pa.array(row[x]), pa.array(line[x]), pa.array(row[y]), pa.array(line[y]), pa.array(more)], names)
+        rank[np.lexsort((f[at], line[at], row[at], doc[at]))] = np.arange(len(at))
+        x, y, unequal, _, more = near_pairs(group, n[at], pos[at], maps[at], rank, similarity, first, most)
+        x, y = at[x], at[y]
+        yield batch_of(row[x], line[x], row[y], line[y].astype(np.int32), unequal, more)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        held: dict[int, list] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0)
-            cut = 0
-            if rows + batch.num_rows >= 1 << 18:  # up to the last key, which may go on
-                keys = key.to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1], "left"))
-                if cut or (held and held[-1].column(0)[-1] != key[0]):
-                    ready = pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held)
-                    yield from detect(ready.combine_chunks())
-                    held, rows = [], 0
-            held.append(batch.slice(cut))
-            rows += batch.num_rows - cut
-        if held:
-            yield from detect(pa.Table.from_batches(held).combine_chunks())
-
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "f", "bits", "n", "doc_id", "row", "line")
-    return sorted_rows.mapInArrow(find, "row long, line int, to_row long, to_line int, more boolean")
+            for bucket, columns in unpacked(batch):
+                held.setdefault(bucket, []).append(columns)
+        for bucket in list(held):
+            yield from detect([np.concatenate(c) for c in zip(*held.pop(bucket))])
+
+    return rows.repartition(buckets, "bucket").mapInArrow(find, "row long, line int, to_row long, to_line int, unequal int, more boolean")
 
 
 # --- check ---------------------------------------------------------------------------
 
-def place_bit(row, line):
-    return F.pmod(F.xxhash64(row, line), F.lit(FILTER_BITS))
+def place_bits(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (mixed(mixed(row.view(np.uint64)) + line.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def line_tables(docs: DataFrame, needed: DataFrame, order, text: str) -> DataFrame:
-    """(row, line, words) of the needed lines, and few others.
+def bit_map(needed: DataFrame) -> np.ndarray:
+    """A bit for each needed line, in a table of fixed size."""
 
-    A bit map of fixed size tells tasks which lines may be needed.
-    """
-    bit = needed.select(place_bit(F.col("row"), F.col("line")).alias("b"))
-    words = bit.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(63).cast("int"))).alias("m"))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            b = place_bits(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            np.bitwise_or.at(table, b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+        w = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w].view(np.int64))], ["w", "m"])
+    words = needed.select("row", "line").mapInArrow(mark, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in words.toLocalIterator():
-        table[r["w"]] = r["m"] & (2**64 - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    lines = F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1)
-    chosen = (numbered(docs, F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
-              .select("row", "text", F.transform(lines, lambda i: place_bit(F.col("row"), i)).alias("bits")))
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return table
+
+
+def line_tables(docs: DataFrame, needed: DataFrame, order, doc_id: str, text: str) -> DataFrame:
+    """(row, line, doc_id, words) of the needed lines, and few others that have their bit."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(needed))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(2)
-            flat, ends = bits.flatten().to_numpy(), np.cumsum(pc.list_value_length(bits).to_numpy())
-            wanted = (shared.value[flat >> 6] >> (flat & 63).astype(np.uint64)) & np.uint64(1) > 0
-            some = np.flatnonzero(np.add.reduceat(wanted, ends - np.diff(np.append(0, ends)))) if len(ends) else ends
-            here = batch.take(pa.array(some))
-            asked = [wanted[ends[i - 1] if i else 0:ends[i]] for i in some.tolist()]
-            low = 0
-            for part in chunks(here.column(1), CHUNK):
-                texts = here.column(1)[part]
-                text_of, number, codes, line, ids = line_words(texts)
-                want = np.concatenate(asked[part]) if len(texts) else np.zeros(0, bool)
-                use = want[line]
-                line, word, _ = line_sets(codes, line[use], ids[use], order.value)
+            for part in chunks(batch.column(1), CHUNK):
+                lines = pc.split_pattern(large(batch.column(1)[part]), "\n")
+                sizes = np.diff(lines.offsets.to_numpy())
+                row = np.repeat(batch.column(0)[part].to_numpy(), sizes)
+                doc = np.repeat(pc.fill_null(batch.column(2)[part], LAST).to_numpy(), sizes)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                b = place_bits(row, number)
+                wanted = np.flatnonzero((shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1))
+                # Each line is now a text of its own.
+                _, _, codes, line, ids = line_words(lines.flatten().take(pa.array(wanted)))
+                line, word, _ = line_sets(codes, line, ids, order.value)
                 if not len(line):
                     continue
                 start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-                data, ends8 = word.tobytes(), (np.append(start[1:], len(line)) * 8).tolist()
-                which = line[start]
-                rows = here.column(0)[part].to_numpy()[text_of[which]]
+                data, ends = word.tobytes(), (np.append(start[1:], len(line)) * 8).tolist()
+                which = wanted[line[start]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), pa.array(number[which].astype(np.int32)),
-                    pa.array([data[a:b] for a, b in zip((start * 8).tolist(), ends8)], pa.binary())], ["row", "line", "words"])
-                low += len(texts)
-    return chosen.mapInArrow(cut, "row long, line int, words binary")
+                    pa.array(row[which]), pa.array(number[which].astype(np.int32)), pa.array(doc[which]),
+                    pa.array([data[a:b] for a, b in zip((start * 8).tolist(), ends)], pa.binary())], ["row", "line", "doc_id", "words"])
+    chosen = numbered(docs, F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    return chosen.mapInArrow(cut, "row long, line int, doc_id long, words binary")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, order, text: str, similarity: float) -> DataFrame:
-    """(row, line, similar, more): whether one of the line's candidates is similar."""
-    needed = pairs.select("row", "line").unionByName(pairs.select(F.col("to_row").alias("row"), F.col("to_line").alias("line"))).distinct()
-    sets = checkpoint(line_tables(docs, needed, order, text).join(needed, ["row", "line"]))
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, line, similar): whether one of the line's candidates in ``pairs`` is similar."""
     to = sets.select(F.col("row").alias("to_row"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
-    both = pairs.join(to, ["to_row", "to_line"]).join(sets, ["row", "line"]).select("row", "line", "more", "words", "to_words")
+    both = pairs.join(to, ["to_row", "to_line"]).join(sets, ["row", "line"]).select("row", "line", "words", "to_words")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], ["row", "line", "more", "similar"])
-    return (both.mapInArrow(check, "row long, line int, more boolean, similar boolean")
-            .groupBy("row", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(good, pa.bool_())], ["row", "line", "similar"])
+    return both.mapInArrow(check, "row long, line int, similar boolean").groupBy("row", "line").agg(F.max("similar").alias("similar"))
+
+
+def sets_of(pairs: DataFrame, docs: DataFrame, order, doc_id: str, text: str) -> DataFrame:
+    """(row, line, doc_id, words) of all lines in the pairs."""
+    needed = pairs.select("row", "line").unionByName(pairs.select(F.col("to_row").alias("row"), F.col("to_line").alias("line"))).distinct()
+    return checkpoint(line_tables(docs, needed, order, doc_id, text).join(needed, ["row", "line"]))
+
+
+def bits_of(numbers: np.ndarray) -> np.ndarray:
+    return (mixed(numbers + np.uint64(3)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def has_bit(table: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (table[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bit maps of fixed size of the words and the keys by which the sets meet others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, FILTER_BITS // 64), np.uint64)
+        for batch in batches:
+            word = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
+            n = np.array([len(w) for w in word], np.int64)
+            word = np.concatenate([*word, np.zeros(0, np.uint64)])
+            _, keys, _ = prefix_keys(word, word >> np.uint64(46) > 0, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
+            for i, b in enumerate((bits_of(word), bits_of(keys))):
+                np.bitwise_or.at(table[i], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
+        table = table.ravel()
+        w = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w].view(np.int64))], ["w", "m"])
+    found = sets.select("row", "line", "words").mapInArrow(mark, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    table = np.zeros(2 * (FILTER_BITS // 64), np.uint64)
+    table[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
+    return table[:FILTER_BITS // 64], table[FILTER_BITS // 64:]
+
+
+class Asked:
+    """The lines of the last round, with an index of their keys."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        self.row, self.line, self.doc = (table.column(c).to_numpy() for c in ("row", "line", "doc_id"))
+        self.words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        word = np.concatenate([*self.words, np.zeros(0, np.uint64)])
+        of, keys, _ = prefix_keys(word, word >> np.uint64(46) > 0, np.cumsum(self.n) - self.n, self.n, np.ones(len(self.n), bool), similarity)
+        order = np.argsort(keys, kind="stable")
+        self.of, self.keys, self.similarity = of[order], keys[order], similarity
+
+    def matched(self, of, key, word, start, n, doc, row, line) -> np.ndarray:
+        """Which of the lines have a similar earlier one among the sets given with their keys."""
+        low, high = (np.searchsorted(self.keys, key, side) for side in ("left", "right"))
+        many = high - low
+        y = np.repeat(of, many)
+        x = self.of[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        pair = np.unique(x * len(n) + y)
+        x, y = pair // max(1, len(n)), pair % max(1, len(n))
+        earlier = (doc[y] < self.doc[x]) | ((doc[y] == self.doc[x]) & ((row[y] < self.row[x]) | ((row[y] == self.row[x]) & (line[y] < self.line[x]))))
+        fits = earlier & (np.minimum(n[y], self.n[x]) >= self.similarity * np.maximum(n[y], self.n[x]) - 1e-9)
+        x, y = x[fits], y[fits]
+        found = []
+        for i in np.unique(x).tolist():
+            others = y[x == i]
+            many = n[others]
+            values = word[np.repeat(start[others] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            common = np.bincount(np.repeat(np.arange(len(others)), many)[np.isin(values, self.words[i])], minlength=len(others))
+            if (common >= self.similarity * (many + self.n[i] - common) - 1e-9).any():
+                found.append(i)
+        return np.array(found, np.int64)
+
+
+def compared_with_all(still: DataFrame, sets: DataFrame, docs: DataFrame, order, similarity: float, doc_id: str, text: str,
+                      broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(row, line) of the lines in ``still``, and maybe others, that have any similar earlier line.
+
+    Few lines go to all tasks and are compared where other lines are read.
+    For many, all lines that share a key with one come to it with their words.
+    """
+    open_sets = sets.join(still, ["row", "line"])
+    few = open_sets.agg(F.sum(F.length("words")) / 8).first()[0] <= broadcast_words
+    asked_lines = Asked(open_sets.select("row", "line", "doc_id", "words").toArrow(), similarity) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast((*marked_keys(open_sets, similarity), bit_map(still), asked_lines))
+
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys, lines, questions = shared.value
+        for batch in batches:
+            for part in chunks(batch.column(2), CHUNK):
+                some = batch.slice(part.start, part.stop - part.start)
+                text_of, number, codes, line, ids = line_words(some.column(2))
+                hit = np.zeros(len(text_of), bool)
+                hit[line[has_bit(words, bits_of(order.value.numbers(codes)[0]))[ids]]] = True
+                use = hit[line]
+                line, word, frequent = line_sets(codes, line[use], ids[use], order.value)
+                if not len(line):
+                    continue
+                start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+                n = np.diff(np.append(start, len(line)))
+                which = line[start]
+                of, key, _ = prefix_keys(word, frequent, start, n, np.ones(len(n), bool), similarity)
+                real = has_bit(keys, bits_of(key))
+                of, key = of[real], key[real]
+                row, nth = some.column(0).to_numpy()[text_of[which]], number[which]
+                asked = has_bit(lines, place_bits(row, nth))
+                doc = pc.fill_null(some.column(1), LAST).to_numpy()[text_of[which]]
+                if questions is not None:
+                    x = questions.matched(of, key, word, start, n, doc, row, nth)
+                    yield pa.RecordBatch.from_arrays([pa.array(questions.row[x]), pa.array(questions.line[x], pa.int32())], ["row", "line"])
+                    continue
+                data, ends = word.tobytes(), (start + n) * 8
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(mixed(key).view(np.int64)), pa.array(doc[of]), pa.array(row[of]), pa.array(nth[of].astype(np.int32)), pa.array(asked[of]),
+                    pa.array([data[a:b] for a, b in zip((start * 8)[of].tolist(), ends[of].tolist())], pa.binary())],
+                    ["key", "doc_id", "row", "line", "asked", "words"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, 1):
+            doc, row, line, asked = (group.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            if not asked.any():
+                continue
+            data = group.column(5).to_pylist()
+            n = np.array([len(w) // 8 for w in data])
+            owner, values = np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(data), np.uint64)
+            rank = np.empty(len(n), np.int64)
+            rank[np.lexsort((line, row, doc))] = np.arange(len(n))
+            same = []
+            for x in np.flatnonzero(asked).tolist():
+                common = np.bincount(owner[np.isin(values, np.frombuffer(data[x], np.uint64))], minlength=len(n))
+                same.append(bool(((common >= similarity * (n + n[x] - common) - 1e-9) & (rank < rank[x])).any()))
+            gone = np.flatnonzero(asked)[np.array(same)]
+            yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(line[gone])], ["row", "line"])
+
+    chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if few:
+        return chosen.mapInArrow(bring, "row long, line int").distinct()
+    brought = chosen.mapInArrow(bring, "key long, doc_id long, row long, line int, asked boolean, words binary")
+    return (brought.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "row long, line int").distinct())
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
-                   most: int = NEAREST) -> DataFrame:
+                   first: int = FIRST, most: int = NEAREST) -> DataFrame:
     """(row, line) of every line to remove; lines without words stay."""
-    order = docs.sparkSession.sparkContext.broadcast(Order(frequent_words(docs, text)))
-    rows = meetings(docs, order, similarity, doc_id, text)
-    found = checkpoint(met(rows, similarity, most))
+    frequent, words = frequent_words(docs, text)
+    order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
+    # A line meets others by a fifth of its words, or a little more.
+    buckets = min(MOST_BUCKETS, 1 + int(words * (1 - similarity)) // BUCKET_ROWS)
+    found = checkpoint(met(meetings(docs, order, buckets, similarity, doc_id, text), buckets, similarity, first, most))
     gone = found.filter("to_row is null").select("row", "line")
-    pairs = found.filter("to_row is not null").groupBy("row", "line", "to_row", "to_line").agg(F.max("more").alias("more"))
-    first = checkpoint(checked(pairs, docs, order, text, similarity))
-    gone = gone.unionByName(first.filter("similar").select("row", "line"))
-    open_lines = first.filter("not similar and more").select("row", "line")
-    if not open_lines.isEmpty():
-        every = met(rows, similarity, 1 << 62).filter("to_row is not null").join(open_lines, ["row", "line"], "left_semi")
-        last = checked(checkpoint(every.select("row", "line", "to_row", "to_line", F.lit(False).alias("more")).distinct()), docs, order, text, similarity)
-        gone = gone.unionByName(last.filter("similar").select("row", "line"))
-    return gone
-
-
-def without_repeats(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", most: int = NEAREST) -> DataFrame:
+    # A line meets a neighbour under several keys.
+    pairs = (found.filter("to_row is not null").groupBy("row", "line", "to_row", "to_line")
+             .agg(F.first("unequal").alias("unequal"), F.max("more").alias("more")))
+    own = W.partitionBy("row", "line")
+    pairs = checkpoint(pairs.withColumns({"nth": F.row_number().over(own.orderBy("unequal", "to_row", "to_line")),
+                                          "more": F.max("more").over(own) | (F.count("*").over(own) > most)}).filter(F.col("nth") <= most))
+    sets = sets_of(pairs, docs, order, doc_id, text)
+    near = checkpoint(checked(pairs.filter(F.col("nth") <= first), sets, similarity).filter("similar").select("row", "line"))
+    left = pairs.filter(F.col("nth") > first).join(near, ["row", "line"], "left_anti")
+    near = checkpoint(near.unionByName(checked(left, sets, similarity).filter("similar").select("row", "line")))
+    still = checkpoint(pairs.filter("more").select("row", "line").distinct().join(near, ["row", "line"], "left_anti"))
+    if not still.isEmpty():  # more candidates than were kept, and none of those is similar
+        near = near.unionByName(compared_with_all(still, sets, docs, order, similarity, doc_id, text)).distinct()
+    return gone.unionByName(near)
+
+
+def without_repeats(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
+                    broadcast_lines: int = BROADCAST_LINES, **options) -> DataFrame:
     """docs with the text's later lines taken out, and n_lines, n_removed in ``__lines``.
 
-    A line goes if its set of words (letters and digits, small) has Jaccard
-    similarity of at least ``similarity`` with an earlier line of any
+    A line goes if its set of words (letters and digits, A-Z lowered) has
+    Jaccard similarity of at least ``similarity`` with an earlier line of any
     document, in the order of doc_id (null last), row and line.  Lines without
     words, null and empty texts stay as they are.  docs are read several
     times and must come in the same order, as files do.
     """
-    gone = repeated_lines(docs, similarity, doc_id, text, most).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    gone = checkpoint(repeated_lines(docs, similarity, doc_id, text, **options).groupBy("row").agg(F.collect_set("line").alias("gone")))
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= broadcast_lines
     whole = numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    both = whole.join(gone, "row", "left")
+    both = whole.join(F.broadcast(gone) if few else gone, "row", "left")
     lines = F.split(F.col(f"doc.`{text}`").cast("string"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), F.col(f"doc.`{text}`")).otherwise(left)

@@ -110,7 +110,7 @@ def op5_importance_resampling(spark, sf_dir):
     return IMP.resample(docs, model, F.col("doc_id"))
 
 
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 often AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
@@ -124,7 +124,7 @@ def op6_chosen_path(spark, sf_dir):
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
-l AS (SELECT doc_id, i, a[i] AS line, list_sort(list_distinct(regexp_extract_all(lower(a[i]), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
+l AS (SELECT doc_id, i, a[i] AS line, list_sort(list_distinct(regexp_extract_all(translate(a[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
   FROM (SELECT doc_id, a, unnest(generate_series(1, len(a))) AS i FROM d)),
 s AS (SELECT w, len(w) AS n, min((doc_id, i)) AS first, row_number() OVER () AS s FROM l WHERE len(w) > 0 GROUP BY w),
 t AS (SELECT s, n, unnest(w) AS t FROM s),

@@ -1,16 +1,17 @@
-"""Word shingles of many texts at once."""
+"""Words, lines and word shingles of many texts at once."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 
 from wardline.llm.common import large
 
-# Letters and digits: ASCII ones after lower-casing, and everything beyond ASCII.
-_REST = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What a byte of a word becomes; 0 is not in words. Words are digits, letters (A-Z lowered) and all beyond ASCII.
+_BYTES = np.zeros(256, np.uint8)
+for _low, _high in ((48, 58), (97, 123), (128, 256)):
+    _BYTES[_low:_high] = np.arange(_low, _high)
+_BYTES[65:91] = np.arange(97, 123)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,18 +20,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values, eight bytes at a time."""
+    places = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.append(np.frombuffer(words.buffers()[2], np.uint8)[:places[-1]], np.zeros(8, np.uint8)).astype(np.uint64)
+    at, ends = places[:-1].copy(), places[1:]
+    out = mixed((ends - at).astype(np.uint64))
+    left = np.arange(len(words))
+    while len(left):
+        block = np.zeros(len(left), np.uint64)
+        for b in range(8):
+            block |= np.where(at + b < ends, data[np.minimum(at + b, len(data) - 1)], np.uint64(0)) << np.uint64(8 * b)
+        out[left] = mixed(out[left] + mixed(block + np.uint64(0x9E3779B97F4A7C15)))
+        at = at + 8
+        go = at < ends
+        left, at, ends = left[go], at[go], ends[go]
+    return out
+
+
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the different words, each word's code number and first byte, the texts' bytes, and where each text begins.
+
+    The last place is the end of the last text.
+    """
+    texts = large(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    low = _BYTES[raw]
+    inside = low != 0
+    edge = offsets[:-1][offsets[:-1] < len(raw)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[edge] = inside[edge]  # texts lie side by side
+    last[:-1] &= ~inside[1:]
+    before = edge[edge > 0] - 1
+    last[before] = inside[before]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    places = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(low[inside])]).dictionary_encode()
+    return hashed(words.dictionary), words.indices.to_numpy(), starts, raw, offsets
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of the words of all texts in order, and how many each text has."""
-    cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(large(texts)), _REST, " "))
-    words = cut.flatten().dictionary_encode()
-    names = words.dictionary.cast(pa.large_binary()).to_pylist()
-    code = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    ids, doc = words.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
-    empty = pc.index(words.dictionary, "").as_py()
-    if empty >= 0:
-        real = ids != empty
-        ids, doc = ids[real], doc[real]
-    return code[ids], np.bincount(doc, minlength=len(texts))
+    codes, ids, starts, _, offsets = cut_words(texts)
+    return codes[ids], np.diff(np.searchsorted(starts, offsets))
+
+
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and number of each line, the codes of the different words, and each word's line and code number."""
+    codes, ids, starts, raw, offsets = cut_words(texts)
+    ends = np.flatnonzero(raw == 10)
+    lines = np.diff(np.searchsorted(ends, offsets)) + 1
+    text = np.repeat(np.arange(len(texts)), lines)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
+    # A line end at a text's end begins an empty line of that text, so it comes before the next text's first line.
+    begins = np.sort(np.concatenate([offsets[:-1], ends + 1]), kind="stable")
+    words = np.diff(np.searchsorted(starts, np.append(begins, len(raw))))
+    return text, number, codes, np.repeat(np.arange(len(text)), words), ids
 
 
 def shingles(codes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
