@@ -68,12 +68,14 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     df = df.withColumns({m: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), g: F.split(text, pattern, -1)})
     df = df.withColumn(p, sums_before(F.zip_with(m, F.slice(g, 1, F.size(m)), lambda a, b: F.length(a) + F.length(b))))
 
-    def place(x, i):
-        gap = F.get(F.col(g), i)
-        s = F.get(F.col(p), i) + F.length(gap)
-        return F.struct(s.alias("s"), (s + F.length(x)).alias("e"), x.alias("m"), F.right(gap, F.lit(24)).alias("left"),
-                        F.left(F.get(F.col(g), i + 1), F.lit(1)).alias("right"))
-    return df.withColumn(out, F.transform(m, place)).drop(m, g, p)
+    # What a function of each element needs comes with the elements: a column named inside
+    # the function could be put in its place by the optimizer, and be worked out for each of them.
+    def place(x):
+        s = x["before"] + F.length(x["gap"])
+        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["gap"], F.lit(24)).alias("left"),
+                        F.left(x["next"], F.lit(1)).alias("right"))
+    parts = F.arrays_zip(F.col(m).alias("m"), F.col(p).alias("before"), F.slice(g, 1, F.size(m)).alias("gap"), F.slice(g, 2, F.size(m)).alias("next"))
+    return df.withColumn(out, F.transform(parts, place)).drop(m, g, p)
 
 
 def digits(m: Column) -> Column:
@@ -140,18 +142,25 @@ def with_candidates(df: DataFrame, text: str, label: bool) -> DataFrame:
 
     A candidate counts as right if it is a base span of its kind.
     """
+    def fields(kind, x):
+        return [x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(kind)).alias("kind"),
+                F.array(*[f.cast("int") for f in features(kind, x)]).alias("f")]
+
+    def plain(kind, x):
+        return F.struct(*fields(kind, x))
+
+    def labelled(kind, x, base):
+        right = F.array_contains(base, F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        return F.struct(*fields(kind, x), right.cast("int").alias("y"))
     for kind in KINDS:
         df = with_matches(df, text, WIDE[kind], f"wide_{kind}")
-
-        def row(kind, x):
-            fields = [x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(kind)).alias("kind"),
-                      F.array(*[f.cast("int") for f in features(kind, x)]).alias("f")]
-            if label:
-                fields.append(F.array_contains(f"is_{kind}", F.struct(x["s"].alias("s"), x["e"].alias("e"))).cast("int").alias("y"))
-            return F.struct(*fields)
+        wide = F.col(f"wide_{kind}")
         if label:
-            df = df.withColumn(f"is_{kind}", F.transform(f"base_{kind}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
-        df = df.withColumn(f"cand_{kind}", F.transform(f"wide_{kind}", partial(row, kind))).drop(f"wide_{kind}", f"is_{kind}")
+            base = F.transform(f"base_{kind}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
+            rows = F.zip_with(wide, F.array_repeat(base, F.size(wide)), partial(labelled, kind))
+        else:
+            rows = F.transform(wide, partial(plain, kind))
+        df = df.withColumn(f"cand_{kind}", rows).drop(f"wide_{kind}")
     return df.withColumn("candidates", F.concat(*[f"cand_{k}" for k in KINDS])).drop(*[f"cand_{k}" for k in KINDS])
 
 
@@ -196,8 +205,9 @@ def examples(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     The number of rows is bounded by the features' ranges.
     """
     some = docs.select((fold(F.col(doc_id), 5) == 0).alias("held"), F.col(text).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    rows = with_candidates(with_base(some, "text"), "text", label=True).select("held", F.explode("candidates").alias("c"))
-    return rows.groupBy("held", "c.kind", "c.f", "c.y").agg(F.count("*").alias("n"))
+    # Outer, as a plain explode adds a filter on the array's size, for which all of it is worked out once more.
+    rows = with_candidates(with_base(some, "text"), "text", label=True).select("held", F.explode_outer("candidates").alias("c"))
+    return rows.filter("c is not null").groupBy("held", "c.kind", "c.f", "c.y").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 12, depth: int = 4,
