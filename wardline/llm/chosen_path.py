@@ -31,7 +31,7 @@ from wardline.llm.shingles import mixed, shingles, word_codes
 from wardline.session import checkpoint
 
 COORDINATES = 128
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Sets and words in a block of a cluster.
 BLOCK_SETS, BLOCK_WORDS = 1024, 1 << 20
 _A = (mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)

@@ -24,11 +24,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import chunks, fold, large
+from wardline.llm.common import chunks, fold, large, numbered
 from wardline.session import checkpoint
 
 BUCKETS = 1 << 18
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 #: Labelled documents that are used at most.
 LABELLED = 60_000
 
@@ -199,11 +199,9 @@ def resample(docs: DataFrame, model: Model, *keep: Column, doc_id: str = "doc_id
 
 
 def accepted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", seed: int = 5) -> DataFrame:
-    """The documents of the sample with all their columns.
-
-    Keys are made twice, so that texts need not be stored or shuffled.
-    """
-    keys = checkpoint(keyed(docs, model, F.lit(0).alias("x"), doc_id=doc_id, text=text, seed=seed).select("log_weight", "key"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = keyed(docs, model, whole, doc_id=doc_id, text=text, seed=seed)
-    return rows.filter(F.col("key") >= F.lit(least_key(keys, model))).select("__kept.doc.*")
+    """The documents of the sample with all their columns; docs are read twice, as files or checkpoints can be."""
+    plain = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    keys = checkpoint(keyed(plain, model, F.col("row"), seed=seed).select("__kept.row", "log_weight", "key"))
+    drop = keys.filter(F.col("key") < F.lit(least_key(keys, model))).select("row")
+    whole = numbered(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return whole.join(drop, "row", "left_anti").select("doc.*")

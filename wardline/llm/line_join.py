@@ -27,9 +27,9 @@ from wardline.llm.common import chunks, large, numbered
 from wardline.llm.shingles import line_words, mixed
 from wardline.session import checkpoint
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Rows that meet in one bucket, about; buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 200_000, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1 << 16
 #: Frequent words have one part in so many of all words: as many parts as words / SHARE, within bounds.
 SHARE, LEAST_PARTS, MOST_PARTS = 512, 1024, 1 << 17
 #: Candidates of a line that are kept if the nearest is very near, and if it isn't; pairs held before only those are kept.

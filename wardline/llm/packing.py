@@ -30,7 +30,7 @@ from wardline.session import checkpoint
 
 CAPACITY = 2048
 #: Bytes of text that are encoded together; a longer text is alone.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 _PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 

@@ -112,9 +112,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     hit = F.struct("h", "item", "q", "k", "len")
     if small:
         # A row without fingerprint per document, and one per fingerprint that an item has too: the words
-        # go along by reference, as generator and join are one pass.
+        # go along by reference, as generator and join are one pass.  Outer, as a plain explode adds a filter on
+        # the array's size, for which all of it is worked out once more.
         every = grams.select("row", "doc_id", "words", "hashes",
-                             F.explode(F.concat(F.array(F.lit(None).cast("long")), "kept")).alias("h"))
+                             F.explode_outer(F.concat(F.array(F.lit(None).cast("long")), "kept")).alias("h"))
         found = every.join(held(prints), "h", "left").filter(F.col("h").isNull() | F.col("item").isNotNull())
         real = F.col("item").isNotNull()
         found = (found.select("row", "doc_id", F.size("words").alias("n_words"), F.when(real, F.col("words")).alias("words"),
@@ -124,7 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
                                      F.first("hashes", ignorenulls=True).alias("hashes"),
                                      F.collect_set("hit").alias("hits")))
     else:
-        hits = (grams.select("row", F.explode("kept").alias("h")).join(prints, "h")
+        hits = (grams.select("row", F.explode_outer("kept").alias("h")).join(prints, "h")
                 .groupBy("row").agg(F.collect_set(hit).alias("hits")))
         found = (grams.select("row", "doc_id", F.size("words").alias("n_words"), "words", "hashes").join(hits, "row", "left")
                  .withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<h:bigint,item:bigint,q:int,k:int,len:int>>"))))
