@@ -155,3 +155,49 @@ def test_labelled_documents(spark, sf_dir):
     got = spark.read.parquet(f"{sf_dir}/labels.parquet").join(kept, "doc_id", "left").groupBy("quality").agg(F.avg(F.coalesce("kept", F.lit(0)))).collect()
     share = dict(tuple(r) for r in got)
     assert share[1] >= 0.97 and share[0] <= 0.5
+
+
+def shares(spark, labels, kept):
+    """Share of the labelled documents that stay, by (quality, toxic)."""
+    rows = labels.join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left").groupBy("quality", "toxic").agg(F.avg(F.coalesce("kept", F.lit(0))))
+    return {(q, t): share for q, t, share in rows.collect()}
+
+
+def test_toxic_documents_of_good_prose_go(spark):
+    rng = random.Random(4)
+    words, insults = [f"w{i}" for i in range(300)], [f"insult{i}" for i in range(6)]
+    docs, labels = [], []
+    for i in range(900):
+        bad, toxic = i % 4 == 0, i % 7 == 0
+        text = [f"{rng.choice(words)}!!" if bad else rng.choice(words) for _ in range(rng.randint(40, 400))]
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(insults).upper()
+        docs.append((i, " ".join(text), "x", 1))
+        labels.append((i, int(not bad), int(toxic)))
+    df, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    model = IMP.fit(df, known, prior=3.0)
+    share = shares(spark, known, IMP.resample(df, model, F.col("doc_id")))
+    assert share[1, 0] >= 0.99 and share[1, 1] <= 0.02 and share[0, 0] <= 0.05 and share[0, 1] <= 0.05
+    assert shares(spark, known, IMP.accepted(df, model)) == share
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(IMP, "CHUNK", 50)
+    rows = [("a b b", True), ("a b c", True), ("c d", True), ("b d", False), ("e d", False), (None, False), ("", True)]
+    got = IMP.fit_toxicity(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3), 0.1)
+    sets = [(set(naive(t, 1 << 64)), x) for t, x in rows]
+    want = {}
+    for f in set().union(*(s for s, _ in sets)):
+        n, other = (sum(f in s for s, x in sets if x == kind) for kind in (True, False))
+        if n > 1 and (ratio := log((n + 0.1) / (other * 4 / 3 + 0.1))) > 0:
+            want[f] = ratio
+    assert dict(zip(got.codes.tolist(), got.ratio.tolist())) == pytest.approx(want) and len(want) == 4
+
+
+def test_labelled_toxic_documents(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    from wardline.llm.queries import QUERIES
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    share = shares(spark, labels, QUERIES["op5_importance_resampling"](spark, sf_dir))
+    assert share[1, 0] >= 0.97 and share[1, 1] <= 0.5 and share[0, 1] <= 0.5
