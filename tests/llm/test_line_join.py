@@ -119,6 +119,34 @@ def test_later_rounds(spark, monkeypatch):
         assert ours(spark, docs, first=first, most=most) == naive(docs)
 
 
+def test_a_hot_key_is_cut(spark, monkeypatch):
+    """Lines of one template are all in one key; no place where they meet holds them all, and the result is exact."""
+    monkeypatch.setattr(LJ, "HOT_ROWS", 60, raising=False)
+    monkeypatch.setattr(LJ, "DEALT", 50, raising=False)
+    monkeypatch.setattr(LJ, "LEAST_PARTS", 20)
+    rng = random.Random(6)
+    lines = [f"page p{rng.randrange(10**6)} of the long report q{i % 40}" for i in range(300)]
+    lines += [f"page {x.split()[1]} of the long report more" for x in lines[::10]] + [x + " of" for x in lines[::15]]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i::30]), "x", 1) for i in range(30)]
+    real, real_last, sizes = LJ.met, LJ.compared_with_all, []
+
+    def largest(rows, *rest):
+        count = Counter()
+        for b, columns in (x for batch in rows.toArrow().to_batches() for x in LJ.unpacked(batch)):
+            count.update((b, int(k)) for k, p in zip(columns[0], columns[6]) if p >= 0)
+        sizes.append(max(count.values()))
+        return real(rows, *rest)
+    monkeypatch.setattr(LJ, "met", largest)
+    assert ours(spark, docs) == naive(docs)
+    assert 20 < sizes[0] <= 100
+    # The last round, by a shuffle: every line is asked about.
+    monkeypatch.setattr(LJ, "checked", lambda pairs, *rest: pairs.select("row", "line", F.lit(False).alias("similar")))
+    monkeypatch.setattr(LJ, "met", lambda *a: real(*a).withColumn("more", F.lit(True)))
+    monkeypatch.setattr(LJ, "compared_with_all", lambda *a: real_last(*a, broadcast_words=0))
+    assert ours(spark, docs) == naive(docs)
+
+
 def test_shuffled_list(spark):
     docs = corpus(6)
     assert ours(spark, docs, broadcast_lines=-1) == naive(docs)

@@ -5,7 +5,9 @@ Jaccard similarity t or more share a word among the first
 n - ceil(t n) + 1 of their n words, so lines meet by those words only.
 Where the shared word is a frequent one, lines meet by two frequent words
 among the first n - ceil(t n) + 2 instead, which similar lines share as well;
-so no meeting grows with the most frequent words.  Length, position and a
+so few meetings grow with the most frequent words.  Rows are counted by key
+first, and a key with more than ``HOT_ROWS`` is cut into blocks that meet as
+pairs, so no task holds a whole key.  Length, position and a
 bit map (the symmetric difference is at least the number of unequal bits) rule
 out most pairs, and the rest are checked on whole sets.
 
@@ -17,6 +19,8 @@ first; lines whose nearest fail while others remain are checked against all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +42,10 @@ FIRST, NEAREST, HELD_PAIRS = 2, 1024, 1 << 19
 LARGE, NEAREST_LARGE = 1024, 64
 #: Words up to which the lines of the last round are broadcast; beyond, lines come to them by a shuffle.
 BROADCAST_WORDS = 2_000_000
+#: Rows of one key that meet in one place, about; slots in which keys are counted, as bits at least, and words for each slot beyond.
+HOT_ROWS, SLOT_BITS, SLOT_WORDS = 1 << 14, 18, 20_000
+#: Rows that are dealt out at once.
+DEALT = 1 << 18
 #: Sizes up to which a line's bit map has 64, 128 and 256 bits; longer lines have 512.
 MAP_SIZES = np.array([64, 128, 256])
 #: Removed lines up to which their list is broadcast; a longer one is joined by a shuffle.
@@ -207,7 +215,79 @@ def prefix_keys(word, frequent, start, n, use, similarity):
     return np.concatenate(at), np.concatenate(keys), np.concatenate(places)
 
 
-def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+def set_codes(word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A number for each set that follows from its words alone."""
+    return mixed(np.add.reduceat(mixed(word), start))
+
+
+class Spread:
+    """The slots of keys with many rows, and how many blocks these are cut into."""
+
+    def __init__(self, bits: int, slots: np.ndarray, rows: np.ndarray):
+        order = np.argsort(slots)
+        self.shift, self.slots = np.uint64(64 - bits), slots[order].astype(np.uint64)
+        self.blocks = -(-2 * rows[order] // HOT_ROWS)
+        #: Rows that cutting adds.
+        self.extra = int((rows[order] * (self.blocks - 2)).sum())
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Blocks of each key, 1 for most."""
+        if not len(self.slots):
+            return np.ones(len(key), np.int64)
+        slot = key >> self.shift
+        place = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+        return np.where(self.slots[place] == slot, self.blocks[place], 1)
+
+    def dealt(self, key: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers and keys under which rows meet, some at a time.
+
+        A row of a cut key meets the rows of each other block, and with them
+        those of its own block; equal sets are in one block.
+        """
+        blocks = self.of(key)
+        many = np.maximum(1, blocks - 1)
+        ends = np.cumsum(many)
+        first = 0
+        while first < len(key):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DEALT, "right")))
+            some = many[first:last]
+            at = np.repeat(np.arange(first, last), some)
+            b = blocks[at]
+            other = np.arange(len(at)) - np.repeat(np.cumsum(some) - some, some)
+            side = (mixed(code[at] + np.uint64(11)) % b.astype(np.uint64)).astype(np.int64)
+            other += other >= side
+            pair = (np.minimum(side, other).astype(np.uint64) << np.uint64(32)) + np.maximum(side, other).astype(np.uint64)
+            yield at, np.where(b > 1, mixed(key[at] ^ mixed(pair + np.uint64(1))), key[at])
+            first = last
+
+
+def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str) -> Spread:
+    """Counts, over all docs, the rows of keys by slots; only slots above HOT_ROWS come to the driver."""
+    bits = max(SLOT_BITS, (words // SLOT_WORDS).bit_length())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for part in chunks(batch.column(0), CHUNK):
+                _, _, codes, line, ids = line_words(batch.column(0)[part])
+                line, word, frequent = line_sets(codes, line, ids, order.value)
+                if not len(line):
+                    continue
+                start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+                n = np.diff(np.append(start, len(line)))
+                first = np.zeros(len(n), bool)
+                first[np.unique(set_codes(word, start), return_index=True)[1]] = True
+                _, key, _ = prefix_keys(word, frequent, start, n, first, similarity)
+                rows += np.bincount((mixed(key) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some])], ["slot", "n"])
+
+    found = (docs.select(F.col(text).cast("string")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") > HOT_ROWS).toArrow())
+    return Spread(bits, found.column("slot").to_numpy(), found.column("n").to_numpy())
+
+
+def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: str, text: str, spread) -> DataFrame:
     """Where lines meet: rows of one key, for equal lines (pos -1) and for similar ones, packed by buckets of keys.
 
     Of equal lines in a chunk only the first meets others; the rest are
@@ -236,12 +316,15 @@ def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: st
                 first[sort[again]] = False
 
                 gone, here = np.flatnonzero(~first), np.flatnonzero(first)
-                at, keys, places = [gone, here], [row[gone].view(np.uint64), f[here] + bits[here]], [np.full(len(gone), -2), np.full(len(here), -1)]
                 of, key, place = prefix_keys(word, frequent, start, n, first, similarity)
-                at.append(of), keys.append(key), places.append(place)
-                at, key = np.concatenate(at), mixed(np.concatenate(keys))
-                yield packs((key >> np.uint64(32)) % np.uint64(buckets), [
-                    key & np.uint64(0xFFFFFFFF), f[at], n[at], doc[at], row[at], nth[at], np.concatenate(places)], maps, at)
+                # Cut keys follow from the set alone.
+                near = ((of[i], k, place[i]) for i, k in spread.value.dealt(mixed(key), set_codes(word, start)[of]))
+                equal = (np.concatenate([gone, here]), mixed(np.concatenate([row[gone].view(np.uint64), f[here] + bits[here]])),
+                         np.concatenate([np.full(len(gone), -2), np.full(len(here), -1)]))
+                of, key, place = next(near, (gone[:0], f[:0].astype(np.uint64), gone[:0]))
+                for at, key, places in chain([tuple(map(np.concatenate, zip(equal, (of, key, place))))], near):
+                    yield packs((key >> np.uint64(32)) % np.uint64(buckets), [
+                        key & np.uint64(0xFFFFFFFF), f[at], n[at], doc[at], row[at], nth[at], places], maps, at)
 
     chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(meet, PACKED)
@@ -563,11 +646,12 @@ class Asked:
 
 
 def compared_with_all(still: DataFrame, sets: DataFrame, docs: DataFrame, order, similarity: float, doc_id: str, text: str,
-                      broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+                      spread, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(row, line) of the lines in ``still``, and maybe others, that have any similar earlier line.
 
     Few lines go to all tasks and are compared where other lines are read.
-    For many, all lines that share a key with one come to it with their words.
+    For many, all lines that share a key with one come to it with their words;
+    of equal ones in a chunk only the first, and by pairs of blocks where a key has many.
     """
     open_sets = sets.join(still, ["row", "line"])
     few = open_sets.agg(F.sum(F.length("words")) / 8).first()[0] <= broadcast_words
@@ -589,21 +673,27 @@ def compared_with_all(still: DataFrame, sets: DataFrame, docs: DataFrame, order,
                 start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 n = np.diff(np.append(start, len(line)))
                 which = line[start]
-                of, key, _ = prefix_keys(word, frequent, start, n, np.ones(len(n), bool), similarity)
-                real = has_bit(keys, bits_of(key))
-                of, key = of[real], key[real]
                 row, nth = some.column(0).to_numpy()[text_of[which]], number[which]
                 asked = has_bit(lines, place_bits(row, nth))
                 doc = pc.fill_null(some.column(1), LAST).to_numpy()[text_of[which]]
+                code = set_codes(word, start)
+                sort = np.lexsort((nth, row, doc, code))
+                first = np.ones(len(n), bool)
+                first[sort[np.append(False, code[sort][1:] == code[sort][:-1])]] = False
+                of, key, _ = prefix_keys(word, frequent, start, n, first, similarity)
+                real = has_bit(keys, bits_of(key))
+                of, key = of[real], key[real]
                 if questions is not None:
                     x = questions.matched(of, key, word, start, n, doc, row, nth)
                     yield pa.RecordBatch.from_arrays([pa.array(questions.row[x]), pa.array(questions.line[x], pa.int32())], ["row", "line"])
                     continue
                 data, ends = word.tobytes(), (start + n) * 8
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(mixed(key).view(np.int64)), pa.array(doc[of]), pa.array(row[of]), pa.array(nth[of].astype(np.int32)), pa.array(asked[of]),
-                    pa.array([data[a:b] for a, b in zip((start * 8)[of].tolist(), ends[of].tolist())], pa.binary())],
-                    ["key", "doc_id", "row", "line", "asked", "words"])
+                for i, key in spread.value.dealt(mixed(key), code[of]):
+                    at = of[i]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(key.view(np.int64)), pa.array(doc[at]), pa.array(row[at]), pa.array(nth[at].astype(np.int32)), pa.array(asked[at]),
+                        pa.array([data[a:b] for a, b in zip((start * 8)[at].tolist(), ends[at].tolist())], pa.binary())],
+                        ["key", "doc_id", "row", "line", "asked", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1):
@@ -634,9 +724,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_
     """(row, line) of every line to remove; lines without words stay."""
     frequent, words = frequent_words(docs, text)
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent))
+    cut = spread_of(docs, order, words, similarity, text)
+    spread = docs.sparkSession.sparkContext.broadcast(cut)
     # A line meets others by a fifth of its words, or a little more.
-    buckets = min(MOST_BUCKETS, 1 + int(words * (1 - similarity)) // BUCKET_ROWS)
-    found = checkpoint(met(meetings(docs, order, buckets, similarity, doc_id, text), buckets, similarity, first, most))
+    buckets = min(MOST_BUCKETS, 1 + (int(words * (1 - similarity)) + cut.extra) // BUCKET_ROWS)
+    found = checkpoint(met(meetings(docs, order, buckets, similarity, doc_id, text, spread), buckets, similarity, first, most))
     gone = found.filter("to_row is null").select("row", "line")
     # A line meets a neighbour under several keys.
     pairs = (found.filter("to_row is not null").groupBy("row", "line", "to_row", "to_line")
@@ -650,7 +742,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_
     near = checkpoint(near.unionByName(checked(left, sets, similarity).filter("similar").select("row", "line")))
     still = checkpoint(pairs.filter("more").select("row", "line").distinct().join(near, ["row", "line"], "left_anti"))
     if not still.isEmpty():  # more candidates than were kept, and none of those is similar
-        near = near.unionByName(compared_with_all(still, sets, docs, order, similarity, doc_id, text)).distinct()
+        near = near.unionByName(compared_with_all(still, sets, docs, order, similarity, doc_id, text, spread)).distinct()
     return gone.unionByName(near)
 
 
