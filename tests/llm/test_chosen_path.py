@@ -91,6 +91,34 @@ def test_recall_at_the_limit(spark):
     assert sum(r["n_links"] == 1 for r in rows) >= 0.97 * 600
 
 
+@pytest.mark.parametrize("depth", [3, 4, 6])
+def test_plan_reaches_the_recall(depth):
+    """Drawn pairs of exactly the similarity: shared coordinates, unequal bits, and buckets level by level."""
+    rng = np.random.default_rng(depth)
+    n, c = 200_000, CP.COORDINATES
+    for recall in (0.99, 0.9999):
+        most, runs = CP.plan(depth, recall, 0.8, 24)
+        same = rng.binomial(c, 0.8, n)
+        found = np.zeros(n, bool)
+        for _ in range(runs):
+            left = np.flatnonzero(~found)
+            shared = np.ones(len(left), np.int64)
+            for _ in range(depth):
+                shared = rng.binomial(shared * same[left], 1 / (0.8 * c))
+            found[left[shared > 0]] = True
+        lost = 1 - (found & (rng.binomial(c - same, 0.5) <= most)).mean()
+        assert lost <= (1 - recall) + 4 * ((1 - recall) / n)**0.5
+        assert CP.missed(depth, runs, 0.8, most) <= 1 - recall
+
+
+def test_pairs_at_the_limit_are_found_by_default(spark):
+    docs = []
+    for i in range(600):
+        base = [f"w{i}x{j}" for j in range(104)]
+        docs += [(2 * i, " ".join(base), "x", 1), (2 * i + 1, " ".join(base[:84]), "x", 1)]  # 100 shingles and 80 of them
+    assert sum(r["n_links"] == 1 for r in found(spark, docs)) == 1200
+
+
 def test_one_of_each(spark):
     docs = corpus(4, 15)
     df = CP.checkpoint(spark.createDataFrame(docs, SCHEMA).repartition(3))

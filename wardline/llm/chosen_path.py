@@ -19,7 +19,7 @@ number of copies from the start.  No step emits a row per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, log
+from math import ceil, comb, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,37 @@ def runs_needed(depth: int, recall: float) -> int:
     return ceil(log(1 - recall) / log(lost))
 
 
+def missed(depth: int, runs: int, similarity: float, most: int) -> float:
+    """The share of pairs of exactly the similarity that are not found.
+
+    The number of coordinates that two sets share is binomial; it sets how
+    many child buckets they share on average, in all runs, and how many bits
+    of their sketches can differ, of which ``most`` may.
+    """
+    found = 0.0
+    for same in range(COORDINATES + 1):
+        lost, differ = 0.0, COORDINATES - same
+        for _ in range(depth):
+            lost = exp(same / (similarity * COORDINATES) * (lost - 1))
+        chance = comb(COORDINATES, same) * similarity**same * (1 - similarity)**differ
+        found += chance * sum(comb(differ, u) for u in range(min(most, differ) + 1)) / 2**differ * (1 - lost**runs)
+    return 1 - found
+
+
+def plan(depth: int, recall: float, similarity: float, least: int = 0) -> tuple[int, int]:
+    """Unequal bits to allow, ``least`` or more, and runs, so that pairs of exactly the similarity are found with ``recall``.
+
+    The sketches may lose a tenth of what is allowed to be lost.
+    """
+    most = least
+    while missed(1, 1 << 30, similarity, most) > (1 - recall) / 10 and most < COORDINATES:
+        most += 1
+    runs = runs_needed(depth, recall)
+    while missed(depth, runs, similarity, most) > 1 - recall:
+        runs += 1
+    return most, runs
+
+
 def depth_for(n: int) -> int:
     """Levels: one more for each tenfold of sets."""
     return max(3, ceil(log(max(n, 1), 10)) - 1)
@@ -309,7 +340,7 @@ def checked(members: DataFrame, docs: DataFrame, text: str, similarity: float, k
 
 # --- the join ------------------------------------------------------------------------
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, k: int = 5, doc_id: str = "doc_id",
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, k: int = 5, doc_id: str = "doc_id",
                     text: str = "text", slack: float = 0.19, depth: int | None = None, runs: int | None = None) -> DataFrame:
     """(row, doc_id, class_id, n_links, first): one row per document.
 
@@ -321,15 +352,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     docs are read twice and must come in the same order, as files do.
     """
     depth = depth or depth_for(docs.count())
-    runs = runs or runs_needed(depth, recall)
+    # One bit differs with probability (1 - J) / 2.
+    most, needed = plan(depth, recall, similarity, int(COORDINATES * (1 - similarity + slack) / 2))
+    runs = runs or needed
     every = checkpoint(described(docs, similarity, depth, runs, k, doc_id, text))
     worded = every.filter("words > 0")
     sets = checkpoint(worded.groupBy("f1", "f2").agg(
         F.min("row").alias("set"), F.count("*").alias("copies"),
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("lead"), F.first("words").alias("words"),
         F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("buckets").alias("buckets")))
-    # One bit differs with probability (1 - J) / 2; the slack on J is over three standard deviations.
-    most = int(COORDINATES * (1 - similarity + slack) / 2)
     loose = components(candidate_links(sets, most))
     clusters = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
     sized = sets.select("set", "copies", "words").join(clusters.withColumnRenamed("node", "set"), "set")
