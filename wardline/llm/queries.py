@@ -15,10 +15,12 @@ from wardline.llm import packing as PK
 from wardline.llm import pii_boost as PII
 from wardline.llm import ppm as PPM
 from wardline.llm import revisits as RV
+from wardline.llm import token_blocks as TB
 from wardline.llm import topk as TK
 from wardline.llm import winnow as WN
 from wardline.llm.common import fold, table
-from wardline.session import use_utc
+from wardline.session import shared_dir, use_utc
+from wardline.sources.stores import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,6 +174,13 @@ def op7_revisit_resolution(spark, sf_dir):
                         "payload_digest", RV.header_lines(F.col("headers")).alias("headers"))
 
 
+@query()
+def op13_patched_blocks(spark, sf_dir):
+    path = fresh_dir(shared_dir(spark), "token_blocks")
+    TB.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return TB.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query()
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
