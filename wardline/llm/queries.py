@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.llm import centroid_drift as CD
 from wardline.llm import chosen_path as CP
 from wardline.llm import importance as IMP
 from wardline.llm import lattice_lm as LM
@@ -15,6 +16,7 @@ from wardline.llm import packing as PK
 from wardline.llm import pii_boost as PII
 from wardline.llm import ppm as PPM
 from wardline.llm import revisits as RV
+from wardline.llm import source_audit as SA
 from wardline.llm import token_blocks as TB
 from wardline.llm import topk as TK
 from wardline.llm import winnow as WN
@@ -174,6 +176,51 @@ def op7_revisit_resolution(spark, sf_dir):
                         "payload_digest", RV.header_lines(F.col("headers")).alias("headers"))
 
 
+def _rounds(n: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of plain rounds from v and c0."""
+    assigned = """a{i} AS (SELECT r, c, d FROM (SELECT v.r, m.c, CAST(list_sum(list_transform(list_zip(v.a, m.a), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d,
+  row_number() OVER (PARTITION BY v.r ORDER BY d, m.c) AS k FROM v CROSS JOIN c{i} m) WHERE k = 1)"""
+    moved = """u{i} AS (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{i}.c, unnest(v.a) AS x, unnest(generate_series(1, 64)) AS p FROM a{i} JOIN v USING (r)) GROUP BY c, p),
+n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS a FROM u{i} GROUP BY c),
+c{j} AS (SELECT o.c, coalesce(n.a, o.a) AS a FROM c{i} o LEFT JOIN n{i} n ON n.c = o.c)"""
+    return ",\n".join([assigned.format(i=0), *[x.format(i=i, j=i + 1) for j in range(n) for x, i in ((moved, j), (assigned, j + 1))]])
+
+
+@query(f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT c, a FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), a) - 1 AS c, a FROM v) WHERE c < 16),
+{_rounds(3)},
+i AS (SELECT c, CAST(sum(d) AS BIGINT) AS own, CAST(sum(sum(d)) OVER () AS BIGINT) AS whole FROM a3 GROUP BY c)
+SELECT v.vec_id, CAST(a3.c AS INTEGER) AS cluster, a3.d AS distance, i.own AS cluster_inertia, i.whole AS inertia, sha256(array_to_string(c3.a, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN c3 ON c3.c = a3.c JOIN i ON i.c = a3.c""")
+def op11_geometric_drift(spark, sf_dir):
+    found, centroids = CD.clusters(table(spark, sf_dir, "embeddings"))
+    return CD.report(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query(r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS ln FROM k GROUP BY lang),
+o AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(o.n, 0) + 5 * v.v) AS BIGINT) AS p, CAST(1 + (1000000000 * (k.ln + 5)) // (v.ln + 5 * v.v) AS BIGINT) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source
+  GROUP BY x.lang, x.source, y.source),
+a AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+  UNION ALL SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM a)
+WHERE part = 'pair' OR rank <= 50""")
+def op12_dominance_skyband(spark, sf_dir):
+    return SA.audit(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op13_patched_blocks(spark, sf_dir):
     path = fresh_dir(shared_dir(spark), "token_blocks")
