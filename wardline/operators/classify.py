@@ -8,6 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.operators.boosting import BoostedClasses, fit_boosted, with_probabilities
 from wardline.operators.sampling import SEED
 from wardline.operators.scoring import apply_confidence_floor
 from wardline.sources.schema import CLASSES
@@ -32,8 +33,13 @@ def scaled_stages(features: list[str]) -> list:
 
 def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
                    algorithm: str = "forest", trees: int = 100, depth: int = 10,
-                   weight_col: str | None = None, seed: int = SEED) -> PipelineModel:
-    """'forest': native multi-class.  'boosted': one boosted model per class."""
+                   weight_col: str | None = None, seed: int = SEED) -> PipelineModel | BoostedClasses:
+    """'forest': native multi-class.  'softmax': boosted trees of all classes together, ``trees``
+    rounds.  'boosted': one boosted model per class."""
+    if algorithm == "softmax":
+        if weight_col:
+            raise ValueError("softmax boosting takes no weights")
+        return fit_boosted(train, features, label, rounds=trees, depth=depth, seed=seed)
     rows = train.withColumn("_y", class_index(label))
     if algorithm == "forest":
         learner = RandomForestClassifier(
@@ -51,8 +57,10 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
     return Pipeline(stages=[*scaled_stages(features), learner]).fit(rows)
 
 
-def classify(df: DataFrame, model: PipelineModel, min_confidence: float | None = None) -> DataFrame:
+def classify(df: DataFrame, model: PipelineModel | BoostedClasses, min_confidence: float | None = None) -> DataFrame:
     """Add ``probabilities`` (class order), ``attack_type`` and ``confidence``."""
+    if isinstance(model, BoostedClasses):
+        return apply_confidence_floor(_named(with_probabilities(df, model)), min_confidence)
     rows = df.fillna(0.0, subset=[c for c in model.stages[0].getInputCols() if c in df.columns])
     out = model.transform(rows)
     if "probability" in out.columns:
@@ -64,12 +72,15 @@ def classify(df: DataFrame, model: PipelineModel, min_confidence: float | None =
         total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
         out = out.withColumn("_e", powers).withColumn(
             "probabilities", F.transform("_e", lambda e: e / total)).drop("_e")
-    out = out.withColumn("confidence", F.array_max("probabilities")).withColumn(
-        "attack_type", class_name(F.array_position("probabilities", F.col("confidence")) - 1))
-    out = out.drop("_raw", "features", "rawPrediction", "probability", "prediction")
+    out = _named(out).drop("_raw", "features", "rawPrediction", "probability", "prediction")
     return apply_confidence_floor(out, min_confidence)
 
 
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("confidence", F.array_max("probabilities")).withColumn(
+        "attack_type", class_name(F.array_position("probabilities", F.col("confidence")) - 1))
+
+
 def probability_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     names = {c: f"p_{c}" for c in CLASSES}
     return df.withColumns({p: F.get("probabilities", F.lit(i)) for i, p in enumerate(names.values())}), names

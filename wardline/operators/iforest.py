@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from wardline.functions.scalars import path_constant_value
+from wardline.operators.bitvector import BitVectorScorer
 from wardline.operators.evaluate import score_threshold
 from wardline.operators.sampling import SEED, hash_unit
 from wardline.session import checkpoint
@@ -41,6 +42,17 @@ class IsolationForest:
     features: list[str]
     sample: int
     offset: float
+    _scorer: BitVectorScorer | None = None
+
+    def scorer(self) -> BitVectorScorer:
+        """The trees as bit vectors; the nodes are read once."""
+        if self._scorer is None:
+            self._scorer = BitVectorScorer(self.nodes.toPandas(), "path")
+        return self._scorer
+
+    def on(self, features: list[str]) -> "IsolationForest":
+        """The same forest over other columns."""
+        return IsolationForest(self.nodes, features, self.sample, self.offset, self.scorer())
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
@@ -130,38 +142,16 @@ def fit_forest(df: DataFrame, features: list[str], row_id: str = "event_id", tre
 
 def with_isolation_score(df: DataFrame, forest: IsolationForest) -> DataFrame:
     """Add ``isolation_score`` in 0..1 and ``decision`` (higher = more anomalous)."""
-    table = forest.nodes.orderBy("tree", "node").toPandas()
-    sizes = table.groupby("tree").size().to_numpy()
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    base = np.repeat(starts, sizes)
-    feature = table["feature"].to_numpy(np.int64)
-    leaf = feature < 0
-    here = np.arange(len(table))
-    # A leaf points to itself, so every row can take the same number of steps.
-    children = np.stack([
-        np.where(leaf, here, table["left"].to_numpy() + base),
-        np.where(leaf, here, table["right"].to_numpy() + base)], axis=1).astype(np.int32).ravel()
-    packed = (starts.astype(np.int32), np.where(leaf, 0, feature).astype(np.int32),
-              table["threshold"].to_numpy(), children, table["path"].to_numpy())
-    shared = df.sparkSession.sparkContext.broadcast(packed)
-    steps = math.ceil(math.log2(max(forest.sample, 2)))
+    shared = df.sparkSession.sparkContext.broadcast(forest.scorer())  # at most trees x 2 x sample nodes
     scale = path_constant_value(forest.sample) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def isolation(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        starts, feature, threshold, children, path = shared.value
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             out = np.empty(len(x))
-            # Row chunks keep the position matrix in cache.
-            for lo in range(0, len(x), 512):
-                part = np.ascontiguousarray(x[lo:lo + 512])
-                flat = part.ravel()
-                first = (np.arange(len(part), dtype=np.int32) * part.shape[1])[:, None]
-                at = np.broadcast_to(starts, (len(part), len(starts)))
-                for _ in range(steps):
-                    at = children[2 * at + (flat[first + feature[at]] > threshold[at])]
-                out[lo:lo + 512] = np.exp2(-path[at].mean(axis=1) / scale)
+            for rows, path in shared.value.leaf_values(x):
+                out[rows] = np.exp2(-path.mean(axis=1) / scale)
             yield pd.Series(out)
 
     # Marked non-deterministic so that a filter on the score does not run it twice.
@@ -169,3 +159,75 @@ def with_isolation_score(df: DataFrame, forest: IsolationForest) -> DataFrame:
     vector = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.features]
     return df.withColumn("isolation_score", isolation(*vector)).withColumn(
         "decision", F.col("isolation_score") - F.lit(forest.offset))
+
+
+# --- the same scores as a join ----------------------------------------------------
+
+def leaf_boxes(forest: IsolationForest) -> DataFrame:
+    """(tree, path, low, high): the box of every leaf; a row is in it if low < x <= high in every feature."""
+    boxes = []
+    for tree, nodes in forest.nodes.toPandas().sort_values("node").groupby("tree"):
+        rows = nodes.set_index("node")
+        todo = [(0, [-math.inf] * len(forest.features), [math.inf] * len(forest.features))]
+        while todo:
+            node, low, high = todo.pop()
+            at = rows.loc[node]
+            f, cut = int(at["feature"]), float(at["threshold"])
+            if f < 0:
+                boxes.append((int(tree), float(at["path"]), low, high))
+                continue
+            todo.append((int(at["left"]), low, [min(h, cut) if i == f else h for i, h in enumerate(high)]))
+            todo.append((int(at["right"]), [max(v, cut) if i == f else v for i, v in enumerate(low)], high))
+    spark = forest.nodes.sparkSession
+    return spark.createDataFrame(boxes, "tree int, path double, low array<double>, high array<double>")
+
+
+def scores_by_boxes(df: DataFrame, forest: IsolationForest, row_id: str) -> DataFrame:
+    """(row_id, isolation_score) by joining rows to the leaf boxes they lie in.
+
+    The plain relational form; one comparison per row and leaf, for checks.
+    """
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.features])
+    inside = F.forall(F.arrays_zip("x", "low", "high"), lambda z: (z["x"] > z["low"]) & (z["x"] <= z["high"]))
+    paths = df.select(row_id, x.alias("x")).join(F.broadcast(leaf_boxes(forest)), inside).groupBy(row_id).agg(F.avg("path").alias("path"))
+    return paths.select(row_id, F.pow(F.lit(2.0), -F.col("path") / F.lit(path_constant_value(forest.sample) or 1.0)).alias("isolation_score"))
+
+
+def grid_cut(tree: int, node: int, n_features: int) -> tuple[int, float]:
+    """Feature and place in its range of a test of a fixed forest; nodes are numbered like a heap from 1."""
+    return (3 * tree + 2 * node + tree * node) % n_features, ((7 * tree + 5 * node) % 19 + 0.5) / 19
+
+
+def fit_grid_forest(df: DataFrame, features: list[str], trees: int = 10, depth: int = 3) -> IsolationForest:
+    """A forest without chance: full trees whose tests cut the range of a feature at fixed places.
+
+    Leaf paths count all rows that fall into a leaf, so nothing is sampled.
+    """
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inner, table = 2 ** depth, []
+    for t in range(trees):
+        for node in range(1, 2 * inner):
+            if node < inner:
+                f, share = grid_cut(t, node, len(features))
+                low, high = ends[f"lo_{features[f]}"] or 0.0, ends[f"hi_{features[f]}"] or 0.0
+                table.append((t, node - 1, f, low + share * (high - low), 2 * node - 1, 2 * node, 0.0))
+            else:
+                table.append((t, node - 1, -1, 0.0, -1, -1, 0.0))
+    spark = df.sparkSession
+    nodes = pd.DataFrame(table, columns=NODE_SCHEMA.names)
+    # The value of a leaf is its number: rows are counted by tree and leaf, at most trees x 2**depth counts.
+    shared = spark.sparkContext.broadcast(BitVectorScorer(nodes.assign(leaf=nodes["node"].astype(float)), "leaf"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, leaves in shared.value.leaf_values(rows.to_numpy(float)):
+                held, n = np.unique(leaves.astype(np.int64) * trees + np.arange(trees), return_counts=True)
+                yield pd.DataFrame({"tree": held % trees, "node": held // trees, "n": n})
+
+    vector = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    counts = df.select(*vector).mapInPandas(count, "tree int, node int, n long").groupBy("tree", "node").agg(F.sum("n").alias("n")).collect()
+    size = {(r["tree"], r["node"]): r["n"] for r in counts}
+    leaf = nodes["feature"] < 0
+    nodes.loc[leaf, "path"] = [depth + path_constant_value(size.get((t, n), 0)) for t, n in zip(nodes["tree"][leaf], nodes["node"][leaf])]
+    total = sum(n for (t, _), n in size.items() if t == 0)
+    return IsolationForest(spark.createDataFrame(nodes, NODE_SCHEMA), features, max(1, total), 0.0)

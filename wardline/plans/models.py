@@ -11,6 +11,7 @@ from wardline.operators import classify as CL
 from wardline.operators import evaluate as EV
 from wardline.operators import scoring as SC
 from wardline.operators.baselines import Baselines, fit_baselines, load_baselines, save_baselines
+from wardline.operators.boosting import BoostedClasses
 from wardline.operators.features import build_features, feature_matrix
 from wardline.operators.hotkeys import DEFAULT, SkewPolicy
 from wardline.operators.iforest import SAMPLE, TREES, IsolationForest, fit_forest, with_isolation_score
@@ -24,18 +25,21 @@ from wardline.sources.schema import FEATURES, NORMAL
 class Models:
     baselines: Baselines
     forest: IsolationForest
-    classifier: PipelineModel
+    classifier: PipelineModel | BoostedClasses
 
     def save(self, path: str) -> None:
         save_baselines(self.baselines, f"{path}/baselines")
         self.forest.save(f"{path}/iforest")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
+        if isinstance(self.classifier, BoostedClasses):
+            self.classifier.save(self.forest.nodes.sparkSession, f"{path}/classifier")
+        else:
+            self.classifier.write().overwrite().save(f"{path}/classifier")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Models":
         return Models(load_baselines(spark, f"{path}/baselines"),
                       IsolationForest.load(spark, f"{path}/iforest"),
-                      PipelineModel.load(f"{path}/classifier"))
+                      BoostedClasses.load(spark, f"{path}/classifier") or PipelineModel.load(f"{path}/classifier"))
 
 
 def training_table(log: DataFrame, base: Baselines, policy: SkewPolicy = DEFAULT) -> DataFrame:
@@ -55,7 +59,7 @@ def train_anomaly(table: DataFrame, trees: int = TREES, sample: int = SAMPLE,
 
 
 def train_classes(table: DataFrame, algorithm: str = "forest", trees: int = 100, depth: int = 10,
-                  seed: int = SEED) -> tuple[PipelineModel, DataFrame]:
+                  seed: int = SEED) -> tuple[PipelineModel | BoostedClasses, DataFrame]:
     """Classifier on balanced training rows, and its per-class held-out report."""
     balanced = checkpoint(oversample(table.filter(~F.col("is_test")), FEATURES, seed=seed))
     model = CL.fit_classifier(balanced, FEATURES, algorithm=algorithm, trees=trees, depth=depth, seed=seed)
@@ -64,11 +68,11 @@ def train_classes(table: DataFrame, algorithm: str = "forest", trees: int = 100,
 
 
 def train(log: DataFrame, policy: SkewPolicy = DEFAULT, forest_trees: int = TREES, class_trees: int = 100,
-          depth: int = 10, seed: int = SEED) -> tuple[Models, DataFrame, DataFrame]:
+          depth: int = 10, seed: int = SEED, algorithm: str = "forest") -> tuple[Models, DataFrame, DataFrame]:
     base = fit_baselines(log)
     table = training_table(log, base, policy)
     forest, binary = train_anomaly(table, trees=forest_trees, seed=seed)
-    classifier, classes = train_classes(table, trees=class_trees, depth=depth, seed=seed)
+    classifier, classes = train_classes(table, algorithm, trees=class_trees, depth=depth, seed=seed)
     return Models(base, forest, classifier), binary, classes
 
 
@@ -80,8 +84,7 @@ def score_features(rows: DataFrame, models: Models, norm: str = "minmax",
     """
     numeric = rows.withColumns({f"_m_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
     vectors = [f"_m_{c}" for c in FEATURES]
-    scored = with_isolation_score(numeric, IsolationForest(
-        models.forest.nodes, vectors, models.forest.sample, models.forest.offset))
+    scored = with_isolation_score(numeric, models.forest.on(vectors))
     if norm == "minmax":
         # The extremes need a pass of their own; keep the forest from running twice.
         scored = SC.minmax_normalised(checkpoint(scored), "decision")
@@ -98,8 +101,10 @@ def score_features(rows: DataFrame, models: Models, norm: str = "minmax",
         "risk_score", SC.risk_score("anomaly_score", "attack_type", "confidence")).drop(*vectors)
 
 
-def _on_columns(model: PipelineModel, columns: list[str]) -> PipelineModel:
-    """The same pipeline reading its features from other columns."""
+def _on_columns(model: PipelineModel | BoostedClasses, columns: list[str]) -> PipelineModel | BoostedClasses:
+    """The same classifier reading its features from other columns."""
+    if isinstance(model, BoostedClasses):
+        return model.on(columns)
     assembler = model.stages[0].copy().setInputCols(columns)
     return PipelineModel([assembler, *model.stages[1:]])
 

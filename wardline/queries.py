@@ -650,6 +650,45 @@ def iforest_scores(spark, sf_dir):
         "event_id", "label", num("isolation_score"), num("decision"))
 
 
+# A fixed forest over these, scored by leaf boxes in the reference SQL.
+_BOXED = ["hour_deviation", "session_z", "bytes_z", "travel_speed_kmh", "session_duration_s", "bytes_transferred"]
+_BOX_TREES, _BOX_DEPTH = 10, 3
+
+
+def _box_rows() -> str:
+    """(tree, leaf, low and high place in each feature's range) of every leaf of the fixed forest."""
+    rows = []
+    for t in range(_BOX_TREES):
+        for leaf in range(2 ** _BOX_DEPTH):
+            node, low, high = 1, [-1.0] * len(_BOXED), [2.0] * len(_BOXED)
+            for level in range(_BOX_DEPTH):
+                f, share = IF.grid_cut(t, node, len(_BOXED))
+                right = leaf >> (_BOX_DEPTH - 1 - level) & 1
+                low[f], high[f] = (max(low[f], share), high[f]) if right else (low[f], min(high[f], share))
+                node = 2 * node + right
+            rows.append(f"({t}, {leaf}, " + ", ".join(f"CAST({v!r} AS DOUBLE)" for pair in zip(low, high) for v in pair) + ")")
+    return ", ".join(rows)
+
+
+def _box_sql() -> str:
+    ends = ", ".join(f"min(CAST({c} AS DOUBLE)) AS l{i}, max(CAST({c} AS DOUBLE)) AS h{i}" for i, c in enumerate(_BOXED))
+    names = ", ".join(f"a{i}, b{i}" for i in range(len(_BOXED)))
+    inside = " AND ".join(f"f.{c} > r.l{i} + b.a{i} * (r.h{i} - r.l{i}) AND f.{c} <= r.l{i} + b.b{i} * (r.h{i} - r.l{i})" for i, c in enumerate(_BOXED))
+    c = "CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    return f"""r AS (SELECT {ends}, CAST(count(*) AS DOUBLE) AS total FROM features), b(tree, leaf, {names}) AS (VALUES {_box_rows()}),
+j AS (SELECT f.event_id, b.tree, b.leaf FROM features f CROSS JOIN r JOIN b ON {inside}),
+n AS (SELECT tree, leaf, CAST(count(*) AS DOUBLE) AS n FROM j GROUP BY tree, leaf),
+p AS (SELECT j.event_id, avg({_BOX_DEPTH} + {c.format(n="n.n")}) AS path FROM j JOIN n ON n.tree = j.tree AND n.leaf = j.leaf GROUP BY j.event_id)
+SELECT event_id, round(pow(2.0, -path / ({c.format(n="r.total")})), 6) AS isolation_score FROM p CROSS JOIN r"""
+
+
+@query(sql("SELECT 1", "features").removesuffix("\nSELECT 1") + ",\n" + _box_sql())
+def iforest_boxes(spark, sf_dir):
+    rows = feature_rows(load_log(spark, sf_dir))
+    forest = IF.fit_grid_forest(rows, _BOXED, _BOX_TREES, _BOX_DEPTH)
+    return IF.with_isolation_score(rows, forest).select("event_id", num("isolation_score"))
+
+
 @query()
 def iforest_report(spark, sf_dir):
     _, report = PM.train_anomaly(split_table(load_log(spark, sf_dir)))
@@ -670,6 +709,13 @@ def classifier_report(spark, sf_dir):
     return report
 
 
+@query()
+def boosted_report(spark, sf_dir):
+    """Held-out report of softmax boosting, beside ``classifier_report``."""
+    _, report = PM.train_classes(split_table(load_log(spark, sf_dir)), "softmax", trees=20, depth=5)
+    return report
+
+
 @query()
 def attribution_top4(spark, sf_dir):
     table = split_table(load_log(spark, sf_dir))
