@@ -70,13 +70,21 @@ def user_baselines(log: DataFrame, max_set: int = MAX_SET) -> DataFrame:
         F.count(F.lit(1)).alias("event_count"),
         F.max_by("role", F.struct("timestamp", "event_id")).alias("role"),
     )
+    return joined_baselines(numbers, value_pairs(normal), max_set)
+
+
+def value_pairs(normal: DataFrame, *keep: str) -> DataFrame:
+    """(user_id, kind, value, n) of the sets a baseline holds, by the further columns."""
     kinds = F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))
         for kind, col in (("city", "geo_city"), ("device", "device_id"),
                           ("ip", "source_ip"), ("resource", "resource_accessed"))]))
     # Merged map-side to distinct values before anything is grouped by user.
-    pairs = (normal.select("user_id", kinds).groupBy("user_id", "kind", "value")
-             .agg(F.count(F.lit(1)).alias("n")))
+    return (normal.select("user_id", *keep, kinds).groupBy("user_id", *keep, "kind", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def joined_baselines(numbers: DataFrame, pairs: DataFrame, max_set: int = MAX_SET) -> DataFrame:
     counts = pairs.groupBy("user_id").agg(
         F.count_if(F.col("kind") == "resource").alias("n_distinct_resources"),
         F.count_if(F.col("kind") == "device").alias("n_devices"),

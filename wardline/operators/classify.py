@@ -33,13 +33,13 @@ def scaled_stages(features: list[str]) -> list:
 
 def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
                    algorithm: str = "forest", trees: int = 100, depth: int = 10,
-                   weight_col: str | None = None, seed: int = SEED) -> PipelineModel | BoostedClasses:
+                   weight_col: str | None = None, seed: int = SEED, step: float = 0.1) -> PipelineModel | BoostedClasses:
     """'forest': native multi-class.  'softmax': boosted trees of all classes together, ``trees``
     rounds.  'boosted': one boosted model per class."""
     if algorithm == "softmax":
         if weight_col:
             raise ValueError("softmax boosting takes no weights")
-        return fit_boosted(train, features, label, rounds=trees, depth=depth, seed=seed)
+        return fit_boosted(train, features, label, rounds=trees, depth=depth, step=step, seed=seed)
     rows = train.withColumn("_y", class_index(label))
     if algorithm == "forest":
         learner = RandomForestClassifier(
@@ -49,7 +49,7 @@ def fit_classifier(train: DataFrame, features: list[str], label: str = "label",
             learner = learner.setWeightCol(weight_col)
     elif algorithm == "boosted":
         learner = OneVsRest(
-            classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1,
+            classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step,
                                      subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed),
             featuresCol="features", labelCol="_y")
     else:

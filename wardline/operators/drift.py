@@ -102,6 +102,11 @@ def ks_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
     recent = F.col("side") == "recent"
     counts = df.groupBy(key, value).agg(
         F.count_if(recent).alias("r"), F.count_if(~recent).alias("b"))
+    return ks_of_counts(counts, key, value)
+
+
+def ks_of_counts(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """KS statistic from (key, value, r, b), the rows of each value in the two windows."""
     up_to = W.partitionBy(key).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(key)
     gap = F.abs(F.try_divide(F.sum("r").over(up_to), F.sum("r").over(whole))

@@ -59,10 +59,10 @@ def train_anomaly(table: DataFrame, trees: int = TREES, sample: int = SAMPLE,
 
 
 def train_classes(table: DataFrame, algorithm: str = "forest", trees: int = 100, depth: int = 10,
-                  seed: int = SEED) -> tuple[PipelineModel | BoostedClasses, DataFrame]:
+                  seed: int = SEED, step: float = 0.1) -> tuple[PipelineModel | BoostedClasses, DataFrame]:
     """Classifier on balanced training rows, and its per-class held-out report."""
     balanced = checkpoint(oversample(table.filter(~F.col("is_test")), FEATURES, seed=seed))
-    model = CL.fit_classifier(balanced, FEATURES, algorithm=algorithm, trees=trees, depth=depth, seed=seed)
+    model = CL.fit_classifier(balanced, FEATURES, algorithm=algorithm, trees=trees, depth=depth, seed=seed, step=step)
     judged, columns = CL.probability_columns(CL.classify(table.filter("is_test"), model))
     return model, EV.multiclass_report(judged, "label", "attack_type", columns)
 

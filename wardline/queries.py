@@ -14,6 +14,7 @@ from wardline.operators import attribution as AT
 from wardline.operators import baselines as B
 from wardline.operators import classify as CL
 from wardline.operators import context as C
+from wardline.operators import daily as DA
 from wardline.operators import drift as D
 from wardline.operators import evaluate as E
 from wardline.operators import features as FT
@@ -155,6 +156,25 @@ def user_baselines(spark, sf_dir):
         F.array_join("known_ips", ",").alias("known_ips"))
 
 
+def log_days(log: DataFrame, least: int = 0) -> list:
+    """The days of the log in order; one row per day."""
+    return [r["day"] for r in log.select(F.to_date("timestamp").alias("day")).distinct().orderBy("day").collect()][-least:]
+
+
+@query(ORACLES["user_baselines"])
+def baselines_refreshed(spark, sf_dir):
+    """All days but the last folded from partials, then the last one taken in by itself."""
+    log, root = load_log(spark, sf_dir), ST.fresh_dir(shared_dir(spark), "baselines")
+    *earlier, last = log_days(log)
+    kept, day = DA.DailyBaselines(spark, root), F.to_date("timestamp")
+    kept.add_days(log.filter(day < F.lit(last)))
+    kept.fold(earlier[-1])
+    kept.refresh(log.filter(day == F.lit(last)), last)
+    return kept.load().select(
+        "user_id", *[num(c) for c in _BASE], *[whole(c) for c in _BASE_INT], "home_city", "role",
+        F.array_join("known_devices", ",").alias("known_devices"), F.array_join("known_ips", ",").alias("known_ips"))
+
+
 @query(sql("SELECT user_id, device_id AS value, count(*) AS n_events FROM normal_log GROUP BY ALL", "normal_log"))
 def known_devices(spark, sf_dir):
     return B.known_values(load_log(spark, sf_dir), "device_id")
@@ -227,14 +247,19 @@ def shared_devices(spark, sf_dir):
 
 # --- rules ------------------------------------------------------------------------
 
+def rule_rows(log: DataFrame) -> DataFrame:
+    """What the rules read; no baseline is among it."""
+    return C.context_features(log).withColumn("is_public_ip", S.is_public_ip("source_ip"))
+
+
 @query(sql("SELECT event_id, user_id, rule, severity, detail FROM violations", "violations"))
 def rule_alerts(spark, sf_dir):
-    return R.rule_alerts(feature_rows(load_log(spark, sf_dir))).drop("timestamp")
+    return R.rule_alerts(rule_rows(load_log(spark, sf_dir))).drop("timestamp")
 
 
 @query(sql("SELECT user_id, rule, severity, count(*) AS n FROM violations GROUP BY ALL", "violations"))
 def rule_summary(spark, sf_dir):
-    return R.rule_alerts(feature_rows(load_log(spark, sf_dir))).groupBy("user_id", "rule", "severity").agg(
+    return R.rule_alerts(rule_rows(load_log(spark, sf_dir))).groupBy("user_id", "rule", "severity").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -458,6 +483,28 @@ def drift_users(spark, sf_dir):
     return _ks_out(D.user_drift(load_log(spark, sf_dir), DAYS, "asymptotic"), "user_id")
 
 
+# The last days of the log, each as the end of the windows.
+_ENDS = 3
+_DAY_OF = f"(SELECT d FROM (SELECT DISTINCT CAST(timestamp AS DATE) AS d FROM access_log ORDER BY d DESC LIMIT 1 OFFSET {{i}}))"
+_ROLLING = " UNION ALL ".join(
+    f"SELECT CAST({_DAY_OF.format(i=i)} AS VARCHAR) AS day, user_id, {_KS_OUT} FROM ("
+    + _USER_KS.replace("access_log", f"(SELECT * FROM access_log WHERE CAST(timestamp AS DATE) <= {_DAY_OF.format(i=i)})") + ")"
+    for i in range(_ENDS))
+
+
+@query(sql(_ROLLING, "access_log"))
+def drift_rolling(spark, sf_dir):
+    """Windows moved day by day over the last days of the log."""
+    log, root = load_log(spark, sf_dir), ST.fresh_dir(shared_dir(spark), "rolling")
+    rolling, found = DA.RollingDrift(spark, root, DAYS), None
+    rolling.add_days(log)
+    for end in log_days(log, _ENDS):
+        rolling.advance(end)
+        day = rolling.drift(log, "asymptotic").withColumn("day", F.lit(str(end)))
+        found = day if found is None else found.unionByName(day)
+    return found.select("day", "user_id", whole("n_recent"), whole("n_baseline"), num("ks_stat"), num("p_value"), "drifted")
+
+
 @query()
 def drift_users_exact(spark, sf_dir):
     return _ks_out(D.user_drift(load_log(spark, sf_dir), DAYS, "auto"), "user_id")
@@ -712,7 +759,7 @@ def classifier_report(spark, sf_dir):
 @query()
 def boosted_report(spark, sf_dir):
     """Held-out report of softmax boosting, beside ``classifier_report``."""
-    _, report = PM.train_classes(split_table(load_log(spark, sf_dir)), "softmax", trees=20, depth=5)
+    _, report = PM.train_classes(split_table(load_log(spark, sf_dir)), "softmax", trees=15, depth=5, step=0.3)
     return report
 
 
