@@ -277,3 +277,34 @@ def fast(docs):
             sets.append(w)
         out[name, "\n".join(keep)] += 1
     return out
+
+
+def test_short_lines_that_share_hash_bits_stay(spark):
+    """Lines of one rare word each, which once were told apart by too few bits."""
+    ids = ["id200374", "id2084577", "id210337", "id1808543", "id2100364", "id2477244"]
+    docs = [(0, " ".join(f"filler{i}" for i in range(6000)))] + [(i + 1, x) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(docs + [(9, "id210337")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in LJ.without_repeats(df).collect()}
+    assert [got[i + 1] for i in range(6)] == ids and got[9] == ""
+
+
+def test_words_are_told_apart_by_all_their_bits():
+    rng = np.random.default_rng(0)
+    codes = np.unique(rng.integers(0, 2**64, 50_000, dtype=np.uint64) >> np.uint64(1) << np.uint64(1))
+    close = np.concatenate([codes, codes + np.uint64(1 << 5)])  # differ in a low bit only
+    number, known = LJ.Order(codes[:100]).numbers(close)
+    assert len(np.unique(number)) == len(np.unique(close)) and known.sum() == 100
+    assert number[known].min() > number[~known].max()
+
+
+def test_candidates_grow_with_the_lines(spark, tmp_path):
+    """Every line is near thousands of others, yet passes on a few under each of its keys."""
+    rows = [(i, f"the page of one long report on these many things and others n{i % 3000} m{i // 3000}") for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    frequent, words = LJ.frequent_words(docs, "text")
+    order = spark.sparkContext.broadcast(LJ.Order(frequent))
+    spread = spark.sparkContext.broadcast(LJ.spread_of(docs, order, words, 0.8, "text"))
+    found = LJ.met(LJ.meetings(docs, order, 4, 0.8, "doc_id", "text", spread), 4, 0.8, LJ.FIRST, LJ.NEAREST).filter("to_row is not null")
+    per_line = found.groupBy("row", "line").count().agg(F.max("count"), F.count("*")).first()
+    assert per_line[0] <= 6 * LJ.NEAREST and per_line[1] > 5000

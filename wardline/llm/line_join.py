@@ -12,8 +12,11 @@ bit map (the symmetric difference is at least the number of unequal bits) rule
 out most pairs, and the rest are checked on whole sets.
 
 Of equal sets the first line in (doc_id, row, line) order stays if no earlier
-line is similar to it; all others go.  A line's candidates are checked nearest
-first; lines whose nearest fail while others remain are checked against all.
+line is similar to it; all others go.  Words are told apart by 63 bits of a
+hash, equal sets by the words' 64-bit sum, their number and their bit map.  A
+line passes on its few nearest candidates under each key, so candidates grow
+with the lines, not with the pairs in a group; lines whose nearest fail while
+others remain are compared with all lines they share a key with.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ from wardline.llm.shingles import line_words, mixed
 from wardline.session import checkpoint
 
 CHUNK = 4 << 20
-#: Rows that meet in one bucket, about; buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 1 << 16
+#: Rows that meet in one bucket, about; partitions that buckets are dealt to, at most.
+BUCKET_ROWS, MOST_PARTITIONS = 100_000, 1 << 16
 #: Frequent words have one part in so many of all words: as many parts as words / SHARE, within bounds.
 SHARE, LEAST_PARTS, MOST_PARTS = 512, 1024, 1 << 17
 #: Candidates of a line that are kept if the nearest is very near, and if it isn't; pairs held before only those are kept.
-FIRST, NEAREST, HELD_PAIRS = 2, 1024, 1 << 19
+FIRST, NEAREST, HELD_PAIRS = 2, 4, 1 << 19
 #: Rows of a group from which a row's search ends when its nearest are very near, and candidates kept there.
 LARGE, NEAREST_LARGE = 1024, 64
 #: Words up to which the lines of the last round are broadcast; beyond, lines come to them by a shuffle.
@@ -53,6 +56,8 @@ BROADCAST_LINES = 2_000_000
 #: Bits of the filter that tells which lines the check needs.
 FILTER_BITS = 1 << 24
 LAST = 2**63 - 1
+#: The bit that numbers of frequent words have.
+FREQUENT_WORD = np.uint64(1 << 63)
 
 
 def frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -88,11 +93,10 @@ class Order:
     def numbers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each code, and whether it is a frequent word's."""
         if not len(self.codes):
-            return codes >> np.uint64(18), np.zeros(len(codes), bool)
+            return codes >> np.uint64(1), np.zeros(len(codes), bool)
         place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         known = self.codes[place] == codes
-        rank = np.where(known, self.at[place] + 1, 0).astype(np.uint64)
-        return (rank << np.uint64(46)) | (codes >> np.uint64(18)), known
+        return np.where(known, FREQUENT_WORD | self.at[place].astype(np.uint64), codes >> np.uint64(1)), known
 
 
 def line_sets(codes: np.ndarray, line: np.ndarray, ids: np.ndarray, order: Order):
@@ -142,7 +146,7 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
 
 
 COLUMNS = ["key", "f", "n", "doc_id", "row", "line", "pos"]
-KINDS = [np.uint32, np.uint32, np.int64, np.int64, np.int64, np.int64, np.int64]
+KINDS = [np.uint32, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64]
 
 
 def narrow(values: np.ndarray) -> tuple[int, bytes]:
@@ -305,7 +309,7 @@ def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: st
                 start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 n = np.diff(np.append(start, len(line)))
                 which = line[start]
-                f = (mixed(np.add.reduceat(mixed(word), start)) >> np.uint64(32)).astype(np.uint32)
+                f = set_codes(word, start)
                 maps = bit_maps(word, start, n)
                 bits = folded(maps, 1)[:, 0]
                 doc = pc.fill_null(some.column(1), LAST).to_numpy()[text_of[which]]
@@ -475,11 +479,11 @@ def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int)
         at = np.flatnonzero(pos != -2)
         order = np.lexsort((line[at], row[at], doc[at]))
         at = at[order]  # earlier lines first, which stable sorting keeps
-        same_set = mixed(bits[at] + mixed((f[at].astype(np.uint64) << np.uint64(32)) + n[at].astype(np.uint64)))
         group = (key[at].astype(np.uint64) << np.uint64(1)) | (pos[at] == -1)
-        order = np.argsort((group << np.uint64(31)) | (same_set >> np.uint64(33)), kind="stable")
-        at, group, same_set = at[order], group[order], same_set[order]
-        again = np.append(False, (group[1:] == group[:-1]) & (same_set[1:] == same_set[:-1])) if len(at) else np.zeros(0, bool)
+        order = np.lexsort((bits[at], f[at], group))
+        at, group = at[order], group[order]
+        same = [group, f[at], bits[at], n[at]]
+        again = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in same])) if len(at) else np.zeros(0, bool)
         late = at[again & (pos[at] == -1)]
         yield removals(row[late], line[late])
         near = ~again & (pos[at] >= 0)
@@ -499,14 +503,18 @@ def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int)
         yield batch_of(row[x], line[x], row[y], line[y].astype(np.int32), unequal, more)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        now, held = None, []
         for batch in batches:
             for bucket, columns in unpacked(batch):
-                held.setdefault(bucket, []).append(columns)
-        for bucket in list(held):
-            yield from detect([np.concatenate(c) for c in zip(*held.pop(bucket))])
+                if held and bucket != now:
+                    yield from detect([np.concatenate(c) for c in zip(*held)])
+                    held = []
+                now = bucket
+                held.append(columns)
+        if held:
+            yield from detect([np.concatenate(c) for c in zip(*held)])
 
-    return rows.repartition(buckets, "bucket").mapInArrow(find, "row long, line int, to_row long, to_line int, unequal int, more boolean")
+    return rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(find, "row long, line int, to_row long, to_line int, unequal int, more boolean")
 
 
 # --- check ---------------------------------------------------------------------------
@@ -599,7 +607,7 @@ def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndar
             word = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
             n = np.array([len(w) for w in word], np.int64)
             word = np.concatenate([*word, np.zeros(0, np.uint64)])
-            _, keys, _ = prefix_keys(word, word >> np.uint64(46) > 0, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
+            _, keys, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
             for i, b in enumerate((bits_of(word), bits_of(keys))):
                 np.bitwise_or.at(table[i], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
         table = table.ravel()
@@ -619,7 +627,7 @@ class Asked:
         self.words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
         self.n = np.array([len(w) for w in self.words], np.int64)
         word = np.concatenate([*self.words, np.zeros(0, np.uint64)])
-        of, keys, _ = prefix_keys(word, word >> np.uint64(46) > 0, np.cumsum(self.n) - self.n, self.n, np.ones(len(self.n), bool), similarity)
+        of, keys, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(self.n) - self.n, self.n, np.ones(len(self.n), bool), similarity)
         order = np.argsort(keys, kind="stable")
         self.of, self.keys, self.similarity = of[order], keys[order], similarity
 
@@ -727,7 +735,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_
     cut = spread_of(docs, order, words, similarity, text)
     spread = docs.sparkSession.sparkContext.broadcast(cut)
     # A line meets others by a fifth of its words, or a little more.
-    buckets = min(MOST_BUCKETS, 1 + (int(words * (1 - similarity)) + cut.extra) // BUCKET_ROWS)
+    buckets = 1 + (int(words * (1 - similarity)) + cut.extra) // BUCKET_ROWS
     found = checkpoint(met(meetings(docs, order, buckets, similarity, doc_id, text, spread), buckets, similarity, first, most))
     gone = found.filter("to_row is null").select("row", "line")
     # A line meets a neighbour under several keys.
