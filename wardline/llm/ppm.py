@@ -2,14 +2,16 @@
 
 Every language has a tree of byte contexts of up to three bytes with the
 counts of the bytes that followed.  A context is a node of the trees if it
-makes up at least one part in ``min_share`` of all training bytes, so a
-model has at most ``min_share`` nodes of each length however much it is
-trained on.  The probability of a byte follows PPM with escape method C and
+makes up at least one part in ``min_share`` of the training bytes of any one
+language, so a model has at most ``min_share`` nodes of each length and
+language however much it is trained on, and a language with few bytes keeps as
+many as others.  The probability of a byte follows PPM with escape method C and
 exclusion: in a context seen C times with u different followers, a follower
 seen c times has c / (C + u), and u / (C + u) goes to the other bytes in
 proportion to the next shorter context; below the empty context all bytes are
 alike.  After training the statistics are frozen, and a text's code length in
-a language is the exact sum of -log2 of its bytes' probabilities.
+a language is the exact sum of -log2 of its bytes' probabilities in the trees
+with these nodes.
 """
 
 from __future__ import annotations
@@ -129,26 +131,28 @@ def train(counts: DataFrame, min_share: int = 4096) -> Model | None:
     """The frozen model; None if there is nothing to learn from.
 
     The driver gets the counts of at most ``min_share`` contexts of each
-    length, which is what a model may have.
+    length and language, which is what a model may have.
     """
     counts = checkpoint(counts)
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return None
+    of_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # one row per language
     levels = []
     for k in range(ORDER + 1):
         ctx = F.shiftright("code", 8).bitwiseAND((1 << 8 * k) - 1)
         seen = counts.groupBy("lang", ctx.alias("ctx"), F.col("code").bitwiseAND(255).alias("sym")).agg(F.sum("n").alias("n"))
-        kept = seen.groupBy("ctx").agg(F.sum("n").alias("all")).filter(F.col("all") >= total / min_share)
-        levels.append(seen.join(F.broadcast(kept.select("ctx")), "ctx").toPandas() if k else seen.toPandas())
-    return frozen(levels, total)
+        kept = (seen.groupBy("lang", "ctx").agg(F.sum("n").alias("all")).join(F.broadcast(of_lang), "lang")
+                .filter(F.col("all") * min_share >= F.col("total")).select("ctx").distinct())
+        levels.append(seen.join(F.broadcast(kept), "ctx").toPandas() if k else seen.toPandas())
+    return frozen(levels)
 
 
-def frozen(levels: list[pd.DataFrame], total: int) -> Model:
+def frozen(levels: list[pd.DataFrame]) -> Model:
     langs = sorted(levels[0]["lang"].unique())
     by_byte = np.bincount(levels[0]["sym"], levels[0]["n"], 256)
-    own = np.flatnonzero(by_byte >= total / 65536)
-    symbol = np.zeros(256, np.int64)  # 0: bytes too rare for a symbol of their own
+    own = np.flatnonzero(by_byte)
+    symbol = np.zeros(256, np.int64)  # 0: bytes that were never seen
     symbol[own] = np.arange(1, len(own) + 1)
     symbol[0] = pad = len(own) + 1  # never coded, but a context
     width, rare = pad + 1, max(1, 255 - len(own))
