@@ -112,6 +112,12 @@ def multiclass_report(df: DataFrame, truth: str, predicted: str,
             .join(F.broadcast(aps), "class", "left").fillna(0.0, subset=["pr_auc"]))
 
 
+def missing_classes(df: DataFrame, label: str = "label", classes: list[str] = CLASSES) -> DataFrame:
+    """Expected classes that no row has."""
+    expected = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias(label))
+    return expected.join(df.select(label).distinct(), label, "left_anti")
+
+
 def latency_percentiles(timings: DataFrame, column: str) -> DataFrame:
     """p50/p95/p99 of batch timings."""
     long = timings.select(F.lit("all").alias("name"), F.col(column).cast("double").alias("value"))

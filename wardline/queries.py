@@ -32,7 +32,9 @@ from wardline.sources import stores as ST
 from wardline.sources.access_log import load_log
 from wardline.sources.schema import ACCESS_LOG, BASELINE_NUMBERS, CLASSES, FEATURES
 from wardline.streaming import hot_path as HP
+from wardline.streaming import late as LA
 from wardline.streaming import state as LS
+from wardline.streaming import status as STA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,6 +158,14 @@ def user_baselines(spark, sf_dir):
         F.array_join("known_ips", ",").alias("known_ips"))
 
 
+@query(sql("SELECT label FROM (VALUES " + ", ".join(f"('{c}')" for c in CLASSES) + ") AS e(label) WHERE label NOT IN "
+           "(SELECT label FROM access_log WHERE CAST(substr(event_id, 5) AS BIGINT) % 100 <> 0)", "access_log"))
+def missing_classes(spark, sf_dir):
+    """Classes that events of several rows alone have."""
+    first_rows = F.substr("event_id", F.lit(5)).cast("long") % 100 != 0
+    return E.missing_classes(load_log(spark, sf_dir).filter(first_rows))
+
+
 def log_days(log: DataFrame, least: int = 0) -> list:
     """The days of the log in order; one row per day."""
     return [r["day"] for r in log.select(F.to_date("timestamp").alias("day")).distinct().orderBy("day").collect()][-least:]
@@ -876,3 +886,41 @@ def stream_failure_rates(spark, sf_dir):
     events, root = replay(spark, sf_dir)
     return _finished(HP.failure_rates(events), root, "complete").select(
         F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "events", "failures", num("failure_rate"))
+
+
+def _change_files(spark: SparkSession, sf_dir: str, slices: int = 3) -> tuple[DataFrame, str]:
+    """Alerts and feedback as changes in an order that no clock gave, read as a stream."""
+    root = ST.fresh_dir(shared_dir(spark), "changes")
+    alerts = standin_alerts(load_log(spark, sf_dir))
+    changes = checkpoint(STA.alert_changes(alerts).unionByName(STA.feedback_changes(standin_feedback(alerts))))
+    slot = F.pmod(F.xxhash64("alert_id", "feedback_id"), F.lit(slices))
+    for i in range(slices):
+        changes.filter(slot == i).coalesce(1).write.mode("append").parquet(f"{root}/changes")
+    return HP.read_events(spark, f"{root}/changes", 1, STA.CHANGES), root
+
+
+@query(sql("SELECT attack_type, status, count(*) AS n FROM status GROUP BY ALL", "status"))
+def stream_status_counts(spark, sf_dir):
+    """Alert counts by class and status, with verdicts that come before or after their alerts."""
+    changes, root = _change_files(spark, sf_dir)
+    STA.start_counts(changes, f"{root}/counts", f"{root}/state", available_now=True).awaitTermination()
+    return STA.live_counts(spark, f"{root}/counts")
+
+
+# Every 50th event of the first half of the month comes after all others.
+_STRAY = "CAST(substr(event_id, 5) AS BIGINT) % 50 = 7 AND timestamp < (SELECT date_trunc('day', min(timestamp)) + INTERVAL 15 DAY FROM access_log)"
+
+
+@query(sql(f"""SELECT CASE WHEN {_STRAY} THEN 'late' ELSE 'on_time' END AS part,
+  strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H') AS hour, count(*) AS n FROM access_log GROUP BY ALL""", "access_log"))
+def stream_late_events(spark, sf_dir):
+    root, log = ST.fresh_dir(shared_dir(spark), "late"), checkpoint(load_log(spark, sf_dir))
+    middle = log.agg(F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 15 DAYS")).first()[0]
+    stray = (F.substr("event_id", F.lit(5)).cast("long") % 50 == 7) & (F.col("timestamp") < F.lit(middle))
+    early = F.col("timestamp") < F.lit(middle)
+    for part in (~stray & early, ~early, stray):
+        log.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    LA.start_split(HP.read_events(spark, f"{root}/events", 1, ACCESS_LOG), f"{root}/out", f"{root}/state", 10, available_now=True).awaitTermination()
+    parts = [LA.counts_by_hour(LA.read_part(spark, f"{root}/out", name, ACCESS_LOG)).select(
+        F.lit(name).alias("part"), F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n") for name in ("on_time", "late")]
+    return parts[0].unionByName(parts[1])
