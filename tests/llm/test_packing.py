@@ -88,12 +88,87 @@ def test_plan_is_near_the_bound():
     c = np.bincount(lengths, minlength=2049)
     n = sum(b.copies for b in PK.plan(c, 2048))
     assert n <= np.ceil(lengths.sum() / 2048) * 1.002 + 1
+    c[2048] = 0
+    got, _ = check_program(c, 2048)
+    assert got.size <= 1.005 * got.bound
 
 
 def test_configuration_is_optimal():
     price = np.zeros(11)
     price[3], price[4], price[7] = 3.0, 4.2, 6.9
-    assert dict(PK.best_configuration(price)) == {3: 2, 4: 1}
+    knapsack = PK.Knapsack(price)
+    assert dict(knapsack.configuration()) == {3: 2, 4: 1}
+    assert dict(knapsack.configuration(7)) == {7: 1, 3: 1} and knapsack.having(7) == pytest.approx(9.9)
+    wanted = np.zeros(11)
+    wanted[7] = 1.0
+    assert dict(knapsack.configuration(wanted=wanted, slack=0.4)) == {7: 1, 3: 1}
+    assert dict(knapsack.configuration(wanted=wanted, slack=0.2)) == {3: 2, 4: 1}
+
+
+def fewest(pieces, capacity):
+    """The fewest sequences, by trying every place of every piece."""
+    best = len(pieces)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= pieces[i]}:
+            at = rooms.index(r)
+            put(i + 1, [*rooms[:at], r - pieces[i], *rooms[at + 1:]])
+        put(i + 1, [*rooms, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def check_program(counts, capacity):
+    """The solution covers all pieces, the bound is below it, and rounding adds no more than the configurations."""
+    got = PK.solve(counts, capacity)
+    covered = np.zeros(capacity + 1)
+    for one, times in got.uses.items():
+        assert times >= 0 and sum(a * n for a, n in one) <= capacity
+        for a, n in one:
+            covered[a] += times * n
+    assert (covered >= counts * (1 - 1e-5)).all()
+    assert got.bound <= got.size * (1 + 1e-5)
+    n = sum(b.copies for b in PK.plan(counts, capacity))
+    assert np.ceil(got.bound - 1e-6) <= n <= np.ceil(got.size) + len(got.uses)
+    return got, n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 19), min_size=1, max_size=9))
+def test_bound_is_below_the_fewest(pieces):
+    counts = np.bincount(pieces, minlength=21)
+    got, n = check_program(counts, 20)
+    least = fewest(sorted(pieces, reverse=True), 20)
+    assert np.ceil(got.bound - 1e-6) <= least <= n
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 2000), min_size=1, max_size=50))
+def test_program_of_any_histogram(counts):
+    c = np.zeros(51, np.int64)
+    for k, v in counts.items():
+        c[k] = v
+    check_program(c, 50)
+
+
+def test_program_of_long_pieces():
+    """Above half a sequence every piece needs its own: the sum of lengths is far below what is needed."""
+    c = np.zeros(2049, np.int64)
+    c[1025:1900], c[100:140] = 50, 30
+    got, n = check_program(c, 2048)
+    assert got.bound == pytest.approx(875 * 50, rel=1e-4) and n == 875 * 50
+
+
+def test_program_of_no_pieces():
+    got = PK.solve(np.zeros(21, np.int64), 20)
+    assert (got.uses, got.bound, got.size, PK.plan(np.zeros(21, np.int64), 20)) == ({}, 0.0, 0, [])
 
 
 def check_packing(rows, texts, capacity):
@@ -133,4 +208,7 @@ def test_whole_table(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     rows = QUERIES["op3_configuration_packing"](spark, sf_dir).collect()
     check_packing(rows, docs, 2048)
-    assert len({r["sequence_id"] for r in rows}) <= np.ceil(sum(r["length"] for r in rows) / 2048) * 1.01 + 1
+    counts = np.bincount([r["length"] for r in rows], minlength=2049)
+    whole, counts[2048] = counts[2048], 0
+    got, n = check_program(counts, 2048)
+    assert len({r["sequence_id"] for r in rows}) == n + whole <= np.ceil(got.bound + whole) * 1.01 + 1

@@ -5,12 +5,14 @@ a sequence.  The pieces' length histogram (at most ``capacity`` rows) is all
 the driver sees.  A sequence filled with certain lengths is a configuration;
 which configurations to use how often is a linear program over the histogram.
 It is solved by multiplicative weights: each length has a price, a knapsack
-dynamic program finds the configuration of the highest price, the
-configuration is used, and the prices of its lengths fall by a factor that
-depends on the share of them now covered.  A configuration is used a whole
-number of times, a set share of what the remaining histogram allows, so that
-rounding loses nothing; what the rounds leave is packed by best fit.  Pieces
-then take the places planned for their length by their rank in it.
+dynamic program finds the configurations of the highest price, sequences are
+dealt to them, and the prices of lengths fall by the share of them that is
+covered.  The rounds give a fractional solution and, as prices are a dual one,
+a number below which no packing can go.  The solution is rounded down, one more
+of its full configurations is used where all pieces are there, and the rest is
+packed in whole numbers by the same pricing and then by best fit, or by rounding
+up if that needs fewer: never more sequences than the program's value and one per
+configuration.  Pieces take the places planned for their length by their rank in it.
 """
 
 from __future__ import annotations
@@ -129,29 +131,153 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
                                   "start long, length long, ids_crc32 long")
 
 
+class Knapsack:
+    """Configurations of the highest total price; price[l] is that of length l, 0 where there is none."""
+
+    def __init__(self, price: np.ndarray):
+        capacity = len(price) - 1
+        self.price, self.capacity = price, capacity
+        self.best, self.pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        for c in range(1, capacity + 1):
+            value = price[1:c + 1] + self.best[c - 1::-1]
+            i = int(value.argmax())
+            if value[i] > self.best[c - 1]:
+                self.best[c], self.pick[c] = value[i], i + 1
+            else:
+                self.best[c] = self.best[c - 1]
+
+    def having(self, length: int) -> float:
+        """The highest price of a configuration that has ``length``."""
+        return float(self.price[length] + self.best[self.capacity - length])
+
+    def configuration(self, length: int = 0, wanted: np.ndarray | None = None, slack: float = 0.0) -> dict[int, int]:
+        """Lengths and how often each; with ``length`` among them, if one is given.
+
+        Of choices that together lose at most ``slack`` of the price, those of the most ``wanted`` lengths are taken.
+        """
+        found: dict[int, int] = defaultdict(int)
+        c = self.capacity - length
+        if length:
+            found[length] = 1
+        while c:
+            one = int(self.pick[c])
+            if wanted is not None and self.best[c] > 0:
+                loss = self.best[c] - (self.price[1:c + 1] + self.best[c - 1::-1])
+                i = int(np.where(loss <= slack + 1e-12, wanted[1:c + 1], 0.0).argmax())
+                if wanted[i + 1] > 0 and loss[i] <= slack + 1e-12:
+                    one, slack = i + 1, slack - max(0.0, float(loss[i]))
+            if one:
+                found[one] += 1
+                c -= one
+            else:
+                c -= 1
+        return found
+
+
 def best_configuration(price: np.ndarray) -> dict[int, int]:
-    """Lengths and how often each, of the highest total price within the capacity.
+    """Lengths and how often each, of the highest total price within the capacity (unbounded knapsack)."""
+    return Knapsack(price).configuration()
+
+
+#: How often each configuration, ((length, times), ...), is used.
+Uses = dict[tuple[tuple[int, int], ...], float]
+
+
+@dataclass
+class Fraction:
+    """A fractional cover of all pieces and the dual bound.
+
+    ``uses`` maps a configuration, ((length, times), ...), to how often it is
+    used.  No packing has fewer sequences than ``bound``; ``size`` is the sum of uses.
+    """
+
+    uses: Uses
+    bound: float
+
+    @property
+    def size(self) -> float:
+        return sum(self.uses.values())
 
-    price[l] belongs to length l; 0 where there is none.  Unbounded knapsack.
+
+def cover(left: np.ndarray, knapsack: Knapsack, least: float) -> tuple[Uses, np.ndarray]:
+    """Fractional uses that cover what is left, by configurations of a price of ``least`` or more.
+
+    Longest first, every length takes a configuration that has it, filled with
+    the lengths of which most is open, for as much as is open of all of them.
+    Lengths whose configurations are cheaper stay open.  Returns the uses and
+    what they cover of each length.
+    """
+    left = left.astype(float)
+    tiny = 1e-6 * left
+    lengths = np.arange(len(left))
+    uses: Uses = defaultdict(float)
+    covered = np.zeros(len(left))
+    for length in np.flatnonzero(left)[::-1].tolist():
+        while left[length] > tiny[length] and knapsack.having(length) >= least:
+            found = knapsack.configuration(length, left * lengths, knapsack.having(length) - least)
+            # Lengths that fill a configuration though none is open are covered once too often.
+            times = min(left[other] / n for other, n in found.items() if left[other] > tiny[other])
+            uses[tuple(sorted(found.items(), reverse=True))] += times
+            for other, n in found.items():
+                covered[other] += times * n
+                left[other] = max(0.0, left[other] - times * n)
+                if left[other] <= tiny[other]:
+                    left[other] = 0.0
+    return uses, covered
+
+
+def solve(counts: np.ndarray, capacity: int, gap: float = 0.005, rounds: int = 20, rate: float = 0.5, slack: float = 0.01) -> Fraction:
+    """The linear program over the histogram by multiplicative weights.
+
+    Least sum of uses such that every length l is covered counts[l] times.  A
+    round prices the lengths and lets the knapsack find the dearest
+    configuration; prices divided by its price are a dual solution, whose value
+    is a bound.  Sequences are dealt to configurations within ``slack`` of the
+    dearest, as many as the bound, and each price falls by a factor in the share of its
+    length that they cover.  The answer is the average of the rounds, or what one
+    round gives if that is smaller, and what it leaves open covered at the same
+    prices.  Rounds end when the answer is within ``gap`` of the bound.  First
+    prices are a length's share of a sequence, or whether it is above half of
+    one, whichever gives the higher bound.
     """
-    capacity = len(price) - 1
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        value = price[1:c + 1] + best[c - 1::-1]
-        i = int(value.argmax())
-        if value[i] > best[c - 1]:
-            best[c], pick[c] = value[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    found: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c:
-        if pick[c]:
-            found[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return found
+    here, lengths = counts > 0, np.arange(capacity + 1)
+    if not here.any():
+        return Fraction({}, 0.0)
+
+    def complete(uses: Uses, covered: np.ndarray, knapsack: Knapsack) -> Uses:
+        rest = np.where(covered < counts * (1 - 1e-9), counts - covered, 0.0)
+        more = cover(rest, knapsack, 0.0)[0]
+        return {one: uses.get(one, 0.0) + more.get(one, 0.0) for one in {**uses, **more}}
+
+    share_of = np.where(here, lengths / capacity, 0.0)
+    halves = np.where(here, (2 * lengths > capacity) + 0.5 * (2 * lengths == capacity), 0.0)
+    starts = [Knapsack(share_of), Knapsack(halves + 1e-6 * share_of)]
+    knapsack = max(starts, key=lambda k: float(counts @ k.price) / k.best[capacity])
+    best, bound, total = Fraction({}, np.inf), 0.0, 0.0
+    average: Uses = defaultdict(float)
+    covered = np.zeros(capacity + 1)
+    for _ in range(rounds):
+        price, top = knapsack.price, float(knapsack.best[capacity])
+        bound = max(bound, float(counts @ price) / top)
+        found, gain = cover(counts, knapsack, (1 - slack) * top)
+        scale = bound / sum(found.values())
+        share = np.where(here, scale * gain / np.maximum(counts, 1), 0.0)
+        step = min(1.0, 1.0 / share.max())  # no length is covered more than once a round
+        for one, times in found.items():
+            average[one] += step * scale * times
+        covered += step * scale * gain
+        total += step
+        answers = [complete(found, gain, knapsack)]
+        if total > step:
+            answers.append(complete({one: times / total for one, times in average.items()}, covered / total, knapsack))
+        for uses in answers:
+            if not best.uses or sum(uses.values()) < best.size:
+                best = Fraction(uses, bound)
+        if best.size <= (1 + gap) * bound:
+            break
+        price = np.where(here, price * np.exp(-rate * step * (share - share[here].min())), 0.0)
+        knapsack = Knapsack(np.where(here, np.maximum(price / price.max(), 1e-12), 0.0))
+    return Fraction(best.uses, bound)
 
 
 @dataclass
@@ -189,20 +315,56 @@ def best_fit(left: np.ndarray, capacity: int) -> list[Bins]:
     return done + [b for bs in open_bins.values() for b in bs]
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 800, share: float = 0.5, rate: float = 2.0) -> list[Bins]:
-    """Sequences for counts[l] pieces of each length l, all placed.
+def rounded(left: np.ndarray, fraction: Fraction, capacity: int) -> tuple[list[Bins], Uses]:
+    """Configurations used a whole number of times, as far as pieces are left; ``left`` falls by them.
+
+    First the whole part of each use, then, most first, one more of each full
+    configuration whose pieces are all there.  Also returns how often each
+    may be used until it is one above the whole part.
+    """
+    out = []
+    open_uses = {one: int(times + 1e-9) + 1 for one, times in sorted(fraction.uses.items(), key=lambda u: (-u[1], u[0]))}
+    for whole in (True, False):
+        for one, times in open_uses.items():
+            if not whole and sum(a * n for a, n in one) < capacity:
+                continue
+            copies = min([times - 1 if whole else min(times, 1), *(int(left[a]) // n for a, n in one)])
+            if copies > 0:
+                out.append(Bins(copies, list(one)))
+                open_uses[one] -= copies
+                for a, n in one:
+                    left[a] -= copies * n
+    return out, open_uses
+
+
+def rounded_up(left: np.ndarray, open_uses: Uses, capacity: int) -> list[Bins]:
+    """The remaining pieces in the uses still open, filled with what is there.
+
+    All uses together are one above the whole part at most, so this adds
+    no more sequences to the linear program than it has configurations.
+    """
+    out = []
+    for one, times in open_uses.items():
+        while times:
+            content = [(a, min(n, int(left[a]))) for a, n in one if left[a]]
+            if not content:
+                break
+            copies = min([times, *(int(left[a]) // n for a, n in content)])
+            out.append(Bins(copies, content))
+            times -= copies
+            for a, n in content:
+                left[a] -= copies * n
+    return out + best_fit(left, capacity)
+
+
+def by_prices(left: np.ndarray, price: np.ndarray, capacity: int, rounds: int = 400, share: float = 0.5, rate: float = 2.0) -> list[Bins]:
+    """The remaining pieces by priced configurations in whole numbers, then by best fit.
 
     ``share`` is the part of what the remaining histogram allows that a
     configuration is used for, ``rate`` the strength of the price changes.
     """
-    left = counts.astype(np.int64).copy()
-    out = []
-    if left[capacity]:
-        out.append(Bins(int(left[capacity]), [(capacity, 1)]))
-        left[capacity] = 0
-    lengths = np.arange(capacity + 1)
-    # At the start prices are the share of a sequence: no full sequence is better than another.
-    price = np.where(left > 0, lengths / capacity, 0.0)
+    out, counts = [], np.maximum(left, 1)
+    price = np.where(left > 0, price, 0.0)
     for _ in range(rounds):
         if left.sum() * 4 <= capacity or not (left > 1).any():
             break
@@ -229,6 +391,22 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = 800, share: float = 0.
     return out + best_fit(left, capacity)
 
 
+def plan(counts: np.ndarray, capacity: int) -> list[Bins]:
+    """Sequences for counts[l] pieces of each length l, all placed.
+
+    The linear program rounded down, then the rest by prices, or the program rounded up if that needs fewer.
+    """
+    left = counts.astype(np.int64).copy()
+    out = []
+    if left[capacity]:
+        out.append(Bins(int(left[capacity]), [(capacity, 1)]))
+        left[capacity] = 0
+    whole, open_uses = rounded(left, solve(left, capacity), capacity)
+    # At the start prices are the share of a sequence: no full sequence is better than another.
+    rest = [by_prices(left.copy(), np.arange(capacity + 1) / capacity, capacity), rounded_up(left.copy(), open_uses, capacity)]
+    return out + whole + min(rest, key=lambda bins: sum(b.copies for b in bins))
+
+
 @dataclass
 class Places:
     """By length: first rank, first sequence, times per sequence and offset of each group of sequences."""
