@@ -33,6 +33,7 @@ from wardline.sources.access_log import load_log
 from wardline.sources.schema import ACCESS_LOG, BASELINE_NUMBERS, CLASSES, FEATURES
 from wardline.streaming import hot_path as HP
 from wardline.streaming import late as LA
+from wardline.streaming import latency as LT
 from wardline.streaming import state as LS
 from wardline.streaming import status as STA
 
@@ -924,3 +925,22 @@ def stream_late_events(spark, sf_dir):
     parts = [LA.counts_by_hour(LA.read_part(spark, f"{root}/out", name, ACCESS_LOG)).select(
         F.lit(name).alias("part"), F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n") for name in ("on_time", "late")]
     return parts[0].unionByName(parts[1])
+
+
+@query(sql(f"""SELECT action AS name, p.col0 AS percentile, count(*) AS n, TRUE AS within_error FROM access_log,
+  (VALUES ('p50'), ('p95'), ('p99')) p WHERE session_duration_s IS NOT NULL GROUP BY ALL""", "access_log"))
+def stream_duration_percentiles(spark, sf_dir):
+    """Percentiles of session times from merged sketches, held against exact ranks over the whole log."""
+    events, root = replay(spark, sf_dir)
+    LT.start_latency(events, f"{root}/latency", f"{root}/state", F.col("action"), F.col("session_duration_s"), available_now=True).awaitTermination()
+    found = LT.percentiles(spark, f"{root}/latency")
+    long = found.select("name", "n", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("percentile"), F.lit(p).alias("prob"), F.col(c).alias("value")) for c, p in LT.PROBABILITIES.items()])))
+    log = load_log(spark, sf_dir).filter("session_duration_s IS NOT NULL").select(F.col("action").alias("name"), "session_duration_s")
+    # One row per action and percentile.
+    ranks = log.join(F.broadcast(long), "name").groupBy("name", "percentile", "n", "prob").agg(
+        F.count_if(F.col("session_duration_s") < F.col("value")).alias("below"),
+        F.count_if(F.col("session_duration_s") <= F.col("value")).alias("to"))
+    error = F.lit(LT.rank_error()) * F.col("n") + 1
+    return ranks.select("name", "percentile", "n", (
+        (F.col("below") - error <= F.col("prob") * F.col("n")) & (F.col("prob") * F.col("n") <= F.col("to") + error)).alias("within_error"))

@@ -12,6 +12,7 @@ from wardline.operators.features import build_features, features_from_context
 from wardline.plans.models import Models, score_features
 from wardline.sources import stores
 from wardline.sources.schema import LIVE_EVENT
+from wardline.streaming import latency
 from wardline.streaming.state import with_live_context
 
 WATERMARK = "10 minutes"
@@ -62,9 +63,13 @@ def process_batch(rows: DataFrame, models: Models, alert_path: str, batch: str,
 
 def start_scoring(events: DataFrame, model_path: str, alert_path: str, state_path: str,
                   stateful: bool = True, available_now: bool = False,
-                  watermark: str = WATERMARK) -> StreamingQuery:
+                  watermark: str = WATERMARK, latency_path: str | None = None) -> StreamingQuery:
     """Continuous scoring; models are read again for each batch, so a newly
-    trained version is picked up without a restart."""
+    trained version is picked up without a restart.
+
+    With ``latency_path``, sketches of how long events waited for their scores
+    are kept there; every event waits for the whole of its micro-batch.
+    """
     rows = prepared(events, watermark)
     if stateful:
         rows = with_live_context(rows, expire=not available_now)
@@ -73,7 +78,9 @@ def start_scoring(events: DataFrame, model_path: str, alert_path: str, state_pat
         if batch.isEmpty():
             return
         models = Models.load(batch.sparkSession, model_path)
-        process_batch(batch.persist(), models, alert_path, f"live-{batch_id:012d}", stateful)
+        done = process_batch(batch.persist(), models, alert_path, f"live-{batch_id:012d}", stateful)
+        if latency_path:
+            latency.store(batch, latency_path, batch_id, F.lit("score_ms"), F.lit(done["elapsed_ms"]))
         batch.unpersist()
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", state_path)
