@@ -1,6 +1,7 @@
 """Alert table, feedback log, documents, live path."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from wardline.plans.jobs import DRIFT_STATUS, NO_DRIFT_STATUS
 from wardline.operators import drift as D
 from wardline.queries import standin_alerts, standin_risk, train_baselines
 from wardline.session import checkpoint
+from wardline.sources import day_filters as DAYF
 from wardline.sources import stores
 from wardline.sources.access_log import read_log, with_live_defaults, write_log
 from wardline.sources.schema import ALERT_COLUMNS, LIVE_EVENT
@@ -43,11 +45,68 @@ def test_repeating_a_batch_changes_nothing(spark, alerts, tmp_path):
     path = str(tmp_path / "a")
     n = alerts.count()
     for _ in range(2):
-        assert stores.append_alerts(alerts, path, "b1", same_days=True) == n
-    assert stores.append_alerts(alerts, path, "b2", same_days=True) == 0
+        assert stores.append_alerts(alerts, path, "b1", pruned=True) == n
+    assert stores.append_alerts(alerts, path, "b2", pruned=True) == 0
     assert stores.read_alerts(spark, path).count() == n
 
 
+def days_later(alerts, days, suffix="x"):
+    return alerts.withColumns({"timestamp": F.timestamp_micros(F.unix_micros("timestamp") + days * 86_400_000_000),
+                               "id": F.concat("id", F.lit(suffix))})
+
+
+def test_first_wins_over_all_days(spark, alerts, tmp_path):
+    path = str(tmp_path / "a")
+    n = alerts.count()
+    assert stores.append_alerts(alerts, path, "b0", pruned=True) == n
+    days = [r[0] for r in alerts.select(F.to_date("timestamp")).distinct().orderBy("to_date(timestamp)").collect()]
+    one_day = alerts.filter(F.to_date("timestamp") == F.lit(days[3]))
+    again = days_later(one_day, 10)
+    # Only the day that holds the first copies is read.
+    rows = stores.coerced(again)
+    found = stores.candidates(rows, path, "b1")
+    assert [r[0] for r in found.select("day").distinct().collect()] == [days[3]]
+    files = found.select(F.input_file_name()).distinct().collect()
+    assert files and all(f"day={days[3]}" in r[0] for r in files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day", plan)
+    assert stores.append_alerts(again, path, "b1", pruned=True) == 0
+    # Equal alert ids of other events are kept out as well; what is new comes in.
+    same_id = days_later(one_day, 40, "").withColumn("event_id", F.concat("event_id", F.lit("y")))
+    assert stores.append_alerts(same_id, path, "b2", pruned=True) == 0
+    new = days_later(one_day, 40).withColumn("event_id", F.concat("event_id", F.lit("y")))
+    assert stores.candidates(stores.coerced(new), path, "b3").isEmpty()
+    m = one_day.count()
+    for _ in range(2):  # a repeated batch changes nothing
+        assert stores.append_alerts(new, path, "b3", pruned=True) == m
+    out = stores.read_alerts(spark, path)
+    assert out.count() == n + m == out.select("event_id").distinct().count()
+
+
+def test_filters_of_an_older_table(spark, alerts, tmp_path):
+    path = str(tmp_path / "old")
+    some = stores.coerced(alerts.limit(40)).withColumns({"day": F.to_date("timestamp"), "batch": F.lit("b0")})
+    some.write.partitionBy("day", "batch").parquet(path)
+    stored = stores.read_alerts(spark, path)
+    stores.rebuild_filters(spark, path)
+    assert stores.append_alerts(days_later(stored, 5), path, "b1", pruned=True) == 0
+    assert stores.append_alerts(stored.limit(0), path, "b2", pruned=True) == 0
+
+
+def test_filters_never_leave_out_a_key(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("event_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("al_"), "id")).alias("id"))
+    marks = DAYF.key_blocks(rows)
+    assert marks.count() == 20_000 + rows.filter("id IS NOT NULL").count()
+    assert marks.filter("block < 0 OR block >= %d OR low = 0 OR high = 0" % DAYF.BLOCKS).isEmpty()
+    days = rows.withColumn("day", F.date_add(F.lit("2024-03-01").cast("date"), F.col("event_id").cast("int") % 3))
+    filters = DAYF.key_blocks(days, "day").groupBy("day", "block").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    for k in range(3):
+        part = days.filter(F.col("event_id").cast("int") % 3 == k)
+        assert [d.day for d in DAYF.days_that_may_hold(part, filters)] == [k + 1]
+    other = rows.select(F.concat("event_id", F.lit("z")).alias("event_id"), F.lit(None).cast("string").alias("id"))
+    assert DAYF.days_that_may_hold(other, filters) == []
+
+
 def test_feedback(spark, alerts, tmp_path):
     path, aid = str(tmp_path / "f"), alerts.first()["id"]
     assert stores.append_feedback(spark, path, alerts, aid, "note", "look") == "open"
@@ -105,7 +164,7 @@ def test_stateless_live_path_drops_copies(spark, log, tmp_path):
         from wardline.operators.features import build_features
 
         scored = standin_risk(build_features(batch, base, stateful=False).withColumn("label", F.lit("brute_force")))
-        stores.append_alerts(SC.alert_rows(scored), str(tmp_path / "out"), f"live-{batch_id}", same_days=True)
+        stores.append_alerts(SC.alert_rows(scored), str(tmp_path / "out"), f"live-{batch_id}", pruned=True)
 
     (events.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "state"))
      .trigger(availableNow=True).start().awaitTermination())

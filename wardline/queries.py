@@ -376,6 +376,22 @@ def alert_upsert(spark, sf_dir):
     return A.unseen(alerts.unionByName(copies), stored).select("id", "event_id")
 
 
+@query(sql("SELECT id, event_id, us AS event_us FROM alerts", "alerts"))
+def alert_first_wins(spark, sf_dir):
+    """Two batches and then all events again, each copy ten days later: the first of an event stays."""
+    alerts = checkpoint(standin_alerts(load_log(spark, sf_dir)).drop("n"))
+    middle = F.lit(alerts.agg(F.percentile_approx(F.unix_micros("timestamp"), 0.5)).first()[0])
+    early = F.unix_micros("timestamp") < middle
+    path = ST.fresh_dir(shared_dir(spark), "first-wins")
+
+    def again(rows):
+        return rows.withColumns({"id": F.concat("id", F.lit("_again")), "timestamp": shifted("timestamp", 10 * 86_400)})
+
+    for i, rows in enumerate((alerts.filter(early), again(alerts.filter(early)).unionByName(alerts.filter(~early)), again(alerts))):
+        ST.append_alerts(rows, path, f"b{i}", pruned=True)
+    return ST.read_alerts(spark, path).select("id", "event_id", F.unix_micros("timestamp").alias("event_us"))
+
+
 @query(sql("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, "
            "count(*) FILTER (WHERE status = 'confirmed') AS confirmed, "
            "count(*) FILTER (WHERE status = 'dismissed') AS dismissed FROM status", "status"))
@@ -852,7 +868,7 @@ def stream_alerts_replay(spark, sf_dir):
     def each(batch: DataFrame, batch_id: int) -> None:
         scored = standin_risk(FT.features_from_context(batch, base, COLD_BELOW))
         ST.append_alerts(SC.alert_rows(scored, shifted("timestamp", 60)).withColumn(
-            "id", F.concat(F.lit("al_"), "event_id")), f"{root}/alerts", f"live-{batch_id:012d}", same_days=True)
+            "id", F.concat(F.lit("al_"), "event_id")), f"{root}/alerts", f"live-{batch_id:012d}", pruned=True)
 
     rows = LS.with_live_context(HP.prepared(events, "40 days"), expire=False)
     (rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state")

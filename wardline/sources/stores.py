@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardline.operators import alerts as A
 from wardline.session import checkpoint
+from wardline.sources import day_filters as DF
 from wardline.sources.schema import FEEDBACK, FEEDBACK_ACTIONS
 
 ALERTS = T.StructType([
@@ -53,28 +54,37 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return _partitioned(spark, path).select(*ALERTS.names)
 
 
+def candidates(rows: DataFrame, path: str, batch: str) -> DataFrame:
+    """Stored alerts of the days whose filters answer for an id of ``rows``."""
+    spark = rows.sparkSession
+    days = DF.days_that_may_hold(rows, DF.read_filters(spark, path).filter(F.col("batch") != batch))
+    return _partitioned(spark, path).filter((F.col("batch") != batch) & F.col("day").isin(days))
+
+
 def append_alerts(alerts: DataFrame, path: str, batch: str | None = None,
-                  same_days: bool = False) -> int:
+                  pruned: bool = False) -> int:
     """Insert alerts that are not stored yet; returns how many.
 
     Rows go to partitions (day, batch); repeating a batch under its name
-    replaces what it wrote, so a retry changes nothing.  ``same_days`` compares
-    with the stored days of the new alerts only, which keeps a stream from
-    reading the whole table; an event id then is unique within its day.
+    replaces what it wrote, so a retry changes nothing.  ``pruned`` reads only
+    the stored days that Bloom filters name (``day_filters``), which keeps a
+    stream from reading the whole table; what is inserted is the same.  A table
+    written without filters needs ``rebuild_filters`` once before.
     """
     spark = alerts.sparkSession
     batch = batch or uuid.uuid4().hex
     rows = checkpoint(coerced(alerts).withColumn("day", F.to_date("timestamp")))
-    stored = _partitioned(spark, path).filter(F.col("batch") != batch)
-    if same_days:
-        first, last = rows.agg(F.min("day"), F.max("day")).first()
-        stored = stored.filter(F.col("day").between(F.lit(first), F.lit(last)))
-    seen = Observation()
-    (A.unseen(rows, stored).withColumn("batch", F.lit(batch))
-     .observe(seen, F.count(F.lit(1)).alias("n"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    stored = candidates(rows, path, batch) if pruned else _partitioned(spark, path).filter(F.col("batch") != batch)
+    new = checkpoint(A.unseen(rows, stored).withColumn("batch", F.lit(batch)))
+    DF.write_filters(new, path)
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day", "batch").parquet(path))
-    return int(seen.get["n"])
+    return new.count()
+
+
+def rebuild_filters(spark: SparkSession, path: str) -> None:
+    """Filters of all stored alerts, from the table alone."""
+    DF.write_filters(_partitioned(spark, path), path)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

@@ -56,7 +56,7 @@ def process_batch(rows: DataFrame, models: Models, alert_path: str, batch: str,
     """Score given rows, store their alerts, report counts and elapsed time."""
     started = time.time()
     created = stores.append_alerts(
-        SC.alert_rows(score_batch(rows, models, stateful)), alert_path, batch, same_days=True)
+        SC.alert_rows(score_batch(rows, models, stateful)), alert_path, batch, pruned=True)
     return {"events": rows.count(), "alerts_created": created,
             "elapsed_ms": round((time.time() - started) * 1000, 1)}
 
