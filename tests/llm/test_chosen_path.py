@@ -9,6 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from wardline.llm import chosen_path as CP
 from wardline.llm import shingles as SH
+from wardline.llm.common import lean
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, row string, set int"
@@ -201,3 +202,19 @@ def test_runs_and_paths():
         assert set(bucket[who == i].tolist()) == set(bucket[who == i + 50].tolist())
     first = CP.paths(sigs, 0.8, 3, 9)
     assert len(set(first[1].tolist())) == len(first[1])  # sets with nothing in common never meet
+
+
+def test_lean_changes_no_batches():
+    def doubled(batches):
+        for b in batches:
+            if b < 0:
+                raise ValueError(b)
+            yield 2 * b
+
+    assert list(lean(doubled)(iter([1, 2, 3]))) == [2, 4, 6] and list(lean(doubled)(iter([]))) == []
+    with pytest.raises(ValueError):
+        list(lean(doubled)(iter([1, -1])))
+    early = lean(doubled)(iter([1, 2]))
+    assert next(early) == 2
+    early.close()  # as a limit does
+    assert lean(doubled).__name__ == "doubled"  # plans show the name

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import chunks, numbered
+from wardline.llm.common import chunks, lean, numbered
 from wardline.llm.shingles import mixed, shingles, word_codes
 from wardline.session import checkpoint
 
@@ -148,7 +148,7 @@ def described(docs: DataFrame, similarity: float, depth: int, runs: int, k: int,
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
                                                   pa.array(counts), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists], names)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(describe, f"row long, doc_id {kind}, f1 long, f2 long, words long, s1 long, s2 long, buckets array<long>")
+    return chosen.mapInArrow(lean(describe), f"row long, doc_id {kind}, f1 long, f2 long, words long, s1 long, s2 long, buckets array<long>")
 
 
 # --- buckets -------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def candidate_links(sets: DataFrame, most: int) -> DataFrame:
             real = first != np.arange(len(first))
             if real.any():
                 yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(who[first[real]])], ["a", "b"])
-    found = shared.mapInArrow(link, "a long, b long")
+    found = shared.mapInArrow(lean(link), "a long, b long")
     return found.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -333,9 +333,9 @@ def checked(members: DataFrame, docs: DataFrame, text: str, similarity: float, k
             yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(n[real].astype(np.int64)), pa.array(who[first[real]])], ["set", "n", "first"])
 
     names = ["cluster", "i", "j", "set", "side", "copies", "shingles"]
-    cutup = rows.mapInArrow(cut, "cluster long, i int, j int, set long, side int, copies long, shingles binary")
+    cutup = rows.mapInArrow(lean(cut), "cluster long, i int, j int, set long, side int, copies long, shingles binary")
     return (cutup.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-            .mapInArrow(check, "set long, n long, first long"))
+            .mapInArrow(lean(check), "set long, n long, first long"))
 
 
 # --- the join ------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,24 @@ def numbered(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("row"), *cols)
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task, which hands freed memory back to the system at its end.
+
+    Python workers outlive their tasks; without this each keeps what its
+    largest batch took while later stages run beside it.
+    """
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim:
+                trim(0)
+    return task
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

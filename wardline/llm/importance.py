@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import chunks, fold, large, numbered
+from wardline.llm.common import chunks, fold, large, lean, numbered
 from wardline.session import checkpoint
 
 BUCKETS = 1 << 18
@@ -134,7 +134,7 @@ def counted(docs: DataFrame, target: Column, text: str, buckets: int) -> tuple[n
         b = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(wanted[b]), pa.array(every[b])], ["bucket", "target", "all"])
 
-    rows = (docs.select(F.col(text).cast("string"), target).mapInArrow(count, "bucket long, target long, all long")
+    rows = (docs.select(F.col(text).cast("string"), target).mapInArrow(lean(count), "bucket long, target long, all long")
             .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("all").alias("all")).toPandas())
     out = np.zeros((2, buckets))
     out[:, rows["bucket"]] = rows["target"], rows["all"]
@@ -163,7 +163,7 @@ def documents_with(docs: DataFrame, text: str, codes: np.ndarray | None, least:
                 found, n = np.unique(code[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["code", "n"])
 
-    rows = (docs.select(F.col(text).cast("string")).mapInArrow(count, "code long, n long")
+    rows = (docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "code long, n long")
             .groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow())
     found, n = rows.column("code").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(found)
@@ -215,7 +215,7 @@ def with_weight(docs: DataFrame, ratio: np.ndarray, *keep: Column, text: str = "
                 weight = np.bincount(doc, ratio[bucketed(code, len(ratio))], rows.num_rows)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(weight.astype(np.float64)), pa.array(toxic.of(doc, code, rows.num_rows))],
                                                  ["kept", "log_weight", "toxicity"])
-    out = chosen.mapInArrow(weigh, f"kept {chosen.schema['kept'].dataType.simpleString()}, log_weight double, toxicity double")
+    out = chosen.mapInArrow(lean(weigh), f"kept {chosen.schema['kept'].dataType.simpleString()}, log_weight double, toxicity double")
     return out.select("kept.*", "log_weight", "toxicity")
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wardline.llm.chosen_path import groups_of
-from wardline.llm.common import chunks, large, numbered
+from wardline.llm.common import chunks, large, lean, numbered
 from wardline.llm.shingles import line_words, mixed
 from wardline.session import checkpoint
 
@@ -75,7 +75,7 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 often = n >= max(1, len(ids) / (2 * MOST_PARTS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(codes[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)),
                                                   pa.array(np.append(np.zeros(int(often.sum()), np.int64), len(ids)))], ["word", "n", "all"])
-    counts = checkpoint(docs.select(F.col(text).cast("string")).mapInArrow(count, "word long, n long, all long")
+    counts = checkpoint(docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "word long, n long, all long")
                         .groupBy("word").agg(F.sum("n").alias("n"), F.sum("all").alias("all")))
     total = counts.agg(F.sum("all")).first()[0] or 0
     parts = min(MOST_PARTS, max(LEAST_PARTS, total // SHARE))
@@ -286,7 +286,7 @@ def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str)
         some = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some])], ["slot", "n"])
 
-    found = (docs.select(F.col(text).cast("string")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = (docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
              .filter(F.col("n") > HOT_ROWS).toArrow())
     return Spread(bits, found.column("slot").to_numpy(), found.column("n").to_numpy())
 
@@ -331,7 +331,7 @@ def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: st
                         key & np.uint64(0xFFFFFFFF), f[at], n[at], doc[at], row[at], nth[at], places], maps, at)
 
     chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(meet, PACKED)
+    return chosen.mapInArrow(lean(meet), PACKED)
 
 
 # --- where lines meet ----------------------------------------------------------------
@@ -514,7 +514,7 @@ def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int)
         if held:
             yield from detect([np.concatenate(c) for c in zip(*held)])
 
-    return rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(find, "row long, line int, to_row long, to_line int, unequal int, more boolean")
+    return rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(find), "row long, line int, to_row long, to_line int, unequal int, more boolean")
 
 
 # --- check ---------------------------------------------------------------------------
@@ -533,7 +533,7 @@ def bit_map(needed: DataFrame) -> np.ndarray:
             np.bitwise_or.at(table, b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
         w = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w].view(np.int64))], ["w", "m"])
-    words = needed.select("row", "line").mapInArrow(mark, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    words = needed.select("row", "line").mapInArrow(lean(mark), "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
     return table
@@ -565,7 +565,7 @@ def line_tables(docs: DataFrame, needed: DataFrame, order, doc_id: str, text: st
                     pa.array(row[which]), pa.array(number[which].astype(np.int32)), pa.array(doc[which]),
                     pa.array([data[a:b] for a, b in zip((start * 8).tolist(), ends)], pa.binary())], ["row", "line", "doc_id", "words"])
     chosen = numbered(docs, F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    return chosen.mapInArrow(cut, "row long, line int, doc_id long, words binary")
+    return chosen.mapInArrow(lean(cut), "row long, line int, doc_id long, words binary")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -581,7 +581,7 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(good, pa.bool_())], ["row", "line", "similar"])
-    return both.mapInArrow(check, "row long, line int, similar boolean").groupBy("row", "line").agg(F.max("similar").alias("similar"))
+    return both.mapInArrow(lean(check), "row long, line int, similar boolean").groupBy("row", "line").agg(F.max("similar").alias("similar"))
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, order, doc_id: str, text: str) -> DataFrame:
@@ -613,7 +613,7 @@ def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndar
         table = table.ravel()
         w = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w].view(np.int64))], ["w", "m"])
-    found = sets.select("row", "line", "words").mapInArrow(mark, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    found = sets.select("row", "line", "words").mapInArrow(lean(mark), "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     table = np.zeros(2 * (FILTER_BITS // 64), np.uint64)
     table[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
     return table[:FILTER_BITS // 64], table[FILTER_BITS // 64:]
@@ -722,9 +722,9 @@ def compared_with_all(still: DataFrame, sets: DataFrame, docs: DataFrame, order,
 
     chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if few:
-        return chosen.mapInArrow(bring, "row long, line int").distinct()
-    brought = chosen.mapInArrow(bring, "key long, doc_id long, row long, line int, asked boolean, words binary")
-    return (brought.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "row long, line int").distinct())
+        return chosen.mapInArrow(lean(bring), "row long, line int").distinct()
+    brought = chosen.mapInArrow(lean(bring), "key long, doc_id long, row long, line int, asked boolean, words binary")
+    return (brought.repartition("key").sortWithinPartitions("key").mapInArrow(lean(compare), "row long, line int").distinct())
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
