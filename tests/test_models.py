@@ -158,3 +158,10 @@ def test_adwin(spark):
     got = {r["key"]: r for r in AD.detect(df, "k", ["i"], "v").collect()}
     assert not got["s"]["drifted"] and got["s"]["n_values"] == 600
     assert got["c"]["drifted"] and 300 <= got["c"]["drift_at_index"] <= 360
+
+
+def test_large_training_part_of_a_split_fills_every_tree(spark):
+    rows = SA.stratified_split(spark.range(20_000).selectExpr("cast(id as string) AS event_id", "'normal' AS label", "cast(id % 97 as double) AS a"))
+    train = rows.filter(~F.col("is_test"))
+    sizes = {r["tree"]: r["count"] for r in IF.tree_samples(train, ["a"], "event_id", train.count(), 5, 16, 42).groupBy("tree").count().collect()}
+    assert sizes == {t: 16 for t in range(5)}

@@ -75,14 +75,15 @@ def tree_samples(df: DataFrame, features: list[str], row_id: str, n_rows: int,
     """At most ``sample`` rows for each tree, chosen by hash.
 
     A row is first kept with a probability that leaves about four times the
-    rows needed; small tables lend each row to several trees instead.
+    rows needed; small tables lend each row to several trees instead.  Its hash
+    is not the one a split goes by: training rows have no low hashes there.
     """
     wanted = trees * sample * 4
     keep = min(1.0, wanted / max(n_rows, 1))
     uses = min(trees, math.ceil(wanted / max(n_rows * keep, 1.0)))
     rows = df.select(row_id, F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     if keep < 1.0:
-        rows = rows.filter(hash_unit(row_id, seed=seed) < keep)
+        rows = rows.filter(hash_unit(row_id, F.lit("forest"), seed=seed) < keep)
     turn = F.explode(F.sequence(F.lit(0), F.lit(uses - 1))).alias("turn")
     rows = rows.select(row_id, "x", turn)
     tree = (F.col("turn") if uses == trees
