@@ -165,3 +165,25 @@ def test_large_training_part_of_a_split_fills_every_tree(spark):
     train = rows.filter(~F.col("is_test"))
     sizes = {r["tree"]: r["count"] for r in IF.tree_samples(train, ["a"], "event_id", train.count(), 5, 16, 42).groupBy("tree").count().collect()}
     assert sizes == {t: 16 for t in range(5)}
+
+
+def test_boxes_leave_few_cells_to_visit():
+    """Points along a line in one wide and one narrow direction: balls around pivots meet, boxes do not."""
+    rng = np.random.default_rng(3)
+    rows = [("a", f"p{i}", [float(rng.uniform(0, 1e6)), float(rng.integers(0, 3) * 1e4)]) for i in range(4000)]
+    cuts = SM.Cuts(np.array([r[2] for r in rows]), 64, 0)
+    x = np.array([r[2] for r in rows])
+    cell = cuts.cell(x)
+    groups = [x[cell == c] for c in range(cuts.n)]
+    boxes = SM.Boxes(list(range(cuts.n)), [g.min(0) for g in groups], [g.max(0) for g in groups], [1] * cuts.n)
+    visits = 0
+    for c, g in enumerate(groups):
+        d = np.sort(SM._distances(g, g), axis=1)[:, 3]
+        visits += len(boxes.reached(g, d, c)[0])
+    assert cuts.n >= 48 and visits < len(rows)
+
+
+def test_arrow_batches_of_oversampling_hold_points_not_blocks(cloud):
+    """Rows that meet reach Python one by one; whole blocks in a row made batches of gigabytes."""
+    plan = SM.nearest_in_class(cloud[1], 3, block_rows=16)._jdf.queryExecution().toString()
+    assert "visitors" not in plan and "members" not in plan
