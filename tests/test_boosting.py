@@ -1,6 +1,7 @@
 """Softmax boosting against a plain booster that holds all rows in one place."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,23 @@ def test_models_with_boosting(spark, log, tmp_path):
     a, b = (PM.score(log, m, gate=True).select("event_id", "attack_type", F.round("confidence", 9).alias("c"), "risk_score") for m in (models, back))
     assert sorted(a.collect()) == sorted(b.collect())
     assert CL.classify(log.limit(0).withColumns({c: F.lit(0.0) for c in models.classifier.features if c not in log.columns}), models.classifier).count() == 0
+
+
+def test_margins_take_newer_trees_without_walking_them():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 8, (300, 3)).astype(np.uint8)
+    trees = []
+    for i in range(5):
+        tree, leaves = BO.Tree(), [0]
+        for _ in range(i * 3):
+            leaves += tree.split(leaves.pop(0), int(rng.integers(3)), int(rng.integers(7)))
+        tree.value = rng.normal(size=len(tree.value)).tolist()
+        trees.append(tree)
+    begun = rng.normal(size=(300, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(np.zeros(300, np.int32)), BO.fixed(x), BO.fixed(begun)], ["h", "y", "x", "m"])
+    walked = begun.copy()
+    for i, tree in enumerate(trees):
+        walked[:, i % 2] += np.array(tree.value)[tree.reached(x)]
+    use = np.arange(5, 300, 7)
+    assert (BO.margins_of(batch, x, 2, BO.bin_scorer(trees)) == walked).all()
+    assert (BO.margins_of(batch, x, 2, BO.bin_scorer(trees), use) == walked[use]).all()

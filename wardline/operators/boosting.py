@@ -196,14 +196,27 @@ def matrix(column: pa.Array, kind, width: int) -> np.ndarray:
         np.frombuffer(column.buffers()[1], np.int32)[column.offset])).reshape(-1, width) if len(column) and size else np.zeros((0, width), kind)
 
 
-def margins_of(batch: pa.RecordBatch, x: np.ndarray, k: int, newer: list[Tree]) -> np.ndarray:
-    m = matrix(batch.column(3), np.float64, k).copy()
-    for i, tree in enumerate(newer):
-        m[:, i % k] += np.array(tree.value)[tree.reached(x)]
+def bin_scorer(trees: list[Tree]) -> BitVectorScorer | None:
+    """The trees over bins as bit vectors, so that the cost of a row does not follow their depth."""
+    if not trees:
+        return None
+    table = [(i, node, t.feature[node], float(t.cut[node]), t.left[node], t.right[node], t.value[node])
+             for i, t in enumerate(trees) for node in range(len(t.feature))]
+    return BitVectorScorer(pd.DataFrame(table, columns=["tree", "node", "feature", "threshold", "left", "right", "value"]), "value")
+
+
+def margins_of(batch: pa.RecordBatch, x: np.ndarray, k: int, newer: BitVectorScorer | None, use: np.ndarray | None = None) -> np.ndarray:
+    """Margins of the rows, or of those in ``use``, with the newer trees added one after the other."""
+    m = matrix(batch.column(3), np.float64, k)
+    m, x = (m.copy(), x) if use is None else (m[use], x[use])
+    if newer is not None:
+        for part, values in newer.leaf_values(x):
+            for i in range(values.shape[1]):
+                m[part, i % k] += values[:, i]
     return m
 
 
-def level_sums(state: DataFrame, newer: list[Tree], growing: list[Tree], usable: list[np.ndarray], turn: int, share: float,
+def level_sums(state: DataFrame, newer: BitVectorScorer | None, growing: list[Tree], usable: list[np.ndarray], turn: int, share: float,
                n_features: int, bins: int) -> np.ndarray:
     """[class, open node, feature, bin, (gradient, hessian)] over the round's rows."""
     k, width = len(growing), max(len(t.open) for t in growing)
@@ -216,7 +229,7 @@ def level_sums(state: DataFrame, newer: list[Tree], growing: list[Tree], usable:
             use = np.flatnonzero(sampled_rows(batch.column(0).to_numpy(), turn, share))
             if not len(use):
                 continue
-            g, h = gradients(margins_of(batch, x, k, newer)[use], batch.column(1).to_numpy()[use])
+            g, h = gradients(margins_of(batch, x, k, newer, use), batch.column(1).to_numpy()[use])
             x = x[use]
             for c, tree in enumerate(growing):
                 if not tree.open:
@@ -236,7 +249,7 @@ def level_sums(state: DataFrame, newer: list[Tree], growing: list[Tree], usable:
     return parts.treeReduce(np.add).reshape(shape) if parts.getNumPartitions() else np.zeros(shape, np.int64)
 
 
-def with_margins(state: DataFrame, newer: list[Tree], k: int, n_features: int) -> DataFrame:
+def with_margins(state: DataFrame, newer: BitVectorScorer | None, k: int, n_features: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = margins_of(batch, matrix(batch.column(2), np.uint8, n_features), k, newer)
@@ -288,15 +301,16 @@ def fit_boosted(df: DataFrame, features: list[str], label: str = "label", row_id
     for turn in range(rounds):
         growing = [Tree() for _ in classes]
         usable = [sampled_features(n, turn, c, columns, seed) for c in range(k)]
+        added = bin_scorer(newer)
         for level in range(depth):
             if not any(t.open for t in growing):
                 break
-            sums = level_sums(state, newer, growing, usable, turn, rows, n, bins)
+            sums = level_sums(state, added, growing, usable, turn, rows, n, bins)
             grow(growing, sums, n_cuts, usable, step, l2, min_child, level == depth - 1)
         trees += growing
         newer += growing
         if len(newer) >= keep * k and turn + 1 < rounds:
-            state, newer = checkpoint(with_margins(state, newer, k, n)), []
+            state, newer = checkpoint(with_margins(state, bin_scorer(newer), k, n)), []
     table = [(i, node, t.feature[node], float(cuts[t.feature[node]][t.cut[node]]) if t.feature[node] >= 0 else 0.0,
               t.left[node], t.right[node], t.value[node]) for i, t in enumerate(trees) for node in range(len(t.feature))]
     return BoostedClasses(pd.DataFrame(table, columns=["tree", "node", "feature", "threshold", "left", "right", "value"]), list(features), list(classes))
