@@ -46,3 +46,12 @@ def test_hot_split_has_no_cross_join(spark, log):
     text = plan(context_features(log, SkewPolicy(hot_rows=20, segment_rows=7, slot_s=1)))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert "WindowGroupLimit" in text      # tails are limited before the shuffle
+
+
+def test_timelines_shuffle_no_look_backs(spark, log, no_broadcast):
+    from pyspark.sql import functions as F
+
+    from wardline.operators.context import timelines
+
+    text = plan(timelines(log, log.filter("NOT success").select("event_id", F.concat(F.lit("al_"), "event_id").alias("id"))))
+    assert "Exchange" in text and "Exchange" not in text[:text.index("Window [")]

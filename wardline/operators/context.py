@@ -76,13 +76,15 @@ def timelines(log: DataFrame, alerts: DataFrame, minutes: int = 60, depth: int =
     """The session context of each alert: the events before it, one row each.
 
     The look-back is the one of the features, ``depth`` events strictly before
-    the alert, cut to the last ``minutes``.
+    the alert, cut to the last ``minutes``.  Events learn of their alerts before
+    the windows, so that no shuffle carries look-backs.
     """
-    marks = alerts.select("event_id", F.col("id").alias("alert_id"))
+    marks = alerts.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.collect_list(F.struct("id")).alias("_alerts"))
+    marked = log.select("event_id", "user_id", "timestamp", "action", "resource_accessed", "success").join(marks, "event_id", "left")
     entry = F.struct("event_id", "action", "resource_accessed", "success",
                      F.unix_micros("timestamp").alias("us"))
     out = None
-    for part in split_timelines(log, policy, depth):
+    for part in split_timelines(marked, policy, depth):
         by_time = W.partitionBy(*part.keys).orderBy("timestamp", "event_id")
         rows = part.rows.withColumns({
             "_prior": F.collect_list(entry).over(by_time.rowsBetween(-depth, -1)),
@@ -91,8 +93,8 @@ def timelines(log: DataFrame, alerts: DataFrame, minutes: int = 60, depth: int =
         }).withColumn("_prior", F.first(F.when(F.col("_first"), F.col("_prior")), ignorenulls=True).over(
             W.partitionBy(*part.keys, "timestamp"))).filter(~F.col("_halo"))
         at = F.unix_micros("timestamp")
-        found = rows.join(marks, "event_id").select(
-            "alert_id", at.alias("_at"), F.explode("_prior").alias("e")
+        found = rows.filter("_alerts IS NOT NULL").select(F.explode("_alerts").alias("a"), at.alias("_at"), "_prior").select(
+            F.col("a.id").alias("alert_id"), "_at", F.explode("_prior").alias("e")
         ).filter(F.col("e.us") >= F.col("_at") - F.lit(minutes * 60_000_000)).select(
             "alert_id", "e.event_id", "e.action", "e.resource_accessed", "e.success",
             ((F.col("_at") - F.col("e.us")) / F.lit(1e6)).alias("seconds_before"))
