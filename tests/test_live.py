@@ -61,3 +61,14 @@ def test_late_rows_are_counted(spark, make_log, tmp_path):
     assert on_time.count() + len(late) == sum(map(len, rows))
     by_hour = {r["hour"]: r["n"] for r in LA.counts_by_hour(LA.read_part(spark, f"{root}/out", "late", ACCESS_LOG)).collect()}
     assert sorted(by_hour.values()) == [1, 3] and by_hour[None] == 1
+
+
+def test_late_events_are_not_written_by_one_task(spark, sf_dir, tmp_path, monkeypatch):
+    from wardline import queries as Q
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    monkeypatch.setattr(Q, "shared_dir", lambda _: str(tmp_path / "shared"))
+    n = {r["part"]: r["n"] for r in Q.QUERIES["stream_late_events"](spark, str(tmp_path / "sf")).groupBy("part").agg({"n": "sum"}).toDF("part", "n").collect()}
+    assert set(n) == {"late", "on_time"} and sum(n.values()) == Q.load_log(spark, sf_dir).count()
+    files = list((tmp_path / "shared").glob("late-*/events/*.parquet"))
+    assert len(files) > 3

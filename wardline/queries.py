@@ -936,8 +936,10 @@ def stream_late_events(spark, sf_dir):
     stray = (F.substr("event_id", F.lit(5)).cast("long") % 50 == 7) & (F.col("timestamp") < F.lit(middle))
     early = F.col("timestamp") < F.lit(middle)
     for part in (~stray & early, ~early, stray):
-        log.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/events")
-    LA.start_split(HP.read_events(spark, f"{root}/events", 1, ACCESS_LOG), f"{root}/out", f"{root}/state", 10, available_now=True).awaitTermination()
+        # Each part is one micro-batch of many files: the stream goes on where it stopped.
+        log.filter(part).write.mode("append").parquet(f"{root}/events")
+        events = HP.read_events(spark, f"{root}/events", HP.ALL_FILES, ACCESS_LOG)
+        LA.start_split(events, f"{root}/out", f"{root}/state", 10, available_now=True).awaitTermination()
     parts = [LA.counts_by_hour(LA.read_part(spark, f"{root}/out", name, ACCESS_LOG)).select(
         F.lit(name).alias("part"), F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n") for name in ("on_time", "late")]
     return parts[0].unionByName(parts[1])

@@ -16,6 +16,7 @@ from wardline.streaming import latency
 from wardline.streaming.state import with_live_context
 
 WATERMARK = "10 minutes"
+ALL_FILES = 2**31 - 1  # all new files in one micro-batch
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000,
