@@ -1,5 +1,6 @@
 """Counts that follow feedback, and late events, over replayed streams."""
 
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -72,3 +73,18 @@ def test_late_events_are_not_written_by_one_task(spark, sf_dir, tmp_path, monkey
     assert set(n) == {"late", "on_time"} and sum(n.values()) == Q.load_log(spark, sf_dir).count()
     files = list((tmp_path / "shared").glob("late-*/events/*.parquet"))
     assert len(files) > 3
+
+
+def test_one_call_serves_many_alerts(spark, tmp_path, monkeypatch):
+    root, n = str(tmp_path), 300
+    confirm = [(f"a{i}", None, "confirm", 2**53 + 1, 5) for i in range(n)]
+    files = [[(f"a{i}", "x", None, None, None) for i in range(n)] + [("a0", "y", None, None, None)],
+             confirm, [(f"a{i}", None, "dismiss", 2**53 + i % 2 * 2, 5) for i in range(n)]]
+    changes = streamed(spark, files, STA.CHANGES, f"{root}/in")
+    rows = []
+    query = STA.status_changes(changes, groups=2).writeStream.foreachBatch(
+        lambda b, i: rows.append(Counter((r["attack_type"], r["status"], r["n"]) for r in b.collect()))).option(
+        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert rows == [{("x", "open", 1): n}, {("x", "open", -1): n, ("x", "confirmed", 1): n},
+                    {("x", "confirmed", -1): n // 2, ("x", "dismissed", 1): n // 2}]  # of one instant, the larger id stands

@@ -3,12 +3,14 @@
 Alerts and feedback arrive in one stream of changes, in any order.  Keyed state
 holds what is known of each alert: its class and its latest verdict.  When that
 changes what the alert counts as, the old count is taken back and the new one
-given: rows of -1 and +1.  Each micro-batch stores its sums in a partition of
+given: rows of -1 and +1.  Alerts share state in a fixed number of groups, as a
+call for each alert costs far more than its rows.  Each micro-batch stores its sums in a partition of
 its own, so a repeated batch replaces them, and the counts are the sum of all.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,8 @@ from wardline.sources.stores import read_table
 
 CHANGES = "alert_id string, attack_type string, action string, feedback_id bigint, at_us bigint"
 COUNTS = T.StructType([T.StructField("attack_type", T.StringType()), T.StructField("status", T.StringType()), T.StructField("n", T.LongType())])
+#: Groups of alerts that share a call and its state; more of them rewrite less state per change.
+GROUPS = 1 << 11
 # What a verdict makes of an alert.
 STATUS_OF = {"confirm": "confirmed", "dismiss": "dismissed"}
 
@@ -35,36 +39,50 @@ def feedback_changes(feedback: DataFrame) -> DataFrame:
 
 
 class AlertStatus(StatefulProcessor):
-    """State of an alert: its class, the latest verdict with its time and id, and the status it is counted under."""
+    """Alerts of a group: their classes, latest verdicts with time and id, and the statuses they are counted under.
+
+    One call serves all of a group's alerts and reads and writes their state once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", T.StructType([
-            T.StructField("attack_type", T.StringType()), T.StructField("status", T.StringType()),
-            T.StructField("at_us", T.LongType()), T.StructField("feedback_id", T.LongType()), T.StructField("counted", T.StringType())]))
+        self.state = handle.getValueState("alerts", T.StructType([T.StructField("alerts", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kind, status, at, number, counted = self.state.get() if self.state.exists() else (None, "open", -1, -1, None)
+        alerts = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        touched = set()
         for batch in rows:
-            for attack_type, action, feedback_id, at_us in zip(batch["attack_type"], batch["action"], batch["feedback_id"], batch["at_us"]):
+            columns = [batch[c].tolist() for c in ("alert_id", "attack_type", "action", "feedback_id", "at_us")]
+            for alert, attack_type, action, feedback_id, at_us in zip(*columns):
+                kind, status, at, number, counted = alerts.get(alert) or (None, "open", -1, -1, None)
                 if attack_type is not None and kind is None:  # an alert's first row wins
                     kind = attack_type
                 if action in STATUS_OF and (int(at_us), int(feedback_id)) > (at, number):
                     status, at, number = STATUS_OF[action], int(at_us), int(feedback_id)
+                alerts[alert] = kind, status, at, number, counted
+                touched.add(alert)
         changes = []
-        if kind is not None and counted != status:
-            changes = [(kind, counted, -1)] * (counted is not None) + [(kind, status, 1)]
-            counted = status
-        self.state.update((kind, status, at, number, counted))
+        for alert in touched:
+            kind, status, at, number, counted = alerts[alert]
+            if kind is not None and counted != status:
+                changes += [(kind, counted, -1)] * (counted is not None) + [(kind, status, 1)]
+                alerts[alert] = kind, status, at, number, status
+        self.state.update((json.dumps(alerts, separators=(",", ":")),))
         yield pd.DataFrame(changes, columns=["attack_type", "status", "n"])
 
     def close(self) -> None:
         pass
 
 
-def status_changes(changes: DataFrame) -> DataFrame:
-    """(attack_type, status, n): what is taken back (-1) and given (+1)."""
+def status_changes(changes: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(attack_type, status, n): what is taken back (-1) and given (+1).
+
+    ``groups`` must stay the same for the life of a checkpoint.
+    """
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return changes.filter(F.col("alert_id").isNotNull()).groupBy("alert_id").transformWithStateInPandas(AlertStatus(), COUNTS, "Append", "None")
+    # Without nulls the numbers stay whole: pandas would make them floats.
+    rows = changes.filter(F.col("alert_id").isNotNull()).withColumns({
+        **{c: F.coalesce(c, F.lit(-1)) for c in ("feedback_id", "at_us")}, "group": F.pmod(F.xxhash64("alert_id"), F.lit(groups))})
+    return rows.groupBy("group").transformWithStateInPandas(AlertStatus(), COUNTS, "Append", "None")
 
 
 def start_counts(changes: DataFrame, path: str, state_path: str, available_now: bool = False) -> StreamingQuery:
