@@ -10,6 +10,7 @@ from wardline.operators import alerts as A
 from wardline.sources.schema import ACCESS_LOG, FEEDBACK
 from wardline.streaming import hot_path as HP
 from wardline.streaming import late as LA
+from wardline.streaming import state as LS
 from wardline.streaming import status as STA
 
 NOON = datetime(2024, 3, 1, 12, tzinfo=timezone.utc)
@@ -88,3 +89,23 @@ def test_one_call_serves_many_alerts(spark, tmp_path, monkeypatch):
     query.awaitTermination()
     assert rows == [{("x", "open", 1): n}, {("x", "open", -1): n, ("x", "confirmed", 1): n},
                     {("x", "confirmed", -1): n // 2, ("x", "dismissed", 1): n // 2}]  # of one instant, the larger id stands
+
+
+def test_users_share_calls_but_no_state(spark, make_log, tmp_path):
+    root = str(tmp_path)
+    users = [None, "", "u", "v"]
+    files = [make_log([(f"e{half}-{u}-{i}", 7 * i + 300 * half, {"user_id": user, "resource_accessed": f"r{i % (u + 2)}", "success": i % 3 > 0, "geo_city": f"c{i % (u + 1)}"})
+                       for u, user in enumerate(users) for i in range(20)]).collect() for half in range(2)]
+    found = {}
+    for groups in (1, 1 << 12):
+        events = streamed(spark, files, ACCESS_LOG, f"{root}/{groups}/in")
+        out = []
+        (LS.with_live_context(events, expire=False, groups=groups).writeStream.foreachBatch(lambda b, i: out.extend(b.collect()))
+         .option("checkpointLocation", f"{root}/{groups}/state").trigger(availableNow=True).start().awaitTermination())
+        found[groups] = sorted(out, key=lambda r: r["event_id"])
+    assert found[1] == found[1 << 12] and len(found[1]) == 160
+    for u in range(len(users)):
+        mine = [r for r in found[1] if r["event_id"].split("-")[1] == str(u)]
+        assert [r["session_resource_count"] for r in sorted(mine, key=lambda r: r["timestamp"])][-1] == u + 3
+        assert sum(r["city_changed"] for r in mine) == (0 if u == 0 else sum(
+            a % (u + 1) != b % (u + 1) for a, b in zip([*range(20)] * 2, [*range(1, 20), *range(20)])))
