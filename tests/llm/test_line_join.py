@@ -308,3 +308,31 @@ def test_candidates_grow_with_the_lines(spark, tmp_path):
     found = LJ.met(LJ.meetings(docs, order, 4, 0.8, "doc_id", "text", spread), 4, 0.8, LJ.FIRST, LJ.NEAREST).filter("to_row is not null")
     per_line = found.groupBy("row", "line").count().agg(F.max("count"), F.count("*")).first()
     assert per_line[0] <= 6 * LJ.NEAREST and per_line[1] > 5000
+
+
+def test_a_pair_is_passed_on_once_for_a_shared_first_word(spark, tmp_path):
+    """Lines that share many pairs of frequent words meet under each, but are few candidates."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        words = rng.sample([f"w{k}" for k in range(200)], 40)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + ["other"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    frequent, words = LJ.frequent_words(docs, "text")
+    assert len(frequent) == 201
+    order = spark.sparkContext.broadcast(LJ.Order(frequent))
+    spread = spark.sparkContext.broadcast(LJ.spread_of(docs, order, words, 0.8, "text"))
+    found = checkpoint(LJ.met(LJ.meetings(docs, order, 4, 0.8, "doc_id", "text", spread), 4, 0.8, LJ.FIRST, LJ.NEAREST).filter("to_row is not null"))
+    assert found.select("row", "line", "to_row", "to_line").distinct().count() == 300
+    assert found.count() <= 4 * 300  # once in each bucket at most
+
+
+def test_merged_pairs():
+    line = LJ.lines_of(np.array([7, 7, 8, 8, 9, 9]), np.array([0, 0, 1, 1, 0, 1]))
+    assert line[0] == line[1] and line[2] == line[3] and len(set(line.tolist())) == 4
+    later, earlier = np.array([2, 3, 4, 5, 4]), np.array([0, 1, 0, 1, 3])
+    more = np.array([False, True, False, False, False])
+    x, y, unequal, more = LJ.merged(later, earlier, np.array([1, 1, 2, 3, 1]), np.full(5, 4), more, line, np.arange(6), 1)
+    assert {(int(line[a]), int(line[b]), int(u), bool(m)) for a, b, u, m in zip(x, y, unequal, more)} == {
+        (line[2], line[0], 1, True), (line[4], line[3], 1, True), (line[5], line[0], 3, False)}

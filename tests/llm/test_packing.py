@@ -212,3 +212,18 @@ def test_whole_table(spark, sf_dir):
     whole, counts[2048] = counts[2048], 0
     got, n = check_program(counts, 2048)
     assert len({r["sequence_id"] for r in rows}) == n + whole <= np.ceil(got.bound + whole) * 1.01 + 1
+
+
+def test_tasks_hand_memory_back_and_encode_in_parts(spark, monkeypatch):
+    lean, tasks = PK.lean, []
+    monkeypatch.setattr(PK, "lean", lambda run: tasks.append(run.__name__) or lean(run))
+    docs = [(i, f"word{i} x{i}y plain Words, {'a-b ' * (i % 5)}") for i in range(50)]
+    check_packing([r.asDict() for r in PK.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect()], docs, 2048)
+    assert sorted(tasks) == ["cut", "place"]
+    encoder = PK.WordEncoder(PATH)
+    texts = pa.array([t for _, t in docs] + [None, "", " ".join(f"n{i}-{i}" for i in range(2500))])
+    whole = encoder.encode(texts)
+    monkeypatch.setattr(PK, "UNITS", 3)
+    assert all((a == b).all() for a, b in zip(whole, encoder.encode(texts)))
+    empty = encoder.encode(pa.array(["", None]))
+    assert len(empty[0]) == 0 and empty[1].tolist() == [0, 0]

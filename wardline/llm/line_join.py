@@ -199,13 +199,13 @@ PACKED = "bucket int, key binary, f binary, maps binary, least array<long>, n bi
 
 
 def prefix_keys(word, frequent, start, n, use, similarity):
-    """Set, key and place of the rare words, and of the pairs of frequent words, by which the sets in ``use`` meet others."""
+    """Set, key, place and first word of the rare words, and of the pairs of frequent words, by which the sets in ``use`` meet others."""
     keep = prefix_sizes(n, similarity)
     of = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(word)) - start[of]
     use = use[of] & (n[of] > 1)
     single = np.flatnonzero(use & (pos < keep[of]) & ~frequent)
-    at, keys, places = [of[single]], [word[single]], [pos[single]]
+    at, keys, places, homes = [of[single]], [word[single]], [pos[single]], [word[single]]
     # Frequent words come last, so two of them stand side by side or further apart at the end of the prefix.
     both = np.flatnonzero(use & (pos <= keep[of]) & frequent)
     gap = 1
@@ -215,8 +215,9 @@ def prefix_keys(word, frequent, start, n, use, similarity):
         fits = (of[other] == of[both]) & (pos[other] <= keep[of[both]])
         both, other = both[fits], other[fits]
         at.append(of[both]), keys.append(mixed(word[both]) + word[other]), places.append(np.zeros(len(both), np.int64))
+        homes.append(word[both])
         gap += 1
-    return np.concatenate(at), np.concatenate(keys), np.concatenate(places)
+    return np.concatenate(at), np.concatenate(keys), np.concatenate(places), np.concatenate(homes)
 
 
 def set_codes(word: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -225,9 +226,10 @@ def set_codes(word: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class Spread:
-    """The slots of keys with many rows, and how many blocks these are cut into."""
+    """The slots of keys with many rows, and how many blocks these are cut into; and the slots of first words with many rows."""
 
-    def __init__(self, bits: int, slots: np.ndarray, rows: np.ndarray):
+    def __init__(self, bits: int, slots: np.ndarray, rows: np.ndarray, homes: np.ndarray):
+        self.homes = np.sort(homes).astype(np.uint64)
         order = np.argsort(slots)
         self.shift, self.slots = np.uint64(64 - bits), slots[order].astype(np.uint64)
         self.blocks = -(-2 * rows[order] // HOT_ROWS)
@@ -242,6 +244,10 @@ class Spread:
         place = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
         return np.where(self.slots[place] == slot, self.blocks[place], 1)
 
+    def together(self, home: np.ndarray) -> np.ndarray:
+        """Whether all rows of a first word may be in one bucket."""
+        return ~np.isin(home >> self.shift, self.homes)
+
     def dealt(self, key: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers and keys under which rows meet, some at a time.
 
@@ -270,7 +276,7 @@ def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str)
     bits = max(SLOT_BITS, (words // SLOT_WORDS).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros(1 << bits, np.int64)
+        rows = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             for part in chunks(batch.column(0), CHUNK):
                 _, _, codes, line, ids = line_words(batch.column(0)[part])
@@ -281,21 +287,27 @@ def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str)
                 n = np.diff(np.append(start, len(line)))
                 first = np.zeros(len(n), bool)
                 first[np.unique(set_codes(word, start), return_index=True)[1]] = True
-                _, key, _ = prefix_keys(word, frequent, start, n, first, similarity)
-                rows += np.bincount((mixed(key) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                _, key, _, home = prefix_keys(word, frequent, start, n, first, similarity)
+                for of, x in zip(rows, (key, home)):
+                    of += np.bincount((mixed(x) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        rows = rows.ravel()  # slots of keys, then those of first words
         some = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some])], ["slot", "n"])
 
     found = (docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
              .filter(F.col("n") > HOT_ROWS).toArrow())
-    return Spread(bits, found.column("slot").to_numpy(), found.column("n").to_numpy())
+    slots, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
+    keys = slots < 1 << bits
+    return Spread(bits, slots[keys], n[keys], slots[~keys] - (1 << bits))
 
 
 def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: str, text: str, spread) -> DataFrame:
     """Where lines meet: rows of one key, for equal lines (pos -1) and for similar ones, packed by buckets of keys.
 
-    Of equal lines in a chunk only the first meets others; the rest are
-    marked for removal (pos -2) at once.
+    Keys of one first word share a bucket unless it has many rows, so that two
+    lines that share several of them are found once there.  Of equal lines in a
+    chunk only the first meets others; the rest are marked for removal (pos -2)
+    at once.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,14 +332,16 @@ def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: st
                 first[sort[again]] = False
 
                 gone, here = np.flatnonzero(~first), np.flatnonzero(first)
-                of, key, place = prefix_keys(word, frequent, start, n, first, similarity)
+                of, key, place, home = prefix_keys(word, frequent, start, n, first, similarity)
+                key, home = mixed(key), mixed(home)
+                home = np.where(spread.value.together(home) & (spread.value.of(key) == 1), home, np.uint64(0))
                 # Cut keys follow from the set alone.
-                near = ((of[i], k, place[i]) for i, k in spread.value.dealt(mixed(key), set_codes(word, start)[of]))
-                equal = (np.concatenate([gone, here]), mixed(np.concatenate([row[gone].view(np.uint64), f[here] + bits[here]])),
-                         np.concatenate([np.full(len(gone), -2), np.full(len(here), -1)]))
-                of, key, place = next(near, (gone[:0], f[:0].astype(np.uint64), gone[:0]))
-                for at, key, places in chain([tuple(map(np.concatenate, zip(equal, (of, key, place))))], near):
-                    yield packs((key >> np.uint64(32)) % np.uint64(buckets), [
+                near = ((of[i], k, place[i], np.where(home[i] > 0, home[i], k)) for i, k in spread.value.dealt(key, set_codes(word, start)[of]))
+                own = mixed(np.concatenate([row[gone].view(np.uint64), f[here] + bits[here]]))
+                equal = (np.concatenate([gone, here]), own, np.concatenate([np.full(len(gone), -2), np.full(len(here), -1)]), own)
+                some = next(near, (gone[:0], own[:0], gone[:0], own[:0]))
+                for at, key, places, home in chain([tuple(map(np.concatenate, zip(equal, some)))], near):
+                    yield packs((home >> np.uint64(32)) % np.uint64(buckets), [
                         key & np.uint64(0xFFFFFFFF), f[at], n[at], doc[at], row[at], nth[at], places], maps, at)
 
     chosen = numbered(docs, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -461,6 +475,27 @@ def near_pairs(group, n, pos, maps, rank, similarity, first, most, large=LARGE):
     return later, earlier, unequal, room, more | np.isin(later, np.concatenate([*stopped, np.zeros(0, np.int64)]))
 
 
+def lines_of(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number from 0 for each different line."""
+    order = np.lexsort((line, row))
+    new = np.append(False, (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1]))
+    out = np.empty(len(row), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def merged(later, earlier, unequal, room, more, line, rank, most):
+    """(later, earlier, unequal, more) of the pairs of all groups, each pair of lines once and the ``most`` nearest of a line."""
+    any_more = np.zeros(len(line), bool)
+    any_more[line[later[more]]] = True
+    _, once = np.unique(line[later] * max(1, len(line)) + line[earlier], return_index=True)
+    later, earlier, unequal, room = later[once], earlier[once], unequal[once], room[once]
+    place = np.empty(len(line), np.int64)
+    place[line] = np.arange(len(line))
+    found, earlier, unequal, _, more = nearest(line[later], earlier, unequal, room, any_more[line[later]], rank, most, most)
+    return place[found], earlier, unequal, more
+
+
 def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int) -> DataFrame:
     """(row, line, to_row, to_line, unequal, more): lines to remove (to_row null) and lines with a nearby earlier one."""
     names = ["row", "line", "to_row", "to_line", "unequal", "more"]
@@ -498,7 +533,8 @@ def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int)
         at, group = at[order], group[order]
         rank = np.empty(len(at), np.int64)
         rank[np.lexsort((f[at], line[at], row[at], doc[at]))] = np.arange(len(at))
-        x, y, unequal, _, more = near_pairs(group, n[at], pos[at], maps[at], rank, similarity, first, most)
+        found = near_pairs(group, n[at], pos[at], maps[at], rank, similarity, first, most)
+        x, y, unequal, more = merged(*found, lines_of(row[at], line[at]), rank, most)
         x, y = at[x], at[y]
         yield batch_of(row[x], line[x], row[y], line[y].astype(np.int32), unequal, more)
 
@@ -607,7 +643,7 @@ def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndar
             word = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
             n = np.array([len(w) for w in word], np.int64)
             word = np.concatenate([*word, np.zeros(0, np.uint64)])
-            _, keys, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
+            _, keys, _, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
             for i, b in enumerate((bits_of(word), bits_of(keys))):
                 np.bitwise_or.at(table[i], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
         table = table.ravel()
@@ -627,7 +663,7 @@ class Asked:
         self.words = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
         self.n = np.array([len(w) for w in self.words], np.int64)
         word = np.concatenate([*self.words, np.zeros(0, np.uint64)])
-        of, keys, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(self.n) - self.n, self.n, np.ones(len(self.n), bool), similarity)
+        of, keys, _, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(self.n) - self.n, self.n, np.ones(len(self.n), bool), similarity)
         order = np.argsort(keys, kind="stable")
         self.of, self.keys, self.similarity = of[order], keys[order], similarity
 
@@ -688,7 +724,7 @@ def compared_with_all(still: DataFrame, sets: DataFrame, docs: DataFrame, order,
                 sort = np.lexsort((nth, row, doc, code))
                 first = np.ones(len(n), bool)
                 first[sort[np.append(False, code[sort][1:] == code[sort][:-1])]] = False
-                of, key, _ = prefix_keys(word, frequent, start, n, first, similarity)
+                of, key, _, _ = prefix_keys(word, frequent, start, n, first, similarity)
                 real = has_bit(keys, bits_of(key))
                 of, key = of[real], key[real]
                 if questions is not None:

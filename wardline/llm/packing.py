@@ -27,12 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wardline.llm.common import chunks, large, numbered
+from wardline.llm.common import chunks, large, lean, numbered
 from wardline.session import checkpoint
 
 CAPACITY = 2048
 #: Bytes of text that are encoded together; a longer text is alone.
 CHUNK = 8 << 20
+#: Units of text whose ids are put together at once.
+UNITS = 1 << 18
 _PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
@@ -66,8 +68,12 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)] if words else []
-        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1000):  # encodings take much more room than their ids
+            found = [e.ids for e in self.whole.encode_batch_fast(words[i:i + 1000], add_special_tokens=False)]
+            ids.append(np.array([i for ids in found for i in ids], np.uint32))
+            counts.append(np.array([len(ids) for ids in found], np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
@@ -90,9 +96,15 @@ class WordEncoder:
         units[plain, 1] = n_cores + marks.indices.to_numpy()
         units[~plain, 0] = n_cores + n_marks + np.arange(len(odd))
         used = units[words.indices.to_numpy()].ravel()
-        many = lengths[used]
-        ends = np.cumsum(many, dtype=np.int64)
-        ids = pool[np.repeat(begins[used] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(lengths[used], dtype=np.int64)
+        ids = np.empty(ends[-1] if len(ends) else 0, np.uint32)
+        done = 0
+        for i in range(0, len(used), UNITS):
+            some = used[i:i + UNITS]
+            many = lengths[some]
+            to = np.cumsum(many)
+            ids[done:done + to[-1]] = pool[np.repeat(begins[some] - (to - many), many) + np.arange(to[-1])]
+            done += to[-1]
         last = np.append(0, ends)[np.cumsum(sizes) * 2]
         return ids, np.diff(last, prepend=0)
 
@@ -127,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
 
     chosen = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
-    return chosen.mapInArrow(cut, f"row long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}, piece int, "
+    return chosen.mapInArrow(lean(cut), f"row long, doc_id {chosen.schema['doc_id'].dataType.simpleString()}, piece int, "
                                   "start long, length long, ids_crc32 long")
 
 
@@ -475,5 +487,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
+    return rows.mapInArrow(lean(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, "
                                   "sequence_id long, offset long")
