@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from wardline.llm import chosen_path as CP
 from wardline.llm import shingles as SH
@@ -112,6 +113,15 @@ def test_plan_reaches_the_recall(depth):
         assert CP.missed(depth, runs, 0.8, most) <= 1 - recall
 
 
+def test_paths_of_a_set_grow_slowly():
+    def of(n):
+        depth = CP.depth_for(n)
+        return CP.plan(depth, 0.9999, 0.8, 24)[1] * 1.25**depth
+    assert of(256_410) == of(51_282)
+    assert of(15_000_000) <= 1.6 * of(51_282)
+    assert of(15_000_000_000) <= 2.5 * of(51_282)
+
+
 def test_pairs_at_the_limit_are_found_by_default(spark):
     docs = []
     for i in range(600):
@@ -120,6 +130,15 @@ def test_pairs_at_the_limit_are_found_by_default(spark):
     assert sum(r["n_links"] == 1 for r in found(spark, docs)) == 1200
 
 
+def test_only_texts_of_members_go_to_the_check(spark):
+    texts = spark.range(20_000).select(F.col("id").alias("set"), F.concat(F.lit("text "), "id").alias("text"))
+    members = texts.filter("set % 200 = 7").select("set", F.lit(1).alias("copies"))
+    kept = {r["set"]: r["text"] for r in CP.wanted(texts, members).collect()}
+    assert all(kept[i] == f"text {i}" for i in range(7, 20_000, 200))
+    assert len(kept) < 110
+    assert CP.wanted(texts, members.filter("false")).isEmpty()
+
+
 def test_one_of_each(spark):
     docs = corpus(4, 15)
     df = CP.checkpoint(spark.createDataFrame(docs, SCHEMA).repartition(3))

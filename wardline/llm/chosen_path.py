@@ -34,6 +34,8 @@ COORDINATES = 128
 CHUNK = 4 << 20
 #: Sets and words in a block of a cluster.
 BLOCK_SETS, BLOCK_WORDS = 1024, 1 << 20
+#: Bits of the filter that tells which texts the check needs.
+FILTER_BITS = 1 << 24
 _A = (mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 _B = mixed(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)).astype(np.uint32)
 _I = mixed(np.arange(5001, COORDINATES + 5001, dtype=np.uint64))
@@ -83,8 +85,13 @@ def plan(depth: int, recall: float, similarity: float, least: int = 0) -> tuple[
 
 
 def depth_for(n: int) -> int:
-    """Levels: one more for each tenfold of sets."""
-    return max(3, ceil(log(max(n, 1), 10)) - 1)
+    """Levels: one more for each thousandfold of sets.
+
+    A level leaves similarity / 0.8 of the meetings of less similar sets, so
+    this many keep those of unrelated ones apart.  Each level multiplies the
+    paths by 1.25 and needs more runs; the recall is that of ``plan`` at any.
+    """
+    return max(3, ceil(log(max(n, 1), 1000)) + 2)
 
 
 # --- per document --------------------------------------------------------------------
@@ -303,6 +310,19 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, si
         label = low
 
 
+def wanted(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts of members, and few others that have their bit in a table of bounded size, which goes to all tasks.
+
+    So only these are shuffled to their members, not all texts.
+    """
+    place = F.pmod(F.xxhash64("set"), F.lit(FILTER_BITS))
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    word = F.shiftright(place, 6).cast("int")
+    marks = members.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks"))
+    return (texts.withColumn("word", word).join(F.broadcast(marks), "word")
+            .filter(F.call_function("shiftrightunsigned", F.col("marks"), bit).bitwiseAND(1) == 1).drop("word", "marks"))
+
+
 def checked(members: DataFrame, docs: DataFrame, text: str, similarity: float, k: int) -> DataFrame:
     """(set, n, first): exact links of each set within a pair of blocks of its cluster.
 
@@ -311,7 +331,7 @@ def checked(members: DataFrame, docs: DataFrame, text: str, similarity: float, k
     """
     texts = numbered(docs, F.col(text).cast("string").alias("text")).withColumnRenamed("row", "set")
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    rows = (texts.join(members, "set").withColumn("side", own)
+    rows = (wanted(texts, members).join(members, "set").withColumn("side", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
             .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "side", "copies", "text"))
 
@@ -365,7 +385,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     clusters = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
     sized = sets.select("set", "copies", "words").join(clusters.withColumnRenamed("node", "set"), "set")
     blocks = sized.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("words") / BLOCK_WORDS)).alias("blocks"))
-    members = sized.join(blocks, "root").select("set", F.col("root").alias("cluster"), "copies", "blocks")
+    members = checkpoint(sized.join(blocks, "root").select("set", F.col("root").alias("cluster"), "copies", "blocks"))
     links = checkpoint(checked(members, docs, text, similarity, k))
     exact = components(links.filter("set <> first").select(F.greatest("set", "first").alias("a"), F.least("set", "first").alias("b")).distinct())
     numbers = links.groupBy("set").agg(F.sum("n").alias("n"))
