@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import line_join as LJ
+from wardline.llm import line_join as LJ, shingles as SH
 from wardline.session import checkpoint
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -336,3 +336,34 @@ def test_merged_pairs():
     x, y, unequal, more = LJ.merged(later, earlier, np.array([1, 1, 2, 3, 1]), np.full(5, 4), more, line, np.arange(6), 1)
     assert {(int(line[a]), int(line[b]), int(u), bool(m)) for a, b, u, m in zip(x, y, unequal, more)} == {
         (line[2], line[0], 1, True), (line[4], line[3], 1, True), (line[5], line[0], 3, False)}
+
+
+def test_only_words_that_lines_meet_by_are_marked(spark):
+    word = [np.arange(1, 41, dtype=np.uint64) * np.uint64(1 + i) for i in range(3)]
+    sets = spark.createDataFrame([(i, 0, bytearray(w.tobytes())) for i, w in enumerate(word)], "row long, line int, words binary")
+    words, keys = LJ.marked_keys(sets, 0.8)
+    first = np.concatenate([w[:10] for w in word])  # nine words of 40, and one more for pairs of frequent words
+    assert LJ.has_bit(words, LJ.bits_of(first)).all()
+    assert LJ.has_bit(keys, LJ.bits_of(np.concatenate([w[:9] for w in word]))).all()
+    assert np.bitwise_count(words).sum() <= len(first)
+
+
+def test_rows_that_share_a_key():
+    key, pos = np.array([5, 5, 5, 7, 7, 9, 5], np.uint32), np.array([0, -1, 3, -1, -2, 0, -2])
+    assert sorted(LJ.shared(key, pos).tolist()) == [0, 2]
+    assert LJ.repeated(np.array([], np.int64)).tolist() == []
+    assert sorted(LJ.repeated(np.array([3, 1, 3, 2, 1])).tolist()) == [0, 1, 2, 4]
+
+
+def test_hot_keys_are_found_from_the_shares_of_tasks(spark, monkeypatch):
+    """Tasks pass on little more than the hot slots; a key that is hot only over all of them is one."""
+    monkeypatch.setattr(LJ, "HOT_ROWS", 64)
+    docs = spark.createDataFrame([(f"hot x{i}a x{i}b x{i}c",) for i in range(160)], "text string").repartition(4)
+    order = spark.sparkContext.broadcast(LJ.Order(np.zeros(0, np.uint64)))
+    passed, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a: passed.append(real(*a)) or passed[-1])
+    cut = LJ.spread_of(docs, order, 640, 0.3, "text")
+    hot = SH.hashed(pa.array([b"hot"], pa.binary())) >> np.uint64(1)
+    assert cut.of(LJ.mixed(hot))[0] > 1
+    assert len(cut.slots) == 1
+    assert passed[0].count() <= 8 * 2

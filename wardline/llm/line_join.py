@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wardline.llm.chosen_path import groups_of
 from wardline.llm.common import chunks, large, lean, numbered
-from wardline.llm.shingles import line_words, mixed
+from wardline.llm.shingles import cut_words, line_words, mixed
 from wardline.session import checkpoint
 
 CHUNK = 4 << 20
@@ -47,6 +47,8 @@ LARGE, NEAREST_LARGE = 1024, 64
 BROADCAST_WORDS = 2_000_000
 #: Rows of one key that meet in one place, about; slots in which keys are counted, as bits at least, and words for each slot beyond.
 HOT_ROWS, SLOT_BITS, SLOT_WORDS = 1 << 14, 18, 20_000
+#: One part in so many of HOT_ROWS may be missing from the count of a slot.
+UNCOUNTED = 8
 #: Rows that are dealt out at once.
 DEALT = 1 << 18
 #: Sizes up to which a line's bit map has 64, 128 and 256 bits; longer lines have 512.
@@ -70,7 +72,7 @@ def frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch.column(0), CHUNK):
-                _, _, codes, _, ids = line_words(batch.column(0)[part])
+                codes, ids = cut_words(batch.column(0)[part])[:2]
                 n = np.bincount(ids, minlength=len(codes))
                 often = n >= max(1, len(ids) / (2 * MOST_PARTS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(codes[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)),
@@ -272,14 +274,21 @@ class Spread:
 
 
 def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str) -> Spread:
-    """Counts, over all docs, the rows of keys by slots; only slots above HOT_ROWS come to the driver."""
+    """Counts, over all docs, the rows of keys by slots; only slots above HOT_ROWS come to the driver.
+
+    A task passes on the slots in which it has more than its share, by its
+    words, of HOT_ROWS / UNCOUNTED rows; what it keeps back over all tasks is
+    no more than that, which is why slots count as hot from so much less.
+    """
     bits = max(SLOT_BITS, (words // SLOT_WORDS).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((2, 1 << bits), np.int64)
+        own = 0
         for batch in batches:
             for part in chunks(batch.column(0), CHUNK):
                 _, _, codes, line, ids = line_words(batch.column(0)[part])
+                own += len(ids)
                 line, word, frequent = line_sets(codes, line, ids, order.value)
                 if not len(line):
                     continue
@@ -291,11 +300,11 @@ def spread_of(docs: DataFrame, order, words: int, similarity: float, text: str)
                 for of, x in zip(rows, (key, home)):
                     of += np.bincount((mixed(x) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         rows = rows.ravel()  # slots of keys, then those of first words
-        some = np.flatnonzero(rows)
+        some = np.flatnonzero(rows > HOT_ROWS * own / (UNCOUNTED * max(1, words)))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some])], ["slot", "n"])
 
     found = (docs.select(F.col(text).cast("string")).mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") > HOT_ROWS).toArrow())
+             .filter(F.col("n") > HOT_ROWS - HOT_ROWS / UNCOUNTED).toArrow())
     slots, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
     keys = slots < 1 << bits
     return Spread(bits, slots[keys], n[keys], slots[~keys] - (1 << bits))
@@ -326,8 +335,9 @@ def meetings(docs: DataFrame, order, buckets: int, similarity: float, doc_id: st
                 bits = folded(maps, 1)[:, 0]
                 doc = pc.fill_null(some.column(1), LAST).to_numpy()[text_of[which]]
                 row, nth = some.column(0).to_numpy()[text_of[which]], number[which]
-                sort = np.lexsort((nth, row, doc, n, bits, f))
-                again = np.append(False, (f[sort][1:] == f[sort][:-1]) & (bits[sort][1:] == bits[sort][:-1]) & (n[sort][1:] == n[sort][:-1]))
+                sort = repeated(f)
+                sort = sort[np.lexsort([c[sort] for c in (nth, row, doc, n, bits, f)])]
+                again = np.append(False, (f[sort][1:] == f[sort][:-1]) & (bits[sort][1:] == bits[sort][:-1]) & (n[sort][1:] == n[sort][:-1]))[:len(sort)]
                 first = np.ones(len(n), bool)
                 first[sort[again]] = False
 
@@ -475,12 +485,20 @@ def near_pairs(group, n, pos, maps, rank, similarity, first, most, large=LARGE):
     return later, earlier, unequal, room, more | np.isin(later, np.concatenate([*stopped, np.zeros(0, np.int64)]))
 
 
-def lines_of(row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A number from 0 for each different line."""
-    order = np.lexsort((line, row))
-    new = np.append(False, (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1]))
-    out = np.empty(len(row), np.int64)
-    out[order] = np.cumsum(new)
+def dense(values: np.ndarray) -> np.ndarray:
+    """The number, from 0, of each value among the different ones in order."""
+    order = np.argsort(values)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.append(False, values[order][1:] != values[order][:-1])[:len(values)])
+    return out
+
+
+def lines_of(*columns: np.ndarray) -> np.ndarray:
+    """A number from 0 for each different line, in the order of its columns; single sorts are faster than one of many columns."""
+    out = dense(columns[0])
+    for c in columns[1:]:
+        c = dense(c)
+        out = dense(out * (int(c.max(initial=0)) + 1) + c)
     return out
 
 
@@ -496,6 +514,19 @@ def merged(later, earlier, unequal, room, more, line, rank, most):
     return place[found], earlier, unequal, more
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once."""
+    order = np.argsort(values)
+    change = values[order][1:] != values[order][:-1]
+    return order[~(np.append(True, change) & np.append(change, True))[:len(order)]]
+
+
+def shared(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The rows that have another of their kind, equal or similar lines, under their key; marked ones (pos -2) are left out."""
+    at = np.flatnonzero(pos != -2)
+    return at[repeated((key[at].astype(np.uint64) << np.uint64(1)) | (pos[at] == -1))]
+
+
 def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int) -> DataFrame:
     """(row, line, to_row, to_line, unequal, more): lines to remove (to_row null) and lines with a nearby earlier one."""
     names = ["row", "line", "to_row", "to_line", "unequal", "more"]
@@ -509,32 +540,33 @@ def met(rows: DataFrame, buckets: int, similarity: float, first: int, most: int)
 
     def detect(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, f, n, doc, row, line, pos, maps = columns
-        bits = folded(maps, 1)[:, 0]
         yield removals(row[pos == -2], line[pos == -2])
-        at = np.flatnonzero(pos != -2)
-        order = np.lexsort((line[at], row[at], doc[at]))
-        at = at[order]  # earlier lines first, which stable sorting keeps
+        at = shared(key, pos)
         group = (key[at].astype(np.uint64) << np.uint64(1)) | (pos[at] == -1)
-        order = np.lexsort((bits[at], f[at], group))
-        at, group = at[order], group[order]
-        same = [group, f[at], bits[at], n[at]]
-        again = np.append(False, np.logical_and.reduce([c[1:] == c[:-1] for c in same])) if len(at) else np.zeros(0, bool)
+        bits = folded(maps[at], 1)[:, 0]
+        # Of equal sets under a key all but the first go; only those with equal codes are sorted.
+        twin = repeated(mixed(group) ^ mixed(f[at] + bits))
+        own = at[twin]
+        own = twin[np.lexsort((line[own], row[own], doc[own], n[own], bits[twin], f[own], group[twin]))]
+        same = [group[own], f[at[own]], bits[own], n[at[own]]]
+        again = np.zeros(len(at), bool)
+        again[own[1:][np.logical_and.reduce([c[1:] == c[:-1] for c in same])]] = True
         late = at[again & (pos[at] == -1)]
         yield removals(row[late], line[late])
         near = ~again & (pos[at] >= 0)
         at, group = at[near], group[near]
+        size = n[at].astype(np.int64)
+        order = np.argsort(dense(group) * (int(size.max(initial=0)) + 1) + size)
+        at, group = at[order], group[order]
         # Rows that are alone under their key meet none.
         if len(at):
             alone = np.append(True, group[1:] != group[:-1]) & np.append(group[1:] != group[:-1], True)
             at, group = at[~alone], group[~alone]
         if not len(at):
             return
-        order = np.lexsort((n[at], group))
-        at, group = at[order], group[order]
-        rank = np.empty(len(at), np.int64)
-        rank[np.lexsort((f[at], line[at], row[at], doc[at]))] = np.arange(len(at))
+        rank = lines_of(doc[at], row[at], line[at])
         found = near_pairs(group, n[at], pos[at], maps[at], rank, similarity, first, most)
-        x, y, unequal, more = merged(*found, lines_of(row[at], line[at]), rank, most)
+        x, y, unequal, more = merged(*found, rank, rank, most)
         x, y = at[x], at[y]
         yield batch_of(row[x], line[x], row[y], line[y].astype(np.int32), unequal, more)
 
@@ -635,7 +667,10 @@ def has_bit(table: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bit maps of fixed size of the words and the keys by which the sets meet others."""
+    """Bit maps of fixed size of the words and the keys by which the sets meet others.
+
+    A set that shares a key shares its words, which are the first of a set.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, FILTER_BITS // 64), np.uint64)
@@ -644,6 +679,8 @@ def marked_keys(sets: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndar
             n = np.array([len(w) for w in word], np.int64)
             word = np.concatenate([*word, np.zeros(0, np.uint64)])
             _, keys, _, _ = prefix_keys(word, word >= FREQUENT_WORD, np.cumsum(n) - n, n, np.ones(len(n), bool), similarity)
+            of = np.repeat(np.arange(len(n)), n)
+            word = word[np.arange(len(word)) - (np.cumsum(n) - n)[of] <= prefix_sizes(n, similarity)[of]]
             for i, b in enumerate((bits_of(word), bits_of(keys))):
                 np.bitwise_or.at(table[i], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
         table = table.ravel()

@@ -12,6 +12,7 @@ _BYTES = np.zeros(256, np.uint8)
 for _low, _high in ((48, 58), (97, 123), (128, 256)):
     _BYTES[_low:_high] = np.arange(_low, _high)
 _BYTES[65:91] = np.arange(97, 123)
+_TABLE, _OUTSIDE = _BYTES.tobytes(), np.flatnonzero(_BYTES == 0).astype(np.uint8).tobytes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,8 +51,8 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    low = _BYTES[raw]
-    inside = low != 0
+    whole = raw.tobytes()
+    inside = np.frombuffer(whole.translate(_TABLE), np.uint8) != 0
     edge = offsets[:-1][offsets[:-1] < len(raw)]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -61,7 +62,7 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     places = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(low[inside])]).dictionary_encode()
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(whole.translate(_TABLE, _OUTSIDE))]).dictionary_encode()
     return hashed(words.dictionary), words.indices.to_numpy(), starts, raw, offsets
 
 
