@@ -227,3 +227,23 @@ def test_tasks_hand_memory_back_and_encode_in_parts(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, encoder.encode(texts)))
     empty = encoder.encode(pa.array(["", None]))
     assert len(empty[0]) == 0 and empty[1].tolist() == [0, 0]
+
+
+def test_a_task_holds_one_batch_and_part_of_its_text(spark, monkeypatch):
+    tasks, sizes, left = {}, [], []
+    monkeypatch.setattr(PK, "lean", lambda run: tasks.setdefault(run.__name__, run))
+    PK.pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH)
+    monkeypatch.setitem(PK._encoders, PATH, ENCODER)
+    monkeypatch.setattr(ENCODER, "encode", lambda texts: sizes.append(texts.nbytes) or PK.WordEncoder.encode(ENCODER, texts))
+    text = "some words of a text " * 5000
+
+    def batches():
+        start = pa.total_allocated_bytes()
+        for _ in range(3):
+            left.append(pa.total_allocated_bytes() - start)
+            yield pa.RecordBatch.from_arrays([pa.array(range(90)), pa.array(range(90)), pa.array([text] * 90)], ["row", "doc_id", "text"])
+
+    pieces = sum(len(out) for out in tasks["cut"](batches()))
+    assert pieces == 3 * 90 * -(-(len(exact(text)) + 1) // 2048)
+    assert max(left) < len(text) * 9  # a tenth of a batch; the one before is gone
+    assert max(sizes) < 5 << 20 and sum(sizes) >= 3 * 90 * len(text)

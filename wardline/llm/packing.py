@@ -17,6 +17,7 @@ configuration.  Pieces take the places planned for their length by their rank in
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,9 +33,9 @@ from wardline.session import checkpoint
 
 CAPACITY = 2048
 #: Bytes of text that are encoded together; a longer text is alone.
-CHUNK = 8 << 20
-#: Units of text whose ids are put together at once.
-UNITS = 1 << 18
+CHUNK = 4 << 20
+#: Words of text whose ids are put together at once.
+UNITS = 1 << 17
 _PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
@@ -50,8 +51,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.lean = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.lean.normalizer = None
+        # Tasks run side by side as it is; threads of each would only take memory and time.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.whole = Tokenizer.from_file(path)
+        self.lean = Tokenizer(self.whole.model)  # one vocabulary for both
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.whole.get_vocab()
@@ -78,13 +81,14 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         cut = pc.split_pattern(pc.replace_substring(large(texts), "\n", " "), " ")
-        words = cut.flatten().dictionary_encode()
-        sizes = np.diff(cut.offsets.to_numpy())
+        words, sizes = cut.flatten().dictionary_encode(), np.diff(cut.offsets.to_numpy())
+        del cut  # what is done with goes at once, as workers share a machine's memory
         parts = pc.extract_regex(words.dictionary, _PLAIN)
         plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
         cores = pc.utf8_lower(pc.struct_field(parts, "core").filter(pa.array(plain))).dictionary_encode()
         marks = pc.struct_field(parts, "marks").filter(pa.array(plain)).dictionary_encode()
         odd = words.dictionary.filter(pa.array(~plain))
+        del parts
         tables = [self._cores(cores.dictionary.to_pylist()), self._others(marks.dictionary.to_pylist()), self._others(odd.to_pylist())]
         pool, lengths = (np.concatenate(x) for x in zip(*tables))
         lengths = np.append(lengths, 0).astype(np.int32)  # the last unit is empty
@@ -95,17 +99,19 @@ class WordEncoder:
         units[plain, 0] = cores.indices.to_numpy()
         units[plain, 1] = n_cores + marks.indices.to_numpy()
         units[~plain, 0] = n_cores + n_marks + np.arange(len(odd))
-        used = units[words.indices.to_numpy()].ravel()
-        ends = np.cumsum(lengths[used], dtype=np.int64)
+        at = words.indices.to_numpy()
+        del words, cores, marks, odd, tables
+        many = lengths[units].sum(1, dtype=np.int64)  # ids of each different word
+        ends = np.cumsum(many[at])
         ids = np.empty(ends[-1] if len(ends) else 0, np.uint32)
         done = 0
-        for i in range(0, len(used), UNITS):
-            some = used[i:i + UNITS]
+        for i in range(0, len(at), UNITS):
+            some = units[at[i:i + UNITS]].ravel()
             many = lengths[some]
             to = np.cumsum(many)
             ids[done:done + to[-1]] = pool[np.repeat(begins[some] - (to - many), many) + np.arange(to[-1])]
             done += to[-1]
-        last = np.append(0, ends)[np.cumsum(sizes) * 2]
+        last = np.append(0, ends)[np.cumsum(sizes)]
         return ids, np.diff(last, prepend=0)
 
 
@@ -131,11 +137,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
                 start = piece * capacity
                 length = np.minimum(counts[doc] - start, capacity)
                 at = (np.cumsum(counts) - counts)[doc] + start
-                data = memoryview(ids.tobytes())
+                data = memoryview(ids.view(np.uint8))
                 crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(piece.astype(np.int32)),
                      pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
+                del rows, ids, data
+            del batch  # before the next one is read
 
     chosen = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
