@@ -367,3 +367,49 @@ def test_hot_keys_are_found_from_the_shares_of_tasks(spark, monkeypatch):
     assert cut.of(LJ.mixed(hot))[0] > 1
     assert len(cut.slots) == 1
     assert passed[0].count() <= 8 * 2
+
+
+def test_rows_are_compared_only_as_far_as_their_place_allows(monkeypatch):
+    g = np.random.default_rng(3)
+    n = np.sort(g.integers(2, 60, 400))
+    pos = (g.random(400) * (LJ.prefix_sizes(n, 0.8) + 1)).astype(np.int64)
+    words = np.concatenate([g.choice(70, k, replace=False) for k in n]).astype(np.uint64)
+    maps, rank = LJ.bit_maps(words, np.cumsum(n) - n, n), g.permutation(400)
+    handed, near = [], LJ.Sets.near
+    monkeypatch.setattr(LJ.Sets, "near", lambda self, a, b: handed.append((a, b)) or near(self, a, b))
+    LJ.near_pairs(np.zeros(400, np.int64), n, pos, maps, rank, 0.8, 2, 4)
+    a, b = (np.concatenate(x) for x in zip(*handed))
+    i, j = np.triu_indices(400, 1)
+    need = LJ.overlap_needed(n[i] + n[j], 0.8)
+    room = n[j] <= np.floor(n[i] / 0.8 + 1e-9)
+    can = room & (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need)
+    # All that can be similar are compared, and none that the smaller one's place rules out.
+    assert set(zip(i[can].tolist(), j[can].tolist())) <= set(zip(a.tolist(), b.tolist()))
+    assert (n[a] - pos[a] >= LJ.overlap_needed(n[a] + n[b], 0.8)).all() and len(a) < room.sum() / 2
+
+
+def test_word_hashes_bit_maps_and_places_of_words():
+    words = [b"", b"a", b"1234567", b"12345678", b"123456789", b"x" * 16, b"y" * 17, "é日".encode() * 9]
+
+    def by_byte(word):
+        out = SH.mixed(np.array([len(word)], np.uint64))
+        for i in range(0, max(1, len(word)), 8):
+            block = np.array([int.from_bytes(word[i:i + 8], "little")], np.uint64)
+            out = SH.mixed(out + SH.mixed(block + np.uint64(0x9E3779B97F4A7C15)))
+        return int(out[0])
+    assert SH.hashed(pa.array(words, pa.binary())).tolist() == [by_byte(w) for w in words]
+    assert SH.hashed(pa.array(words, pa.binary()).slice(3, 4)).tolist() == [by_byte(w) for w in words[3:7]]
+
+    n = np.array([1, 64, 65, 128, 129, 256, 257, 700, 3])
+    word, start = np.random.default_rng(5).integers(0, 2**62, n.sum()).astype(np.uint64), np.cumsum(n) - n
+    h = SH.mixed(word + np.uint64(7))
+    want = np.zeros((len(n), 8), np.uint64)
+    for s, (first, k) in enumerate(zip(start, n)):
+        for x in h[first:first + k].tolist():
+            want[s, (x >> 6) % int(LJ.map_words(n[s:s + 1])[0])] ^= np.uint64(1 << (x & 63))
+    assert (LJ.bit_maps(word, start, n) == want).all()
+
+    texts = pa.array(["ab", "Cd e", None, "", "", "f-", "-g", "h", "-", "é1\n2"])
+    starts, raw, offsets = SH.cut_words(texts)[2:]
+    assert [bytes(raw[a:a + 1]) for a in starts] == [b"a", b"C", b"e", b"f", b"g", b"h", "é".encode()[:1], b"2"]
+    assert np.diff(np.searchsorted(starts, offsets)).tolist() == [1, 2, 0, 0, 0, 1, 1, 1, 0, 2]

@@ -134,9 +134,20 @@ def bit_maps(word: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """
     h = mixed(word + np.uint64(7))
     wide = np.repeat(map_words(n), n).astype(np.uint64)
-    place = (h >> np.uint64(6)) % wide
+    place = (h >> np.uint64(6)) & (wide - np.uint64(1))
     bit = np.uint64(1) << (h & np.uint64(63))
-    return np.stack([np.bitwise_xor.reduceat(np.where(place == np.uint64(w), bit, np.uint64(0)), start) for w in range(8)], axis=1)
+    out = np.zeros((len(n), 8), np.uint64)
+    out[:, 0] = np.bitwise_xor.reduceat(np.where(place == 0, bit, np.uint64(0)), start)
+    for w in (1, 2, 4):  # words w to 2 w - 1 are those of larger sets alone
+        some = np.flatnonzero(map_words(n) > w)
+        if len(some):
+            many = n[some]
+            first = np.cumsum(many) - many
+            at = np.repeat(start[some] - first, many) + np.arange(many.sum())
+            own, bits = place[at], bit[at]
+            for v in range(w, 2 * w):
+                out[some, v] = np.bitwise_xor.reduceat(np.where(own == np.uint64(v), bits, np.uint64(0)), first)
+    return out
 
 
 def folded(maps: np.ndarray, words: int) -> np.ndarray:
@@ -384,7 +395,8 @@ class Sets:
     def __init__(self, n, pos, maps, rank, similarity):
         self.n, self.pos, self.maps, self.rank = n, pos, maps, rank
         self.need = overlap_needed(np.arange(2 * int(n.max(initial=0)) + 2), similarity)
-        self.widest = np.floor(n / similarity + 1e-9).astype(np.int64)
+        # The largest set a row can be similar to: as many words as needed must come from its place on.
+        self.reach = np.minimum(np.floor(n / similarity + 1e-9).astype(np.int64), np.searchsorted(self.need, n - pos, "right") - 1 - n)
         self.words, self.bits = map_words(n), folded(maps, 1)[:, 0]
         self.half = {w: folded(maps, w) for w in (2, 4) if (self.words > w).any()}
 
@@ -444,7 +456,7 @@ def small_groups(at, group, sets: Sets, kept: Kept) -> None:
     while len(at):
         at = at[at + gap < len(group)]
         to = at + gap
-        at = at[(group[at] == group[np.minimum(to, len(group) - 1)]) & (sets.n[to] <= sets.widest[at])]
+        at = at[(group[at] == group[to]) & (sets.n[to] <= sets.reach[at])]
         kept.add(*sets.near(at, at + gap))
         gap += 1
 
@@ -455,7 +467,7 @@ def large_group(rows, sets: Sets, kept: Kept, first: int) -> np.ndarray:
     sure = np.zeros(len(sets.n), np.int64)
 
     def compare(a, b):
-        fits = (sets.n[a] <= sets.widest[b]) & (sets.n[b] <= sets.widest[a])
+        fits = (sets.n[a] <= sets.reach[b]) & (sets.n[b] <= sets.reach[a])
         found = sets.near(a[fits], b[fits])
         kept.add(*found)
         np.add.at(sure, found[0][2 * found[2] <= found[3]], 1)

@@ -12,6 +12,8 @@ _BYTES = np.zeros(256, np.uint8)
 for _low, _high in ((48, 58), (97, 123), (128, 256)):
     _BYTES[_low:_high] = np.arange(_low, _high)
 _BYTES[65:91] = np.arange(97, 123)
+# The first 0 to 8 bytes of eight.
+_FIRST = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 _TABLE, _OUTSIDE = _BYTES.tobytes(), np.flatnonzero(_BYTES == 0).astype(np.uint8).tobytes()
 
 
@@ -26,18 +28,16 @@ def hashed(words: pa.Array) -> np.ndarray:
     places = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
     if not len(words):
         return np.zeros(0, np.uint64)
-    data = np.append(np.frombuffer(words.buffers()[2], np.uint8)[:places[-1]], np.zeros(8, np.uint8)).astype(np.uint64)
-    at, ends = places[:-1].copy(), places[1:]
-    out = mixed((ends - at).astype(np.uint64))
+    data = np.append(np.frombuffer(words.buffers()[2], np.uint8)[:places[-1]], np.zeros(8, np.uint8))
+    blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    at, size = places[:-1], np.diff(places)
+    out = mixed(size.astype(np.uint64))
     left = np.arange(len(words))
     while len(left):
-        block = np.zeros(len(left), np.uint64)
-        for b in range(8):
-            block |= np.where(at + b < ends, data[np.minimum(at + b, len(data) - 1)], np.uint64(0)) << np.uint64(8 * b)
+        block = blocks[at] & _FIRST[np.minimum(size, 8)]
         out[left] = mixed(out[left] + mixed(block + np.uint64(0x9E3779B97F4A7C15)))
-        at = at + 8
-        go = at < ends
-        left, at, ends = left[go], at[go], ends[go]
+        go = size > 8
+        left, at, size = left[go], at[go] + 8, size[go] - 8
     return out
 
 
@@ -53,14 +53,13 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     offsets = offsets - offsets[0]
     whole = raw.tobytes()
     inside = np.frombuffer(whole.translate(_TABLE), np.uint8) != 0
-    edge = offsets[:-1][offsets[:-1] < len(raw)]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    first[edge] = inside[edge]  # texts lie side by side
-    last[:-1] &= ~inside[1:]
-    before = edge[edge > 0] - 1
-    last[before] = inside[before]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # Words begin and end in turn: where bytes of words meet others, and where texts, which lie side by side, meet within a word.
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.unique(offsets[(offsets > 0) & (offsets < len(raw))])
+    edge = np.repeat(edge[inside[edge] & inside[edge - 1]], 2)
+    turns = np.insert(turns, np.searchsorted(turns, edge), edge)
+    turns = np.concatenate([np.flatnonzero(inside[:1]), turns, len(raw) + np.flatnonzero(inside[-1:])])
+    starts, ends = turns[::2], turns[1::2]
     places = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(whole.translate(_TABLE, _OUTSIDE))]).dictionary_encode()
     return hashed(words.dictionary), words.indices.to_numpy(), starts, raw, offsets
