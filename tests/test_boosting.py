@@ -155,3 +155,45 @@ def test_margins_take_newer_trees_without_walking_them():
     use = np.arange(5, 300, 7)
     assert (BO.margins_of(batch, x, 2, BO.bin_scorer(trees)) == walked).all()
     assert (BO.margins_of(batch, x, 2, BO.bin_scorer(trees), use) == walked[use]).all()
+
+
+def test_rows_travel_in_blocks(spark):
+    rows, df = made(spark)
+    cuts = [np.array([-0.5, 0.0, 0.4]), np.array([1.0, 2.0]), np.array([0.0])]
+    found = BO.binned(df.coalesce(1), FEATURES, "label", "event_id", cuts, CLASSES, 7).collect()
+    known = [r for r in rows if r[4] in CLASSES]
+    assert [b.num_rows for b in found] == [1]
+    x = BO.matrix(found[0].column(2), np.uint8, 1).reshape(3, -1)
+    assert x.T.tolist() == [[int(np.searchsorted(c, 0.0 if z is None or z != z else z)) for c, z in zip(cuts, r[1:4])] for r in known]
+    assert BO.matrix(found[0].column(1), np.int32, 1)[:, 0].tolist() == [CLASSES.index(r[4]) for r in known]
+
+
+def test_only_the_smaller_child_is_added_up(spark, monkeypatch):
+    """The sums of the other, taken from the parent, are those that adding up would give."""
+    _, df = made(spark, 700)
+    cuts = [np.array([-1.0, -0.5, 0.0, 0.31, 0.4, 1.0]), np.array([0.0, 1.0, 2.0]), np.array([-0.7, 0.0, 0.7])]
+    add, grow, seen = BO.level_sums, BO.grow, []
+
+    def level_sums(rows, growing, asked, usable, n_values, bins):
+        nodes = [t.open for t in growing]
+        seen.append((asked, nodes, add(rows, growing, nodes, usable, n_values, bins)))
+        return add(rows, growing, asked, usable, n_values, bins)
+
+    def compared(growing, sums, n_cuts, usable, *args):
+        for c, t in enumerate(growing):
+            for f in usable[c]:
+                assert (sums[c, :len(t.open), f] == seen[-1][2][c, :len(t.open), f]).all()
+        return grow(growing, sums, n_cuts, usable, *args)
+
+    monkeypatch.setattr(BO, "level_sums", level_sums)
+    monkeypatch.setattr(BO, "grow", compared)
+    BO.fit_boosted(df.repartition(3), FEATURES, rounds=2, depth=4, rows=0.9, columns=0.7, bins=8, min_child=0.1, classes=CLASSES, cuts=cuts)
+    deeper = [(a, n) for asked, nodes, _ in seen for a, n in zip(asked, nodes) if n and n != [0]]
+    assert len(deeper) > 6 and all(2 * len(a) == len(n) and set(a) <= set(n) for a, n in deeper)
+
+
+def test_features_of_few_bins_are_added_up_together():
+    n_values = [64, 2, 2, 40, 3, 12, 256, 1]
+    groups = BO.bundles(n_values)
+    assert sorted(f for g in groups for f in g) == list(range(8)) and len(groups) < 5
+    assert all(np.prod([n_values[f] for f in g]) <= BO.TOGETHER for g in groups)

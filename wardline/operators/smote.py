@@ -323,7 +323,8 @@ def oversample(train: DataFrame, features: list[str], label: str = "label", row_
     )
     made = drawn.select(
         "label", F.concat_ws("~", "id", "j").alias("id"),
-        F.zip_with("x", "_o", lambda a, b: a + (b - a) * F.col("_g")).alias("x"),
+        # Number by number: compiled, where a function over arrays is interpreted.
+        F.array(*[F.get("x", F.lit(i)) + (F.get("_o", F.lit(i)) - F.get("x", F.lit(i))) * F.col("_g") for i in range(len(features))]).alias("x"),
         F.lit(True).alias("synthetic"))
     return _unpacked(real.unionByName(made), features, label, row_id)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold on a laptop and on a cluster alike; sizes (executors,
@@ -58,9 +59,20 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="wardline-")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
+def _name_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives lost executors and cuts the lineage."""
+    _name_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def checkpoint_rdd(spark: SparkSession, rdd: RDD) -> RDD:
+    """The same of Python objects, made once."""
+    _name_checkpoint_dir(spark)
+    rdd.persist(StorageLevel.DISK_ONLY).checkpoint()
+    rdd._jrdd.count()  # no Python reads them here
+    return rdd.unpersist()
